@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoframe.llm import dac, packing
-from geoframe.llm.text import shared_folder
+from pyspark.sql import functions as F
+
+from geoframe.llm import dac, langid, packing, toxicity
+from geoframe.llm.text import held_out, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +25,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op7_packing)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
+    return langid.predict(docs, net).withColumn("held_out", held_out("doc_id", 4, 2))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
+    scored = toxicity.score(docs, model)
+    return scored.withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op7_packing, op9_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are no letters: all ASCII but A-Z and a-z; bytes of longer characters count as letters.
+NO_LETTERS = np.zeros(256, bool)
+NO_LETTERS[:128] = True
+NO_LETTERS[65:91] = NO_LETTERS[97:123] = False
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -66,9 +70,9 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             at = to
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the first of its words (one entry more than texts)."""
-    inside = ~SPACES[data]
+    inside = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
