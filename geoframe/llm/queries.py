@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geoframe.llm import dac, langid, packing, toxicity
-from geoframe.llm.text import held_out, shared_folder
+from geoframe.llm import dac, langid, packing, simhash, toxicity
+from geoframe.llm.text import held_out
+from geoframe.plans.storage import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(spark, path)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op7_packing, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op6_simhash, op7_packing, op9_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,14 +1,11 @@
-"""Helpers shared by the text operators: the shared folder, and words of a batch as numpy arrays."""
+"""Helpers shared by the text operators: words of a batch as numpy arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \t \n \v \f \r.
@@ -25,26 +22,6 @@ LOWER[65:91] += 32
 BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent (a local session, as in tests) a temporary folder is made.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.sparkContext._conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: lineage ends here, lost executors lose nothing."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(column: str, modulus: int, remainder: int):
     """crc32(column as text) mod modulus = remainder; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
