@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geoframe.llm import dac, decontam, langid, packing, simhash, toxicity
+from geoframe.llm import dac, decontam, hmm, langid, packing, simhash, toxicity
 from geoframe.llm.text import held_out
 from geoframe.plans.storage import shared_folder
 
@@ -22,6 +22,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(spark, path)
 
 
+def op3_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 10, 0))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_decontamination, op6_simhash, op7_packing, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_hmm_scores, op4_decontamination, op6_simhash, op7_packing, op9_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -95,5 +95,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values[bounds[i]:bounds[i+1]] for each i; 0 where that is empty."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]))
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values[: bounds[-1]], bounds[some], axis=0, dtype=np.float64)
+    return out
