@@ -62,35 +62,52 @@ def logits(model: Model, buckets: np.ndarray, first_words: np.ndarray) -> np.nda
     return model.bias + sums_between(model.weights[buckets].sum(1), first_words)
 
 
-def telling(buckets: np.ndarray, text: np.ndarray, toxic: np.ndarray, least: float = 4.5) -> np.ndarray:
+def chunks(texts: list[str], size: int = 250):
+    """sentences_of() so many texts at a time."""
+    for at in range(0, len(texts), size):
+        raw = [t.encode() for t in texts[at : at + size]]
+        data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        yield at, sentences_of(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))[:3]
+
+
+def telling(texts: list[str], toxic: np.ndarray, least: float = 4.5) -> np.ndarray:
     """Buckets found in a larger share of toxic than of clean texts, by so many standard errors: others get no weight."""
+    a, b = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for at, (buckets, first_words, first_sentences) in chunks(texts):
+        text = np.repeat(np.arange(len(first_sentences) - 1), np.diff(first_words[first_sentences]))
+        pairs = np.unique((text[:, None] * BUCKETS + buckets).ravel())
+        marked = toxic[at + pairs // BUCKETS]
+        a += np.bincount(pairs[marked] % BUCKETS, minlength=BUCKETS)
+        b += np.bincount(pairs[~marked] % BUCKETS, minlength=BUCKETS)
     n, m = len(toxic), toxic.sum()
-    pairs = np.unique(np.concatenate([buckets[:, k].astype(np.int64) * n + text for k in range(buckets.shape[1])]))
-    bucket, of_toxic = pairs // n, toxic[pairs % n]
-    a, b = np.bincount(bucket[of_toxic], minlength=BUCKETS), np.bincount(bucket[~of_toxic], minlength=BUCKETS)
     share = (a + b + 1) / (n + 2)
     z = (a / m - b / (n - m)) / np.sqrt(share * (1 - share) * (1 / m + 1 / (n - m)))
     return (z > least) & (a >= 5)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 80, rate: float = 0.25, shrink: float = 2e-2) -> Model:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 80, rate: float = 0.25, shrink: float = 5e-3) -> Model:
     """Weights by full-batch Adam on the likelihood of the document labels under noisy-or."""
-    raw = [t.encode() for t in texts]
-    data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
-    buckets, first_words, first_sentences, _, _ = sentences_of(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-    model, toxic = Model(np.zeros(BUCKETS, np.float32), BIAS), labels.astype(bool)
-    used = telling(buckets, np.repeat(np.arange(len(texts)), np.diff(first_words[first_sentences])), toxic)
-    # Words without such a bucket add nothing to their sentence.
-    some = np.flatnonzero(used[buckets].any(1))
-    buckets, first_words = buckets[some], np.searchsorted(some, first_words)
-    words, sentences = np.diff(first_words), np.diff(first_sentences)
+    toxic = labels.astype(bool)
+    used = telling(texts, toxic)
+    # Words without a telling bucket add nothing; sentences without such words all have the logit BIAS.
+    parts = []
+    for at, (buckets, first_words, first_sentences) in chunks(texts):
+        some = np.flatnonzero(used[buckets].any(1))
+        sentence = np.searchsorted(first_words, some, "right") - 1
+        text = np.searchsorted(first_sentences, sentence, "right") - 1
+        parts.append((buckets[some], at + text, sentence, np.diff(first_sentences)))
+    base = np.concatenate([[0], np.cumsum([p[3].sum() for p in parts])])
+    buckets, sentence = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] + n for p, n in zip(parts, base)])
+    first_words = np.append(np.flatnonzero(np.diff(sentence, prepend=-1)), len(sentence))
+    text = np.concatenate([p[1] for p in parts])[first_words[:-1]]
+    silent = np.concatenate([p[3] for p in parts]) - np.bincount(text, minlength=len(texts))
+    model, words = Model(np.zeros(BUCKETS, np.float32), BIAS), np.diff(first_words)
     mean, square = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for t in range(1, epochs + 1):
         z = logits(model, buckets, first_words)
-        total = sums_between(softplus(z), first_sentences)
+        total = np.bincount(text, softplus(z), len(texts)) + silent * softplus(BIAS)
         pull = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-6, 60)), 1.0) / len(texts)
-        g = np.repeat(pull, sentences) / (1 + np.exp(-np.clip(z, -60, 60)))
-        by_word = np.repeat(g, words)
+        by_word = np.repeat(pull[text] / (1 + np.exp(-np.clip(z, -60, 60))), words)
         grad = sum(np.bincount(buckets[:, k], by_word, BUCKETS) for k in range(buckets.shape[1]))
         grad = np.where(used, grad + shrink / len(texts) * model.weights, 0)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
