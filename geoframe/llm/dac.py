@@ -28,7 +28,8 @@ MAGIC = b"DAC1"
 EVERY = 512
 #: Ids after which a block ends (a longer document has a longer block).
 BLOCK_IDS = 1 << 16
-BLOCKS = "shard long, block int, n_docs int, n_tokens long, payload binary"
+#: first_token: ids of the shard (what one task writes) before the block.
+BLOCKS = "shard long, block int, n_docs int, first_token long, n_tokens long, payload binary"
 
 
 def pack(ids: np.ndarray, doc_ids: list, bounds: np.ndarray, bits: int = 8) -> bytes:
@@ -103,15 +104,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
 
     def blocks(batches):
-        encoder, shard, number = Ids.of(tokenizer), None, 0
+        encoder, shard, number, written = Ids.of(tokenizer), None, 0, 0
         held, held_ids, held_bounds = [], [], [0]
 
         def made():
-            nonlocal number
-            number += 1
-            row = {"shard": [shard], "block": [number - 1], "n_docs": [len(held)], "n_tokens": [held_bounds[-1]], "payload": [pack(np.concatenate(held_ids), held, np.array(held_bounds), bits)]}
+            nonlocal number, written
+            row = {"shard": [shard], "block": [number], "n_docs": [len(held)], "first_token": [written], "n_tokens": [held_bounds[-1]], "payload": [pack(np.concatenate(held_ids), held, np.array(held_bounds), bits)]}
+            number, written = number + 1, written + held_bounds[-1]
             held.clear(), held_ids.clear(), held_bounds.__setitem__(slice(None), [0])
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("n_docs", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
 
         for rows, data, offsets in text_batches(batches, lower=encoder.lowers):
             ids, bounds = with_end(*encoder.encode(data, offsets), end_id)
@@ -144,10 +145,8 @@ def shard_starts(blocks: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the token files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     blocks = spark.read.parquet(path)
-    sizes = blocks.select("shard", "block", "n_tokens")
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.select("shard", "block", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("block_start")).join(shard_starts(blocks), "shard")
-    placed = blocks.select("shard", "block", "payload").join(places.select("shard", "block", (F.col("block_start") + F.col("shard_start")).alias("start")), ["shard", "block"])
+    # One row per write task, so small enough to send to all.
+    placed = blocks.select("shard", "first_token", "payload").join(F.broadcast(shard_starts(blocks)), "shard").select("payload", (F.col("shard_start") + F.col("first_token")).alias("start"))
 
     def documents(batches):
         for batch in batches:
@@ -157,15 +156,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.known == 0), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("payload", "start").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     """The id at each global position (column position) of the token files; null beyond the end."""
     blocks = spark.read.parquet(path)
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.select("shard", "block", "n_tokens", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("at")).join(shard_starts(blocks), "shard")
-    places = places.select("shard", "block", (F.col("at") + F.col("shard_start")).alias("lo"), (F.col("at") + F.col("shard_start") + F.col("n_tokens")).alias("hi"))
+    first = F.col("shard_start") + F.col("first_token")
+    places = blocks.join(F.broadcast(shard_starts(blocks)), "shard").select("shard", "block", first.alias("lo"), (first + F.col("n_tokens")).alias("hi"))
     wanted = positions.select("position").distinct()
     found = wanted.join(places, (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi"))).join(blocks.select("shard", "block", "payload"), ["shard", "block"])
 

@@ -17,8 +17,8 @@ from geoframe.llm.text import BASES, SPACES, SpanHash, words_of
 LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"
 CORE_AND_MARKS = re.compile(rf"( ?[{LETTERS}]+)([{MARKS}]+)").fullmatch
-#: Pieces and cores remembered per worker (some 200 bytes each).
-MOST = 800_000
+#: Cores (some 200 bytes each) and pieces (some 40 bytes each) remembered per worker.
+MOST_CORES, MOST_PIECES = 800_000, 2_000_000
 
 _of_worker: dict[str, Ids] = {}
 
@@ -33,7 +33,7 @@ class Ids:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         #: It lowers letters and drops white space, so the texts given to encode() may have A-Z lowered.
         self.lowers = self.tokenizer.normalizer is not None
-        self.cores: dict[str, np.ndarray] = {}
+        self.cores: dict[str, bytes] = {}
         self.forget()
 
     @classmethod
@@ -44,8 +44,7 @@ class Ids:
         return _of_worker[path]
 
     def forget(self) -> None:
-        self.code: dict[int, int] = {}
-        self.checks = np.zeros(1 << 12, np.uint64)
+        self.keys, self.checks, self.codes = (np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64))
         self.at = np.zeros((1 << 12) + 1, np.int64)
         self.ids = np.zeros(1 << 14, np.uint32)
 
@@ -64,29 +63,35 @@ class Ids:
         bounds = np.flatnonzero(cut)
         return bounds[:-1], bounds[1:], np.searchsorted(bounds[:-1], offsets)
 
-    def encoded(self, pieces: list[str]) -> list[np.ndarray]:
+    def encoded(self, pieces: list[str]) -> list[bytes]:
         parts = [m.groups() if (m := CORE_AND_MARKS(p)) else (p,) for p in pieces]
         needed = {c for cs in parts for c in cs}
         new = [c for c in needed if c not in self.cores]
-        if len(self.cores) + len(new) > MOST:
+        if len(self.cores) + len(new) > MOST_CORES:
             self.cores.clear()
             new = list(needed)
         if new:
             found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
+            ids = np.array(found.ids, np.uint32).tobytes()
+            ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
             self.cores.update((c, ids[a:b]) for c, a, b in zip(new, ends[:-1], ends[1:]))
-        return [self.cores[cs[0]] if len(cs) == 1 else np.concatenate([self.cores[c] for c in cs]) for cs in parts]
+        return [self.cores[cs[0]] if len(cs) == 1 else b"".join([self.cores[c] for c in cs]) for cs in parts]
 
-    def learn(self, keys: list[int], checks: np.ndarray, pieces: list[str]) -> None:
+    def learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        """Remember pieces under their (ascending) keys."""
         found = self.encoded(pieces)
-        n, m = len(self.code), len(self.code) + len(keys)
-        ends = self.at[n] + np.cumsum([len(x) for x in found])
-        for name, most in (("checks", m), ("at", m + 1), ("ids", int(ends[-1]))):
+        n, m = len(self.keys), len(self.keys) + len(keys)
+        ends = self.at[n] + np.cumsum([len(x) // 4 for x in found])
+        for name, most in (("at", m + 1), ("ids", int(ends[-1]))):
             if len(old := getattr(self, name)) < most:
                 setattr(self, name, np.concatenate([old, np.zeros(most, old.dtype)]))
-        self.checks[n:m], self.at[n + 1 : m + 1], self.ids[self.at[n] : ends[-1]] = checks, ends, np.concatenate(found)
-        self.code.update(zip(keys, range(n, m)))
+        self.at[n + 1 : m + 1], self.ids[self.at[n] : ends[-1]] = ends, np.frombuffer(b"".join(found), np.uint32)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.checks, self.codes = np.insert(self.keys, place, keys), np.insert(self.checks, place, checks), np.insert(self.codes, place, np.arange(n, m))
+
+    def known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.keys, keys)
+        return place, self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in data, and where each text's ids begin (one entry more than texts)."""
@@ -97,18 +102,20 @@ class Ids:
         checks = SpanHash(data, BASES[1])(starts, ends)
         if (checks != checks[first][which]).any():  # two pieces with one hash: each text by itself
             return self.plainly(data, offsets)
-        checks, keys = checks[first], keys.tolist()
-        if len(self.code) + len(keys) > MOST:
+        checks = checks[first]
+        place, have = self.known(keys)
+        if len(self.keys) + len(keys) - have.sum() > MOST_PIECES:
             self.forget()
-        new = [i for i, k in enumerate(keys) if k not in self.code]
-        if new:
-            at = first[new]
+            have[:] = False
+        if not have.all():
+            at = first[~have]
             raw = data.tobytes()
-            self.learn([keys[i] for i in new], checks[new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-        codes = np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))
-        if (self.checks[codes] != checks).any():
+            self.learn(keys[~have], checks[~have], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            place, _ = self.known(keys)
+        if (self.checks[place] != checks).any():
             self.forget()
             return self.plainly(data, offsets)
+        codes = self.codes[place]
         begin = self.at[codes]
         many = (self.at[codes + 1] - begin)[which]
         upto = np.concatenate([[0], np.cumsum(many)])
