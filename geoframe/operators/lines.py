@@ -9,18 +9,31 @@ from pyspark.sql.window import Window
 from geoframe.functions.columns import cross, distance2, dot, norm, normalise, sub, unit_hash, vec
 from geoframe.plans.storage import stored
 
-LINE = Window.partitionBy("case_id", "line_id").orderBy("seq")
-WHOLE = Window.partitionBy("case_id", "line_id")
+
+
+class _Lines:
+    """A line's points in order, or all of them; windows need a session, so they are made when used."""
+
+    @property
+    def ordered(self):
+        return Window.partitionBy("case_id", "line_id").orderBy("seq")
+
+    @property
+    def whole(self):
+        return Window.partitionBy("case_id", "line_id")
+
+
+OF = _Lines()
 
 
 def lagged(step: int, *names: str):
-    return tuple(F.lag(n, step).over(LINE) for n in names)
+    return tuple(F.lag(n, step).over(OF.ordered) for n in names)
 
 
 def arc_length(points: DataFrame) -> DataFrame:
     """points with s, the distance along the line."""
     step = F.coalesce(norm(sub(vec("x", "y", "z"), lagged(1, "x", "y", "z"))), F.lit(0.0))
-    return points.withColumn("__step", step).withColumn("s", F.sum("__step").over(LINE.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
+    return points.withColumn("__step", step).withColumn("s", F.sum("__step").over(OF.ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
 def tangents(points: DataFrame) -> DataFrame:
@@ -74,7 +87,7 @@ def cap_samples(rows: DataFrame, most: int, per_point: int = 1) -> DataFrame:
 def segments(points: DataFrame) -> DataFrame:
     """Consecutive pairs: seq, ends, length, middle mx, my, mz and mean radius; none shorter than 1e-10."""
     after = lagged(-1, "x", "y", "z")
-    staged = points.select("case_id", "line_id", "seq", "x", "y", "z", *[a.alias(n) for a, n in zip(after, ("x2", "y2", "z2"))], ((F.col("radius") + F.lead("radius").over(LINE)) / 2).alias("mean_radius")).where("x2 is not null")
+    staged = points.select("case_id", "line_id", "seq", "x", "y", "z", *[a.alias(n) for a, n in zip(after, ("x2", "y2", "z2"))], ((F.col("radius") + F.lead("radius").over(OF.ordered)) / 2).alias("mean_radius")).where("x2 is not null")
     a, b = vec("x", "y", "z"), vec("x2", "y2", "z2")
     middle = [((p + q) / 2).alias(n) for p, q, n in zip(a, b, ("mx", "my", "mz"))]
     return staged.select("*", norm(sub(b, a)).alias("length"), *middle).where("length >= 1e-10")
@@ -83,15 +96,15 @@ def segments(points: DataFrame) -> DataFrame:
 def subdivide(points: DataFrame) -> DataFrame:
     """Each line with the middle of every pair put in: seq doubles, radius is the mean, bifurc that of the first end."""
     first = points.select("case_id", "line_id", (F.col("seq") * 2).alias("seq"), "x", "y", "z", "radius", "bifurc")
-    ahead = [((F.col(c) + F.lead(c).over(LINE)) / 2).alias(c) for c in ("x", "y", "z", "radius")]
+    ahead = [((F.col(c) + F.lead(c).over(OF.ordered)) / 2).alias(c) for c in ("x", "y", "z", "radius")]
     between = points.select("case_id", "line_id", (F.col("seq") * 2 + 1).alias("seq"), *ahead, "bifurc").where("x is not null")
     return first.unionByName(between)
 
 
 def resample_line(points: DataFrame, n: int) -> DataFrame:
     """n points per line, evenly spaced by index, between the line's points by proportion."""
-    ahead = [F.coalesce(F.lead(c).over(LINE), F.col(c)).alias(f"{c}2") for c in ("x", "y", "z", "radius")]
-    pairs = points.select("*", *ahead, F.max("seq").over(WHOLE).alias("top"))
+    ahead = [F.coalesce(F.lead(c).over(OF.ordered), F.col(c)).alias(f"{c}2") for c in ("x", "y", "z", "radius")]
+    pairs = points.select("*", *ahead, F.max("seq").over(OF.whole).alias("top"))
     # Every target place t * top / (n - 1) that lies in [seq, seq + 1), the last point also for the end.
     place = lambda t: t * F.col("top") / F.lit(n - 1.0)
     targets = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: (F.floor(place(t)) == F.col("seq")))
@@ -103,7 +116,7 @@ def resample_line(points: DataFrame, n: int) -> DataFrame:
 def resample_spacing(points: DataFrame, step: float) -> DataFrame:
     """Points every step along each line from its start."""
     along = arc_length(points)
-    ahead = [F.lead(c).over(LINE).alias(f"{c}2") for c in ("x", "y", "z", "radius", "s")]
+    ahead = [F.lead(c).over(OF.ordered).alias(f"{c}2") for c in ("x", "y", "z", "radius", "s")]
     pairs = along.select("*", *ahead).where("s2 > s")
     ks = F.sequence(F.ceil(F.col("s") / step), F.ceil(F.col("s2") / step) - 1)
     at = pairs.where(F.ceil(F.col("s2") / step) > F.ceil(F.col("s") / step)).select("*", F.explode(ks).alias("k"))
@@ -113,7 +126,7 @@ def resample_spacing(points: DataFrame, step: float) -> DataFrame:
 
 def even_subsample(points: DataFrame, n: int) -> DataFrame:
     """Of lines with more than n points, n by evenly spaced index, rounded to 3 digits; bif 1 from bifurc 0 up, last marked."""
-    counted = points.withColumn("m", F.count("*").over(WHOLE)).where(F.col("m") > n)
+    counted = points.withColumn("m", F.count("*").over(OF.whole)).where(F.col("m") > n)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.floor(t * (F.col("m") - 1) / F.lit(n - 1)))
     found = F.array_position(wanted, F.col("seq"))
     rounded = [F.round(c, 3).alias(c) for c in ("x", "y", "z", "radius")]
@@ -168,7 +181,7 @@ def longest_line_path(points: DataFrame, default_radius: float = 5.0) -> DataFra
 
 def endpoints(points: DataFrame) -> DataFrame:
     """Line ends: the first point of each case's first line and the last of every line, with radius and outward tangent."""
-    whole = tangents(points).withColumn("top", F.max("seq").over(WHOLE)).withColumn("low", F.min("line_id").over(Window.partitionBy("case_id")))
+    whole = tangents(points).withColumn("top", F.max("seq").over(OF.whole)).withColumn("low", F.min("line_id").over(Window.partitionBy("case_id")))
     first = whole.where("seq = 0 and line_id = low").select("case_id", "line_id", F.lit("start").alias("end"), "x", "y", "z", "radius", *[(-F.col(c)).alias(c) for c in ("tx", "ty", "tz")])
     return first.unionByName(whole.where("seq = top").select("case_id", "line_id", F.lit("end").alias("end"), "x", "y", "z", "radius", "tx", "ty", "tz"))
 
@@ -177,7 +190,7 @@ def plane_slab(points: DataFrame, origin: tuple[float, float, float], normal: tu
     """Per line whether a segment of it crosses the plane; segments parallel to it don't."""
     o, n = tuple(map(F.lit, origin)), tuple(map(F.lit, normal))
     here = dot(sub(vec("x", "y", "z"), o), n)
-    staged = points.withColumn("__a", here).withColumn("__b", F.lead("__a").over(LINE))
+    staged = points.withColumn("__a", here).withColumn("__b", F.lead("__a").over(OF.ordered))
     t = F.try_divide(F.col("__a"), F.col("__a") - F.col("__b"))
     return staged.withColumn("__t", t).groupBy("case_id", "line_id").agg(F.coalesce(F.bool_or(F.col("__t").between(0, 1)), F.lit(False)).alias("crosses"))
 
@@ -189,9 +202,9 @@ def successors(points: DataFrame, distance: float, slower_large: float = 1.0, la
     slower_bifurcation at a bifurcation. A point from which no q is far enough has none.
     """
     along = arc_length(points).select("case_id", "line_id", "seq", "s", "radius", "bifurc")
-    ahead_radius, ahead_bif = F.lead("radius").over(LINE), F.lead("bifurc").over(LINE)
+    ahead_radius, ahead_bif = F.lead("radius").over(OF.ordered), F.lead("bifurc").over(OF.ordered)
     step = distance * ahead_radius * F.when(ahead_radius >= large, slower_large).otherwise(1.0) * F.when(ahead_bif == 2, slower_bifurcation).otherwise(1.0)
-    targets = along.withColumn("target", F.col("s") + F.greatest(step, F.lit(0.0)))
+    targets = along.withColumn("target", F.col("s") + F.when(step > 0, step).otherwise(step * 0))
     # Points and targets in one order along the line: a target takes the next point after it.
     marks = targets.select("case_id", "line_id", F.col("s").alias("at"), F.lit(1).alias("kind"), "seq").unionByName(targets.where("target is not null").select("case_id", "line_id", F.col("target").alias("at"), F.lit(0).alias("kind"), "seq"))
     order = Window.partitionBy("case_id", "line_id").orderBy(F.round("at", 9), "kind", "seq")
