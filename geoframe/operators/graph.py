@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from geoframe.functions.columns import distance2, vec
 from geoframe.plans.storage import stored
 
 
@@ -31,3 +33,65 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         moved = parent.selectExpr("node as component", "parent")
         labels = stored(labels.join(moved, "component", "left").selectExpr("node", "coalesce(parent, component) as component"), "labels")
     return labels
+
+
+def component_of_seed(nodes: DataFrame, labels: DataFrame, seeds: DataFrame) -> DataFrame:
+    """nodes (case_id, id) in the component of their case's seed (case_id, id)."""
+    named = nodes.join(labels.withColumnRenamed("node", "id"), "id")
+    chosen = seeds.join(labels.withColumnRenamed("node", "id"), "id").select("case_id", "component")
+    return named.join(chosen, ["case_id", "component"], "left_semi").select("case_id", "id")
+
+
+def largest_components(nodes: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """nodes (case_id, id) of the k largest components of each case, of equal ones the lower label."""
+    named = nodes.join(labels.withColumnRenamed("node", "id"), "id")
+    sizes = named.groupBy("case_id", "component").count()
+    top = sizes.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("count"), "component"))).where(F.col("r") <= k)
+    return named.join(top.select("case_id", "component"), ["case_id", "component"], "left_semi").select("case_id", "id", "component")
+
+
+def region_grow(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """Nodes within `most` edges (mesh_id, a, b) of the seeds (mesh_id, vid, front): distance and the nearest front, of equal ones the lower."""
+    both = stored(edges.select("mesh_id", F.col("a").alias("vid"), F.col("b").alias("near")).union(edges.select("mesh_id", "b", "a")).distinct(), "grow-edges")
+    found = stored(seeds.select("mesh_id", "vid", "front", F.lit(0).cast("long").alias("distance")), "grown")
+    edge = found
+    for step in range(1, most + 1):
+        reached = edge.join(both, ["mesh_id", "vid"]).groupBy("mesh_id", F.col("near").alias("vid")).agg(F.min("front").alias("front"))
+        edge = stored(reached.join(found, ["mesh_id", "vid"], "left_anti").select("mesh_id", "vid", "front", F.lit(step).cast("long").alias("distance")), "grow-edge")
+        if edge.isEmpty():
+            break
+        found = found.union(edge)
+    return found
+
+
+def min_spanning_tree(points: DataFrame, cell_size: float, key: str = "case_id") -> DataFrame:
+    """Edges (key, a, b, weight) of each key's minimum spanning tree over straight distances, by Boruvka's rounds.
+
+    A round takes each component's shortest edge to another one. Candidates are pairs in neighbouring cells; a component
+    whose shortest candidate is longer than a cell's side, or that has none, waits for cells of twice the side.
+    """
+    rows = stored(points.select(key, F.col("point_id").alias("id"), "x", "y", "z"), "mst-points")
+    label = stored(rows.select(key, "id", F.col("id").alias("component")), "mst-labels")
+    tree, size = None, cell_size
+    for _ in range(64):
+        placed = rows.join(label, [key, "id"])
+        around = placed
+        for c in "xyz":
+            around = around.withColumn(f"__{c}", F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1)))
+        other = placed.select(key, F.col("id").alias("id2"), F.col("component").alias("other"), *[F.col(c).alias(f"r{c}") for c in "xyz"], *[F.floor(F.col(c) / size).alias(f"__{c}") for c in "xyz"])
+        d2 = distance2(vec("x", "y", "z"), vec("rx", "ry", "rz"))
+        pairs = around.join(other, [key, "__x", "__y", "__z"]).where("component <> other").withColumn("d2", d2).where(F.col("d2") <= size * size)
+        # Equal lengths are told apart by their ends, so that no round closes a circle.
+        best = pairs.groupBy(key, "component").agg(F.min(F.struct("d2", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))).alias("e"))
+        new = stored(best.select(key, "e.a", "e.b", F.sqrt("e.d2").alias("weight")).distinct(), "mst-edges")
+        if not new.isEmpty():
+            tree = new if tree is None else tree.union(new)
+            named = new.join(label.select(key, F.col("id").alias("a"), F.col("component").alias("p")), [key, "a"]).join(label.select(key, F.col("id").alias("b"), F.col("component").alias("q")), [key, "b"])
+            node = lambda c: F.struct(F.col(key).alias("k"), F.col(c).alias("c"))
+            merged = connected_components(named.select(node("p").alias("src"), node("q").alias("dst"))).select(F.col("node.k").alias(key), F.col("node.c").alias("component"), F.col("component.c").alias("to"))
+            label = stored(label.join(merged, [key, "component"], "left").select(key, "id", F.coalesce("to", "component").alias("component")), "mst-labels")
+        elif label.groupBy(key).agg(F.count_distinct("component").alias("n")).where("n > 1").isEmpty():
+            break
+        else:
+            size *= 2
+    return tree

@@ -134,11 +134,10 @@ def tile_patches(volumes: DataFrame, size: int) -> DataFrame:
     """Corners (case_id, i0, j0, k0) of patches that cover each volume (ni, nj, nk), and of those half a patch on, kept inside."""
     out = volumes
     for c in INDEX:
-        last = F.greatest(F.col(f"n{c}") - size, F.lit(0))
-        steps = F.sequence(F.lit(0), F.ceil(F.col(f"n{c}") / size).cast("int") - 1)
-        grid = F.flatten(F.transform(steps, lambda t, last=last: F.array(F.least(t * size, last), F.least(t * size + size // 2, last))))
-        out = out.withColumn(f"{c}0", F.explode(F.array_distinct(grid)))
-    return out.select("case_id", "i0", "j0", "k0")
+        at = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"n{c}") / size) - 1)
+        both = F.array_union(F.transform(at, lambda t: t * size), F.transform(at, lambda t: t * size + size // 2))
+        out = out.withColumn("__at", F.explode(both)).withColumn(f"{c}0", F.least(F.col("__at"), F.greatest(F.col(f"n{c}") - size, F.lit(0))))
+    return out.select("case_id", "i0", "j0", "k0").distinct()
 
 
 def resampled_size(size, spacing, new_spacing) -> Column:
