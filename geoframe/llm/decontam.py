@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.text import LOWER, SPACES, SpanHash, text_batches
+from geoframe.llm.text import LOWER, small_batches, SPACES, SpanHash, text_batches
 
 RATE = 0.1
 #: Bytes of items sent to the tasks at once.
@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["doc_id", "item_id", "distance", "budget", "start", "end"])
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, HITS)
+        return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, HITS)
 
     found = [search(b) for b in item_blocks(items, rate)]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], HITS)
@@ -210,5 +210,5 @@ def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE) -> Data
                 clean[[m[0] for m in matches(sent.value, PLAIN[data], offsets)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(lambda batches, f=rows: f(batches), docs.schema)
+        docs = small_batches(docs).mapInArrow(lambda batches, f=rows: f(batches), docs.schema)
     return docs

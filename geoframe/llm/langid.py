@@ -20,7 +20,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.text import LOWER, NO_LETTERS, sums_between, text_batches
+from geoframe.llm.text import LOWER, NO_LETTERS, small_batches, sums_between, text_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             names, score = predicted(sent.value, data, offsets) if sent.value else (["und"] * batch.num_rows, np.zeros(batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, net: Network | None, least: float = 0.4) -> DataFrame:
@@ -166,4 +166,4 @@ def with_language(docs: DataFrame, net: Network | None, least: float = 0.4) -> D
                 batch = batch.slice(0, 0)
             yield batch
 
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)

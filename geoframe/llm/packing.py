@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.text import text_batches
+from geoframe.llm.text import small_batches, text_batches
 from geoframe.llm.tokens import Ids, with_end
 
 #: Tokens that a task holds before it packs them.
@@ -147,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
                 held = 0
         yield packed(True)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, PIECES)
 
 
 def pack_examples(examples: DataFrame, length: int = 2048, segments: int = 64, loss: int = 2048) -> DataFrame:

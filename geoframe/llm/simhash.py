@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.text import text_batches, words_of
+from geoframe.llm.text import small_batches, text_batches, words_of
 from geoframe.operators.graph import connected_components
 from geoframe.plans.storage import stored
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*(f.name for f in fields), "fp"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, "text").mapInArrow(rows, schema + ", fp long")
+    return small_batches(docs).select(*keep, "text").mapInArrow(rows, schema + ", fp long")
 
 
 class BKTree:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \t \n \v \f \r.
@@ -22,6 +23,12 @@ LOWER[65:91] += 32
 BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to hand Python a few megabytes of rows at a time, whatever the length of the texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def held_out(column: str, modulus: int, remainder: int):
     """crc32(column as text) mod modulus = remainder; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(True))

@@ -18,7 +18,7 @@ LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"
 CORE_AND_MARKS = re.compile(rf"( ?[{LETTERS}]+)([{MARKS}]+)").fullmatch
 #: Cores (some 200 bytes each) and pieces (some 40 bytes each) remembered per worker.
-MOST_CORES, MOST_PIECES = 800_000, 2_000_000
+MOST_CORES, MOST_PIECES = 400_000, 1_000_000
 
 _of_worker: dict[str, Ids] = {}
 

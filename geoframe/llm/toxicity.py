@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.text import LOWER, NO_LETTERS, SpanHash, sums_between, text_batches, words_of
+from geoframe.llm.text import LOWER, NO_LETTERS, small_batches, SpanHash, sums_between, text_batches, words_of
 
 BUCKETS = 1 << 18
 #: Logit of a sentence without a telling word; so low that many thousands of them leave a document clean.
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFra
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.clip(result, 0, 1)), pa.array(worst[:, 0], mask=none), pa.array(worst[:, 1], mask=none)], [*(f.name for f in fields), "score", "worst_start", "worst_end"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select("doc_id", *keep, "text").mapInArrow(rows, schema + ", score double, worst_start long, worst_end long")
+    return small_batches(docs).select("doc_id", *keep, "text").mapInArrow(rows, schema + ", score double, worst_start long, worst_end long")
 
 
 def without_toxic(docs: DataFrame, model: Model | None, limit: float = 0.3) -> DataFrame:
@@ -172,4 +172,4 @@ def without_toxic(docs: DataFrame, model: Model | None, limit: float = 0.3) -> D
                 batch = batch.filter(pa.array(-np.expm1(-total) < limit))
             yield batch
 
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)
