@@ -5,14 +5,15 @@ for every document, sketches can be merged (union), and the share of a short doc
 estimates containment however unequal they are. The smallest hash is kept in any case, so no text has an empty sketch.
 
 Words are what white space separates, letters lowered; a shingle is five words. Edge cases: a text of fewer words is one
-shingle; a null or empty text, or one of white space alone, is the shingle of no words; rows with the same doc_id and
-text count as one document when the next document is looked for (each is returned); rows that share a doc_id otherwise
-follow in the order of a hash of their text; a null doc_id comes first; a table of one document has itself as next; an
-empty table gives no rows; other columns are ignored.
+shingle; a null or empty text, or one of white space alone, is the shingle of no words; rows that share a doc_id follow
+each other in the order of a hash of their text, repeated rows too; a null doc_id comes first; a table of one document
+has itself as next; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,34 +59,46 @@ def as_text(sketch: Column) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """(id, th, m, next_id, next_th) for each distinct key: the key of the next in order (after the last: the first); m is half its characters.
+def with_range(docs: DataFrame) -> DataFrame:
+    """docs (id, th, ..) with range, the number of the stretch of the order by (id, th) that a row is in.
 
-    Only keys are ordered, not texts: ranges of them, then a window inside each range; the ends of ranges are met by a
-    row per range.
+    Stretches have about equally many rows. Only keys are sorted for that; rows find their stretch by the last keys of
+    all, some per shuffle partition, in two steps of about the square root of their number.
     """
-    keys = docs.select("id", "th", F.floor(F.length("text") / 2).cast("int").alias("m")).distinct()
-    ranged = stored(keys.repartitionByRange("id", "th").withColumn("range", F.spark_partition_id()), "ordered-keys")
-    key = F.struct("id", "th")
-    firsts = ranged.groupBy("range").agg(F.min(key).alias("first"))
-    over = Window.orderBy("range")
-    following = firsts.select("range", F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("after"))
-    inside = ranged.withColumn("following", F.lead(key).over(Window.partitionBy("range").orderBy("id", "th")))
-    full = inside.join(F.broadcast(following), "range").withColumn("following", F.coalesce("following", "after"))
-    return stored(full.select("id", "th", "m", F.col("following.id").alias("next_id"), F.col("following.th").alias("next_th")), "next-keys")
+    n = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = docs.select("id", "th").repartitionByRange(n, "id", "th").withColumn("range", F.spark_partition_id())
+    lasts = [r.last for r in ranged.groupBy("range").agg(F.max(F.struct("id", "th")).alias("last")).orderBy("range").collect()][:-1]
+    side = max(1, round(len(lasts) ** 0.5))
+    groups = [lasts[i : i + side] for i in range(0, len(lasts), side)]
+    keys = lambda rows: [{"id": r.id, "th": r.th} for r in rows]
+    kind = "array<struct<id:long,th:long>>"
+    coarse, fine = F.from_json(F.lit(json.dumps(keys(g[-1] for g in groups))), kind), F.from_json(F.lit(json.dumps([keys(g) for g in groups])), f"array<{kind}>")
+    before = lambda some: F.size(F.filter(some, lambda b: (b.id < F.col("id")) | ((b.id == F.col("id")) & (b.th < F.col("th")))))
+    group = docs.withColumn("__group", before(coarse))
+    inside = F.coalesce(before(F.get(fine, F.col("__group"))), F.lit(0))
+    return group.withColumn("range", F.col("__group") * side + F.greatest(inside, F.lit(0))).drop("__group")
 
 
 def compared_with_next(docs: DataFrame) -> DataFrame:
     """Each text's sketch, that of its edited text (the last half replaced by the start of the next document), and their likeness."""
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    following = next_documents(named)
-    sketched = with_sketch(named, "text", "sketch")
-    given = sketched.dropDuplicates(["id", "th"]).select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    given = following.join(given, ["next_id", "next_th"]).select("id", "th", "m", F.expr("left(next_text, m)").alias("head"), "next_sketch")
-    edited = sketched.join(given, ["id", "th"]).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.expr("left(text, int(n_chars) - m)"), "head"))
-    whole = with_sketch(edited, "edited", "edited_sketch")
-    return whole.select(
+    placed = with_range(named)
+    # The first document of each range follows the last of the range before it; after the last range comes the first.
+    firsts = stored(placed.groupBy("range").agg(F.min(F.struct("id", "th")).alias("k")).select("range", "k.id", "k.th"), "first-keys")
+    over = Window.orderBy("range")
+    followed = firsts.select("id", "th", F.coalesce(F.lag("range").over(over), F.max("range").over(Window.partitionBy())).alias("range"))
+    heads = named.select("id", "th", "text").join(F.broadcast(followed), ["id", "th"]).dropDuplicates(["range"])  # a key per range
+    heads = with_sketch(heads, "text", "first_sketch").select("range", F.col("text").alias("first_text"), "first_sketch")
+    w = Window.partitionBy("range").orderBy("id", "th")
+    sketched = with_sketch(placed.repartition("range"), "text", "sketch")
+    ahead = sketched.select("*", F.lead("text").over(w).alias("next_text"), F.lead("sketch").over(w).alias("next_sketch"))
+    whole = ahead.join(heads, "range").withColumn("next_text", F.coalesce("next_text", "first_text")).withColumn("next_sketch", F.coalesce("next_sketch", "first_sketch"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    sized = whole.withColumn("n_chars", F.length("text").cast("long")).withColumn("__half", half)
+    edited = sized.withColumn("edited", F.concat(F.expr("left(text, int(n_chars) - __half)"), F.expr("left(next_text, __half)")))
+    done = with_sketch(edited, "edited", "edited_sketch")
+    return done.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
