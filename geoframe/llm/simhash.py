@@ -31,10 +31,12 @@ from geoframe.plans.storage import stored
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints of a shard beyond which it is split, and links that a member of a group has to others at most, about.
 SHARD_MOST, FAN_OUT = 4096, 16
+#: Shingles from which a fingerprint may be linked at the wide radius.
+LONG = 32
 
 
-def of_texts(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of lowered texts, as unsigned integers."""
+def of_texts(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of lowered texts, as unsigned integers, and how many shingles each has."""
     starts, ends, firsts = words_of(data, offsets)
     sizes = ends - starts
     # The words again, with one space after each.
@@ -54,20 +56,20 @@ def of_texts(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> n
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         counts = np.add.reduceat(bits, bounds[some], axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * counts > shingles[some, None], axis=1).view(">u8").ravel()
-    return out
+    return out, shingles
 
 
 def fingerprints(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """Per row of docs the columns keep and fp, the fingerprint's 64 bits as a long."""
+    """Per row of docs the columns keep, fp (the fingerprint's 64 bits as a long) and shingles (how many it is made from)."""
     fields = [docs.schema[c] for c in keep]
 
     def rows(batches):
         for batch, data, offsets in text_batches(batches):
-            fp = of_texts(data, offsets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*(f.name for f in fields), "fp"])
+            fp, shingles = of_texts(data, offsets)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64)), pa.array(shingles)], [*(f.name for f in fields), "fp", "shingles"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return small_batches(docs).select(*keep, "text").mapInArrow(rows, schema + ", fp long")
+    return small_batches(docs).select(*keep, "text").mapInArrow(rows, schema + ", fp long, shingles long")
 
 
 class BKTree:
@@ -130,10 +132,13 @@ def signed(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >> 63 else mask)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (src, dst) between the distinct fingerprints (fp) that hold all of their groups together."""
+def links(distinct: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
+    """Links (src, dst) between the distinct fingerprints (fp) that hold all of their groups together.
+
+    Of radius + agree blocks, so many agree in any two that are linked; more make more, smaller shards.
+    """
     spark, full = distinct.sparkSession, (1 << 64) - 1
-    keyed = [(m, full & ~m) for m in masks(full, radius + 2, 2)]
+    keyed = [(m, full & ~m) for m in masks(full, radius + agree, agree)]
     shard = F.explode(F.array(*[F.struct(F.lit(m - (1 << 64) if m >> 63 else m).alias("mask"), F.col("fp").bitwiseAND(signed(m)).alias("value")) for m, _ in keyed]))
     rows = stored(distinct.select("fp", shard.alias("s")).select("s.mask", "s.value", "fp"), "shards")
     found = []
@@ -184,10 +189,17 @@ def tree_links(shards: DataFrame, radius: int) -> DataFrame:
     return shards.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(rows, "src long, dst long")
 
 
-def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """For each distinct fp of prints (doc_id, fp): component_id, the smallest doc_id of what it is linked to."""
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
-    labels = connected_components(links(distinct, radius))
+def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, wide: tuple[int, int] | None = None) -> DataFrame:
+    """For each distinct fp of prints (doc_id, fp, shingles): component_id, the smallest doc_id of what it is linked to.
+
+    wide = (radius, agree) links fingerprints of at least LONG shingles farther out, too; those of few shingles have few
+    bits set or shared by chance, so they keep the narrow radius.
+    """
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("shingles").alias("shingles")), "fingerprints")
+    found = links(distinct, radius)
+    if wide:
+        found = found.union(links(distinct.where(F.col("shingles") >= LONG), *wide))
+    labels = connected_components(found)
     rooted = stored(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root")), "rooted")
     smallest = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
     return stored(rooted.join(smallest, "root").select("fp", "component_id"), "class-of")
@@ -200,11 +212,11 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, wide: tuple[int, int] | None = None) -> DataFrame:
     """The rows of docs, with their own columns, of which one stays for each class: that with the smallest doc_id."""
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     prints = stored(fingerprints(keyed, ["doc_id", "__row"]), "prints")
-    best = prints.join(fingerprint_classes(prints, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = prints.join(fingerprint_classes(prints, radius, wide), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows that share their smallest doc_id: one of them.
     chosen = stored(best.groupBy("component_id").agg(F.min("__row").alias("__row")).select("__row"), "chosen")
     return keyed.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
