@@ -17,8 +17,9 @@ from geoframe.llm.text import BASES, SPACES, SpanHash, words_of
 LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"
 CORE_AND_MARKS = re.compile(rf"( ?[{LETTERS}]+)([{MARKS}]+)").fullmatch
+CORE = re.compile(rf" ?[{LETTERS}]+").fullmatch
 #: Cores (some 200 bytes each) and pieces (some 40 bytes each) remembered per worker.
-MOST_CORES, MOST_PIECES = 400_000, 1_000_000
+MOST_CORES, MOST_PIECES = 800_000, 2_000_000
 
 _of_worker: dict[str, Ids] = {}
 
@@ -70,13 +71,25 @@ class Ids:
         if len(self.cores) + len(new) > MOST_CORES:
             self.cores.clear()
             new = list(needed)
-        if new:
-            found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32).tobytes()
-            ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
-            self.cores.update((c, ids[a:b]) for c, a, b in zip(new, ends[:-1], ends[1:]))
+        # Cores of letters alone go through as one text, which is faster; token offsets tell them apart again.
+        plain = [c for c in new if (self.lowers or c[0:1] == " ") and CORE(c)]
+        if plain:
+            glue = " " if self.lowers else ""
+            found = self.tokenizer.encode(glue.join(plain), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(c) + len(glue) for c in plain])
+            self.keep(plain, found.ids, np.searchsorted(starts, [o[0] for o in found.offsets], "right") - 1)
+        rest = [c for c in new if c not in self.cores]
+        if rest:
+            found = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            self.keep(rest, found.ids, found.word_ids)
         return [self.cores[cs[0]] if len(cs) == 1 else b"".join([self.cores[c] for c in cs]) for cs in parts]
 
+    def keep(self, cores: list[str], ids: list[int], of) -> None:
+        """Remember the ids of each core; of: the place in cores that each id belongs to, ascending."""
+        raw = np.array(ids, np.uint32).tobytes()
+        ends = (4 * np.searchsorted(np.asarray(of, np.int64), np.arange(len(cores) + 1))).tolist()
+        self.cores.update((c, raw[a:b]) for c, a, b in zip(cores, ends[:-1], ends[1:]))
+
     def learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
         """Remember pieces under their (ascending) keys."""
         found = self.encoded(pieces)
