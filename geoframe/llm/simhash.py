@@ -190,7 +190,9 @@ def tree_links(shards: DataFrame, radius: int) -> DataFrame:
 
 
 def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, wide: tuple[int, int] | None = None) -> DataFrame:
-    """For each distinct fp of prints (doc_id, fp, shingles): component_id, the smallest doc_id of what it is linked to.
+    """For each distinct fp of prints (doc_id, fp, shingles): root, the class of what it is linked to, and component_id, its smallest doc_id.
+
+    Classes may share a component_id (null, or an id that repeats), never a root.
 
     wide = (radius, agree) links fingerprints of at least LONG shingles farther out, too; those of few shingles have few
     bits set or shared by chance, so they keep the narrow radius.
@@ -202,7 +204,7 @@ def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, wide: tuple[int
     labels = connected_components(found)
     rooted = stored(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root")), "rooted")
     smallest = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
-    return stored(rooted.join(smallest, "root").select("fp", "component_id"), "class-of")
+    return stored(rooted.join(smallest, "root").select("fp", "root", "component_id"), "class-of")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -217,6 +219,6 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, wide: tuple[int, int] | N
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     prints = stored(fingerprints(keyed, ["doc_id", "__row"]), "prints")
     best = prints.join(fingerprint_classes(prints, radius, wide), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows that share their smallest doc_id: one of them.
-    chosen = stored(best.groupBy("component_id").agg(F.min("__row").alias("__row")).select("__row"), "chosen")
+    # Rows of a class that share its smallest doc_id: one of them.
+    chosen = stored(best.groupBy("root").agg(F.min("__row").alias("__row")).select("__row"), "chosen")
     return keyed.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
