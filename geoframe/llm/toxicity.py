@@ -3,7 +3,7 @@
 Only documents have labels; sentences don't. A sentence's logit is a bias and the weights of its words (a word that
 repeats the one before it left out; each word's own, and those of its first four and five letters, which catch inflected forms); p = sigmoid(logit). A document's
 score is the noisy-or of its sentences, 1 - prod(1 - p), and the weights are those under which the document labels are
-likeliest. The trained sentence scores then say which sentences offend.
+likeliest. A sentence without a telling word is no evidence: its p is exactly zero, however many of them a text has. The trained sentence scores then say which sentences offend.
 
 Edge cases: a null or empty text, or one without letters, has no sentence and scores 0; labels that are null or belong
 to no document are not used; several labels of one document count as toxic if one does; with no labelled document of
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from geoframe.llm.text import LOWER, NO_LETTERS, small_batches, SpanHash, sums_between, text_batches, words_of
 
 BUCKETS = 1 << 18
-#: Logit of a sentence without a telling word; so low that many thousands of them leave a document clean.
+#: What is added to the weights of a telling sentence's words.
 BIAS = -11.0
 #: Bytes that end a sentence.
 ENDS = np.zeros(256, bool)
@@ -62,6 +62,12 @@ def logits(model: Model, buckets: np.ndarray, first_words: np.ndarray) -> np.nda
     return model.bias + sums_between(model.weights[buckets].sum(1), first_words)
 
 
+def evidence(model: Model, buckets: np.ndarray, first_words: np.ndarray) -> np.ndarray:
+    """logits(), and minus infinity for sentences without a word of any weight."""
+    silent = sums_between((model.weights[buckets] != 0).any(1), first_words) == 0
+    return np.where(silent, -np.inf, logits(model, buckets, first_words))
+
+
 def chunks(texts: list[str], size: int = 250):
     """sentences_of() so many texts at a time."""
     for at in range(0, len(texts), size):
@@ -89,7 +95,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 80, rate: float =
     """Weights by full-batch Adam on the likelihood of the document labels under noisy-or."""
     toxic = labels.astype(bool)
     used = telling(texts, toxic)
-    # Words without a telling bucket add nothing; sentences without such words all have the logit BIAS.
+    # Words without a telling bucket add nothing, nor do sentences without such words.
     parts = []
     for at, (buckets, first_words, first_sentences) in chunks(texts):
         some = np.flatnonzero(used[buckets].any(1))
@@ -100,12 +106,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 80, rate: float =
     buckets, sentence = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] + n for p, n in zip(parts, base)])
     first_words = np.append(np.flatnonzero(np.diff(sentence, prepend=-1)), len(sentence))
     text = np.concatenate([p[1] for p in parts])[first_words[:-1]]
-    silent = np.concatenate([p[3] for p in parts]) - np.bincount(text, minlength=len(texts))
     model, words = Model(np.zeros(BUCKETS, np.float32), BIAS), np.diff(first_words)
     mean, square = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for t in range(1, epochs + 1):
         z = logits(model, buckets, first_words)
-        total = np.bincount(text, softplus(z), len(texts)) + silent * softplus(BIAS)
+        total = np.bincount(text, softplus(z), len(texts))
         pull = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-6, 60)), 1.0) / len(texts)
         by_word = np.repeat(pull[text] / (1 + np.exp(-np.clip(z, -60, 60))), words)
         grad = sum(np.bincount(buckets[:, k], by_word, BUCKETS) for k in range(buckets.shape[1]))
@@ -141,7 +146,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFra
             buckets, first_words, first_sentences, starts, ends = sentences_of(data, offsets)
             result, worst = np.zeros(n), np.full((n, 2), -1)
             if model is not None and len(starts):
-                z = logits(model, buckets, first_words)
+                z = evidence(model, buckets, first_words)
                 result = -np.expm1(-sums_between(softplus(z), first_sentences))
                 some = np.flatnonzero(np.diff(first_sentences))
                 top = np.maximum.reduceat(z, first_sentences[:-1][some])
@@ -168,7 +173,7 @@ def without_toxic(docs: DataFrame, model: Model | None, limit: float = 0.3) -> D
         for batch, data, offsets in text_batches(batches):
             if model is not None:
                 buckets, first_words, first_sentences, _, _ = sentences_of(data, offsets)
-                total = sums_between(softplus(logits(model, buckets, first_words)), first_sentences)
+                total = sums_between(softplus(evidence(model, buckets, first_words)), first_sentences)
                 batch = batch.filter(pa.array(-np.expm1(-total) < limit))
             yield batch
 
