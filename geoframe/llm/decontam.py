@@ -123,6 +123,10 @@ def near_hits(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, piece: np.n
     return best <= budget
 
 
+#: Before any start that an item can have: one that lacks its first bytes starts before its text, and may before the slice.
+NEVER = -(1 << 62)
+
+
 def best_end(pattern: bytes, text: bytes) -> tuple[int, int]:
     """Least edit distance of pattern to a substring of text, and the first place where such a substring ends."""
     marks: dict[int, int] = {}
@@ -154,7 +158,7 @@ def matches(pieces: Pieces, data: np.ndarray, offsets: np.ndarray) -> list[tuple
     item, begin = pieces.item[piece[near]], place[near] - pieces.at[piece[near]]
     for t, i, at in sorted(zip(text[near].tolist(), item.tolist(), begin.tolist())):
         k, pattern = pieces.budgets[i], pieces.items[i]
-        if at <= tried.get((t, i), -1) or found.get((t, i), (1,))[0] == 0:
+        if at <= tried.get((t, i), NEVER) or found.get((t, i), (1,))[0] == 0:
             continue
         low, high = max(at - k, ends[t]), min(at + len(pattern) + 2 * k, ends[t + 1])
         distance, end = best_end(pattern, raw[low:high])
