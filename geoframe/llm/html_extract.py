@@ -1,10 +1,13 @@
 """Main text of web pages by tree scoring.
 
-Blocks of text pass points to the element around them and, halved, to the one around that: one for being a block, one for each comma
-and one for each hundred characters. An element's points are discounted by the share of its text that stands in links.
-The element with the most is the main container; siblings of it that score well, or are long paragraphs with few links
-or headings before it, are kept too. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
-styles are left out before any scoring, by their element's name or the words of its class, id and role.
+Blocks of text pass points to the element around them and, halved at each step, to all elements around that: one for being
+a block, one for each comma and one for each hundred characters. An element's points are discounted by the share of its
+text that stands in links. From the element with the most, the main container is the outermost article or main element
+around it or, outside of those, the lowest one that holds all elements with text of their own of more than a short line,
+however much more the best one has. All of it is kept but lists of links that stand apart from text, and of its siblings
+those that score well, are long paragraphs with few links or headings before it. Menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts and styles are left out before any scoring, by their element's name or the
+words of its class, id and role.
 
 Edge cases: null or empty html, or html without text outside those parts, gives an empty text; unclosed elements end
 where their parent does or where the next block of their kind begins; a stray end tag is ignored; a "<" that starts no
@@ -31,19 +34,36 @@ UNWANTED = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadc
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPHS = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption", "summary"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Points of an element's own blocks from which it holds text: more than a short line gives.
+LEAST = 1.5
 
 
 class Element:
-    __slots__ = ("name", "parent", "points", "chars", "linked", "out", "main", "first")
+    __slots__ = ("name", "parent", "points", "own", "chars", "linked", "out", "main", "first")
 
     def __init__(self, name: str, parent: Element | None, out: bool):
         self.name, self.parent, self.out = name, parent, out
         self.main = name in ("article", "main") or bool(parent and parent.main)
-        self.points, self.chars, self.linked, self.first = 0.0, 0, 0, -1
+        self.points, self.own, self.chars, self.linked, self.first = 0.0, 0.0, 0, 0, -1
 
     def score(self) -> float:
         return (self.points + (5 if self.name in ("article", "main") else 0)) * (1 - self.linked / max(self.chars, 1))
 
+    def has_text(self) -> bool:
+        return self.own * (1 - self.linked / max(self.chars, 1)) >= LEAST
+
+    def around(self) -> Element:
+        """The element that gets the points of this block."""
+        return self.parent if self.name in PARAGRAPHS and self.parent is not None else self
+
+    def lineage(self) -> list[Element]:
+        """The element and all around it, innermost first."""
+        found, e = [], self
+        while e is not None:
+            found.append(e)
+            e = e.parent
+        return found
+
 
 def unwanted(name: str, attributes: str, parent: Element) -> bool:
     if name in LEFT_OUT or (name == "header" and not parent.main):
@@ -119,37 +139,45 @@ def main_text(html: str | None) -> str:
         return ""
     holders: dict[int, Element] = {}
     for i, (block, text, linked) in enumerate(found):
-        around = block.parent if block.name in PARAGRAPHS and block.parent is not None else block
         points = (1 + text.count(",") + len(text) / 100) * (0.2 if block.name in HEADINGS else 1)
-        for share, e in ((1.0, around), (0.5, around.parent)):
-            if e is not None:
-                e.points += share * points
-                holders[id(e)] = e
-        e = block
-        while e is not None:
+        block.around().own += points
+        for e in block.around().lineage():
+            e.points, points = e.points + points, points / 2
+            holders[id(e)] = e
+        for e in block.lineage():
             e.chars, e.linked = e.chars + len(text), e.linked + linked
             if e.first < 0:
                 e.first = i
-            e = e.parent
     best = max(holders.values(), key=lambda e: (e.score(), -e.first))
     while best.name in PARAGRAPHS and best.parent is not None:
         best = best.parent
-    kept = {id(best)}
-    for block, text, linked in found:
-        e = block
-        while e is not None and e.parent is not best.parent:
-            e = e.parent
-        if e is None or e is best or best.parent is None:
-            continue
-        few_links = e.linked < 0.25 * e.chars
-        if (id(e) in holders and e.score() >= max(3.0, 0.2 * best.score())) or (e.name == "p" and few_links and e.chars > 80) or (e.name in HEADINGS and few_links and e.first < best.first):
-            kept.add(id(e))
+    line = best.lineage()
+    place = {id(e): n for n, e in enumerate(line)}
+    top = max((n for n, e in enumerate(line) if e.main), default=0)
+    for e in holders.values():
+        # Beside an article or main element, only text in another one counts.
+        if e.has_text() and (e.main or not best.main):
+            while id(e) not in place:
+                e = e.parent
+            top = max(top, place[id(e)])
+    main = line[top]
     out = []
     for block, text, _ in found:
-        e = block
-        while e is not None and id(e) not in kept:
-            e = e.parent
-        if e is not None:
+        around, wanted, beside = block.around(), False, None
+        for e in block.lineage():
+            if e is best:
+                wanted = True
+                break
+            if e is main:
+                wanted = around.linked < 0.5 * around.chars or bool(around.parent and around.parent.has_text())
+                break
+            if e.parent is main.parent:
+                beside = e
+                break
+        if beside is not None:
+            few_links = beside.linked < 0.25 * beside.chars
+            wanted = (id(beside) in holders and beside.score() >= 3) or (beside.name == "p" and few_links and beside.chars > 80) or (beside.name in HEADINGS and few_links and beside.first < main.first)
+        if wanted:
             out.append(text)
     return "\n\n".join(out)
 
