@@ -98,15 +98,18 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, (~NO_LETTERS[out]).sum(1), firsts
 
 
-def fit(docs: DataFrame, most: int = 6000, max_chars: int = 50_000, per_text: int = 3) -> Network | None:
-    """Train on a bounded sample of docs (text, lang): about as many of each language, chosen by a hash of the row, at most `most`."""
+def fit(docs: DataFrame, most: int = 6000, max_chars: int = 50_000, per_text: int = 3, languages: int = 200) -> Network | None:
+    """Train on a bounded sample of docs (text, lang): about as many of each language, chosen by a hash of the row, at most `most`.
+
+    Only the `languages` most frequent values of lang are learned, and none that has only texts of over max_chars.
+    """
     known = docs.where("lang is not null and text is not null").where(F.length("text") <= max_chars).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("place"))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(200).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(languages).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, 1.2 * most / len(counts) / n) * (1 << 20)))])
     got = known.where(F.col("place") < share[F.col("lang")]).orderBy("place", "text").limit(most).select("lang", "text").toArrow()
-    languages = sorted(set(got["lang"].to_pylist()))
+    learned = sorted(set(got["lang"].to_pylist()))
     rng, windows, y = np.random.default_rng(3), [], []
     for lang, text in zip(got["lang"].to_pylist(), got["text"].to_pylist()):
         data = LOWER[np.frombuffer(text.encode(), np.uint8)]
@@ -116,8 +119,8 @@ def fit(docs: DataFrame, most: int = 6000, max_chars: int = 50_000, per_text: in
             window[: len(part)] = part
             if (~NO_LETTERS[part]).any():
                 windows.append(window)
-                y.append(languages.index(lang))
-    return Network(languages, train(np.array(windows), np.array(y), len(languages))) if windows else None
+                y.append(learned.index(lang))
+    return Network(learned, train(np.array(windows), np.array(y), len(learned))) if windows else None
 
 
 def no_letters(raw: bytes) -> bool:
