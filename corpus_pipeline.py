@@ -24,12 +24,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
-
-    Copies of a similarity of 0.8 or more differ in up to about ten bits, most in six or fewer, unrelated texts of some
-    length in some thirty; so texts that aren't short are linked at six bits, short ones at three.
-    """
-    return simhash.one_of_each(docs, wide=(6, 3))
+    """Of each class of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

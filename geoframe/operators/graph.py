@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,12 +14,38 @@ from pyspark.sql.window import Window
 from geoframe.functions.columns import distance2, vec
 from geoframe.plans.storage import stored
 
+#: Edges that one task finishes by itself.
+LAST_EDGES = 200_000
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least that edges (a, b) lead to."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (least == label[a]).all() and (least == label[b]).all():
+            return label
+        for end in (a, b):
+            np.minimum.at(label, label[end], least)
+        label = label[label]
+
+
+def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, parent) of the components of all edges (u, v) of one task."""
+    table = pa.Table.from_batches(list(batches))
+    ends = pa.chunked_array([*table["u"].chunks, *table["v"].chunks], table["u"].type)
+    nodes = pc.unique(ends)
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    codes = pc.index_in(ends, nodes).to_numpy().astype(np.int64)
+    label = least_labels(len(nodes), codes[: table.num_rows], codes[table.num_rows :])
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["node", "parent"])
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Per node of the edges (node, component): the smallest node that can be reached.
 
     Each round every node points to its smallest neighbour, pointers are followed twice over, and the edges are drawn
-    between what they lead to, until no edge is left. Each table of a round is written to the shared folder, so both
+    between what they lead to, until no edge is left; at most LAST_EDGES edges go to one task, which finishes them. Each table of a round is written to the shared folder, so both
     sides of each join are plain scans, whose hot keys adaptive execution can split. Edges with a null end are left out;
     a node whose only edge is a loop is its own component; no edges give no rows.
     """
@@ -22,7 +53,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     left = stored(pairs.distinct(), "edges")
     labels = stored(left.selectExpr("u as node").union(left.selectExpr("v as node")).distinct().selectExpr("node", "node as component"), "labels")
     left = left.where("u <> v")
-    while not left.isEmpty():
+    kind = left.schema["u"].dataType.simpleString()
+    while many := left.count():
+        if many <= LAST_EDGES and kind in ("bigint", "int", "string", "binary"):
+            moved = left.coalesce(1).mapInArrow(finished, f"node {kind}, parent {kind}").withColumnRenamed("node", "component")
+            return stored(labels.join(moved, "component", "left").selectExpr("node", "coalesce(parent, component) as component"), "labels")
         both = left.union(left.select("v", "u"))
         parent = stored(both.groupBy("u").agg(F.min("v").alias("v")).selectExpr("u as node", "least(u, v) as parent"), "parents")
         for _ in range(2):
