@@ -36,7 +36,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints that a shard is meant to have, and beyond which it is split.
 NODES, SHARD_MOST = 1024, 16_384
 #: Entries of the searches under way in a task at once, and links held before they are cut down to a forest.
-FRONTIER, HELD = 1 << 20, 1 << 20
+FRONTIER, HELD = 1 << 18, 1 << 19
 #: Of near copies: independent fingerprints, their radius, words of their shingles, words of the shingles that are compared, and the similarity of a link.
 TABLES, WIDE, PAIR, FIVE, LEAST = 6, 5, 2, 5, 0.8
 FULL = (1 << 64) - 1
@@ -313,8 +313,8 @@ def digest(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (src, dst) whose texts (t, text) have sets of five-word shingles with at least that Jaccard similarity."""
+def alike(pairs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (src, dst, src_text, dst_text) whose texts' sets of five-word shingles have at least that Jaccard similarity."""
 
     def rows(batches):
         for batch in batches:
@@ -328,8 +328,7 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame
                 kept[i] = both >= least * (n + m - both)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept)) for i in (0, 1)], ["src", "dst"])
 
-    first, second = (texts.select(F.col("t").alias(key), F.col("text").alias(f"{key}_text")) for key in ("src", "dst"))
-    return small_batches(pairs).join(first, "src").join(second, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(rows, "src binary, dst binary")
+    return small_batches(pairs).select("src", "dst", "src_text", "dst_text").mapInArrow(rows, "src binary, dst binary")
 
 
 def copy_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
@@ -347,16 +346,19 @@ def copy_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     ends = [first.select("table", F.col("fp").alias(k), F.col("name").alias(f"{k}_name")) for k in ("src", "dst")]
     near = links(first.select("table", "fp"), WIDE).join(ends[0], ["table", "src"]).join(ends[1], ["table", "dst"]).select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
     candidates = stored(near.union(shared).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates")
-    groups = connected_components(candidates)
-    wanted = stored(groups.select(F.col("node").alias("t")), "candidate-texts")
-    known = docs.select(digest("text").alias("t"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "t", "left_semi")
-    texts = stored(known.groupBy("t").agg(F.first("text").alias("text")), "texts-of-candidates")
-    with_first = stored(alike(groups.where("node <> component").select(F.col("component").alias("src"), F.col("node").alias("dst")), texts), "like-the-first")
-    settled = stored(groups.join(with_first.select(F.col("dst").alias("node"), F.lit(True).alias("like")), "node", "left").select("node", (F.col("like").isNotNull() | (F.col("node") == F.col("component"))).alias("like"), "component"), "settled")
-    ends = [settled.select(F.col("node").alias(k), F.col("like").alias(f"{k}_like"), F.col("component").alias(f"{k}_first")) for k in ("src", "dst")]
+    groups = connected_components(candidates).select(F.col("node").alias("t"), F.col("component").alias("first"))
+    # The merge hints keep one plan for all sizes: what they are put on grows with the corpus.
+    known = docs.select(digest("text").alias("t"), F.coalesce("text", F.lit("")).alias("text")).join(groups.hint("merge"), "t")
+    texts = stored(known.groupBy("t").agg(F.first("first").alias("first"), F.first("text").alias("text")), "texts-of-candidates")
+    firsts = texts.where("t = first").select(F.col("t").alias("src"), F.col("text").alias("src_text"))
+    members = texts.where("t <> first").select(F.col("first").alias("src"), F.col("t").alias("dst"), F.col("text").alias("dst_text"))
+    like_first = stored(alike(members.join(firsts.hint("merge"), "src")), "like-the-first")
+    settled = stored(groups.join(like_first.select(F.col("dst").alias("t"), F.lit(True).alias("like")), "t", "left").select("t", (F.col("like").isNotNull() | (F.col("t") == F.col("first"))).alias("like"), "first"), "settled")
+    ends = [settled.select(F.col("t").alias(k), F.col("like").alias(f"{k}_like"), F.col("first").alias(f"{k}_first")) for k in ("src", "dst")]
     # A link to the group's first has been compared, whatever came of it.
-    left = candidates.join(ends[0], "src").join(ends[1], "dst").where("not (src_like and dst_like) and src <> src_first and dst <> dst_first")
-    return with_first.union(alike(left.select("src", "dst"), texts))
+    left = stored(candidates.join(ends[0], "src").join(ends[1], "dst").where("not (src_like and dst_like) and src <> src_first and dst <> dst_first").select("src", "dst"), "links-left")
+    sides = [texts.select(F.col("t").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst")]
+    return like_first.union(alike(left.join(sides[0], "src").join(sides[1], "dst")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -375,9 +377,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = prints.groupBy("doc_id", "t").count()
     one = chosen.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
     marked = rows.join(one, (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("__t").isNotNull().alias("__stays"), "count")
-    # Rows that go, and those that stay but repeat: the lesser part, which Spark sends to the tasks if it is small.
-    others = stored(marked.where("not __stays or count > 1").select("__id", "__t", "__stays"), "others")
+    marked = stored(marked.where("not __stays or count > 1").select("__id", "__t", "__stays"), "rows-that-go-or-repeat")
+    repeating = stored(marked.where("__stays").drop("__stays"), "rows-that-repeat")
     same = (own[t] == F.col("__t")) & own["doc_id"].eqNullSafe(F.col("__id"))
-    once = own.join(others, same, "left_anti")
-    repeated = own.join(others.where("__stays"), same, "left_semi").dropDuplicates(["doc_id", t])
+    once = own.join(marked.drop("__stays").hint("merge"), same, "left_anti")
+    repeated = own.join(repeating, same, "left_semi").dropDuplicates(["doc_id", t])
     return once.unionByName(repeated).drop(t)
