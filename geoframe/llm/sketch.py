@@ -2,7 +2,8 @@
 
 A sketch keeps every distinct shingle hash that lies in the lowest FRACTION of all hashes. As the threshold is the same
 for every document, sketches can be merged (union), and the share of a short document's sketch that a long one's holds
-estimates containment however unequal they are. The smallest hash is kept in any case, so no text has an empty sketch.
+estimates containment however unequal they are. The smallest hash of all is kept apart: it compares texts of so few
+shingles that none is under the threshold, and is no part of a sketch that is merged.
 
 Words are what white space separates, letters lowered; a shingle is five words. Edge cases: a text of fewer words is one
 shingle; a null or empty text, or one of white space alone, is the shingle of no words; rows that share a doc_id follow
@@ -26,37 +27,44 @@ THRESHOLD = -(1 << 63) + (1 << 64) // FRACTION
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the sketch of the column text as the array<bigint> column name."""
+    """df with the sketch of the column text as the column name: hashes (those under the threshold, ascending, maybe none) and
+    least, the smallest hash of all, which is kept apart."""
     words, hashes = f"__{name}_words", f"__{name}_hashes"
     shingle = lambda i: F.xxhash64(F.slice(F.col(words), i, SHINGLE))
     places = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
     return (
         df.withColumn(words, F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \t-\r]+"), ""))
         .withColumn(hashes, F.transform(places, shingle))
-        .withColumn(name, F.array_sort(F.array_distinct(F.concat(F.array(F.array_min(hashes)), F.filter(hashes, lambda h: h < THRESHOLD)))))
+        .withColumn(name, F.struct(F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < THRESHOLD))).alias("hashes"), F.array_min(hashes).alias("least")))
         .drop(words, hashes)
     )
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of two documents taken together."""
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of two documents taken together: just that of the union of their shingles."""
+    return F.struct(F.array_sort(F.array_union(a["hashes"], b["hashes"])).alias("hashes"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the shingle sets behind two sketches, estimated."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    """Jaccard similarity of the shingle sets behind two sketches, estimated; of two without hashes, whether their smallest are the same."""
+    both = F.size(F.array_intersect(a["hashes"], b["hashes"]))
+    either = F.size(a["hashes"]) + F.size(b["hashes"]) - both
+    return F.when(either > 0, both / either).otherwise((a["least"] == b["least"]).cast("double"))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Share of the first one's shingles that the second has, estimated."""
-    return F.size(F.array_intersect(a, b)) / F.size(a)
+    """Share of the first one's shingles that the second has, estimated: 1 if the second holds the first, however short that is.
+
+    A first sketch without hashes tells only that its text is not held if the second one's smallest hash is larger than its own.
+    """
+    n = F.size(a["hashes"])
+    return F.when(n > 0, F.size(F.array_intersect(a["hashes"], b["hashes"])) / n).otherwise((b["least"] <= a["least"]).cast("double"))
 
 
 def as_text(sketch: Column) -> Column:
-    """The sketch's hashes, 16 hex digits each."""
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    """The sketch's hashes, 16 hex digits each; if there are none, "-" and the smallest hash."""
+    digits = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.lower(F.when(F.size(sketch["hashes"]) > 0, F.array_join(F.transform(sketch["hashes"], digits), "")).otherwise(F.concat(F.lit("-"), digits(sketch["least"]))))
 
 
 def with_range(docs: DataFrame) -> DataFrame:
