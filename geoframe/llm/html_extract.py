@@ -5,9 +5,11 @@ a block, one for each comma and one for each hundred characters. An element's po
 text that stands in links. From the element with the most, the main container is the outermost article or main element
 around it or, outside of those, the lowest one that holds all elements with text of their own of more than a short line,
 however much more the best one has. All of it is kept but lists of links that stand apart from text, and of its siblings
-those that score well, are long paragraphs with few links or headings before it. Menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts and styles are left out before any scoring, by their element's name or the
-words of its class, id and role.
+those that score well, are long paragraphs with few links or headings before it; outside of article and main elements all
+siblings with few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left
+out before any scoring, by their element's name or the words of its class, id and role. What only its words tell against
+stays if it holds half the page's text, few of it in links (a wrapper of the article); a word of NEVER doesn't count
+behind no-, has- and the like, a word of PERHAPS not inside an article or main element unless most of the text is links.
 
 Edge cases: null or empty html, or html without text outside those parts, gives an empty text; unclosed elements end
 where their parent does or where the next block of their kind begins; a stray end tag is ignored; a "<" that starts no
@@ -22,14 +24,23 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from geoframe.llm.text import small_batches
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "canvas", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "math", "mi", "mn", "mo", "mrow", "mtext", "mfrac", "msub", "msup", "msubsup", "msqrt", "object"}
 LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "dialog", "menu", "head"} | RAW
-UNWANTED = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "warning", "widget", "contentinfo", "complementary", "search"}
+#: Elements that stand in a head; any other ends it.
+IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
+#: Words of class, id and role of what goes whatever it holds; of what goes unless it holds half the text; of what may be part of an article.
+NEVER = {"ad", "ads", "advert", "advertisement", "adverts", "comment", "comments", "consent", "cookie", "cookies", "disqus", "newsletter", "notice", "promo", "promoted", "replies", "reply", "sponsor", "sponsored"}
+SELDOM = {"banner", "breadcrumb", "breadcrumbs", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "pager", "pagination", "popup", "share", "sharing", "sidebar", "signup", "social", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search"}
+PERHAPS = {"related", "warning"}
+#: Before or behind a word in one name, these make it say something about what is around.
+ABOUT = {"no", "non", "not", "has", "with", "without", "hide", "hidden", "enabled", "disabled", "free", "open", "closed"}
 #: An element of the key's kind ends an open one of the value's kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPHS = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption", "summary"}
@@ -39,10 +50,10 @@ LEAST = 1.5
 
 
 class Element:
-    __slots__ = ("name", "parent", "points", "own", "chars", "linked", "out", "main", "first")
+    __slots__ = ("name", "parent", "points", "own", "chars", "linked", "out", "words", "main", "first")
 
-    def __init__(self, name: str, parent: Element | None, out: bool):
-        self.name, self.parent, self.out = name, parent, out
+    def __init__(self, name: str, parent: Element | None, out: bool, words: set[str] = frozenset()):
+        self.name, self.parent, self.out, self.words = name, parent, out, words
         self.main = name in ("article", "main") or bool(parent and parent.main)
         self.points, self.own, self.chars, self.linked, self.first = 0.0, 0.0, 0, 0, -1
 
@@ -65,12 +76,33 @@ class Element:
         return found
 
 
-def unwanted(name: str, attributes: str, parent: Element) -> bool:
-    if name in LEFT_OUT or (name == "header" and not parent.main):
-        return True
+def words_against(name: str, attributes: str) -> set[str]:
+    """Words of the element's class, id and role that tell against it."""
     if name in ("html", "body", "article", "main") or "=" not in attributes:
-        return False
-    return any(w in UNWANTED for m in NAMES.finditer(attributes) for w in WORD.findall(m[1].lower()))
+        return frozenset()
+    names = [WORD.findall(n) for m in NAMES.finditer(attributes) for n in m[1].lower().strip("\"'").split()]
+    return {w for ws in names if not ABOUT.intersection(ws) for w in ws} & (NEVER | SELDOM | PERHAPS)
+
+
+def wanted_only(found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """The blocks, without those in elements that their words and their share of text and links tell against."""
+    chars: dict[Element, list[int]] = {}
+    for block, text, linked in found:
+        for e in block.lineage():
+            sums = chars.setdefault(e, [0, 0])
+            sums[0], sums[1] = sums[0] + len(text), sums[1] + linked
+    total = sum(len(text) for block, text, _ in found if not any(e.words & NEVER for e in block.lineage()))
+
+    def goes(e: Element) -> bool:
+        if not e.words:
+            return False
+        n, linked = chars[e]
+        if e.words & NEVER or 2 * linked >= n:
+            return True
+        return 2 * n < total if e.words & SELDOM or not (e.parent and e.parent.main) else False
+
+    gone = {e: goes(e) for e in chars}
+    return [b for b in found if not any(gone[e] for e in b[0].lineage())]
 
 
 def blocks_of(html: str) -> list[tuple[Element, str, int]]:
@@ -116,6 +148,8 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
             if depth and not (inline and any(e.name not in INLINE for e in stack[depth + 1 :])):
                 del stack[depth:]
         else:
+            if name not in IN_HEAD and stack[-1].name == "head":
+                del stack[-1:]
             if not inline:
                 ends = CLOSES.get(name, set()) | {"p"}
                 for i in range(len(stack) - 1, 0, -1):
@@ -124,7 +158,8 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
                         break
                     if stack[i].name not in INLINE and not (name in CLOSES and stack[i].name in PARAGRAPHS):
                         break
-            stack.append(Element(name, stack[-1], stack[-1].out or unwanted(name, attributes, stack[-1])))
+            out = stack[-1].out or name in LEFT_OUT or (name == "header" and not stack[-1].main)
+            stack.append(Element(name, stack[-1], out, words_against(name, attributes)))
         block = next(e for e in reversed(stack) if e.name not in INLINE)
         links = sum(e.name == "a" for e in stack)
     add(html[at:])
@@ -134,7 +169,7 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
 
 def main_text(html: str | None) -> str:
     """The wanted blocks, joined by a blank line."""
-    found = blocks_of(html or "")
+    found = wanted_only(blocks_of(html or ""))
     if not found:
         return ""
     holders: dict[int, Element] = {}
@@ -176,7 +211,7 @@ def main_text(html: str | None) -> str:
                 break
         if beside is not None:
             few_links = beside.linked < 0.25 * beside.chars
-            wanted = (id(beside) in holders and beside.score() >= 3) or (beside.name == "p" and few_links and beside.chars > 80) or (beside.name in HEADINGS and few_links and beside.first < main.first)
+            wanted = (few_links and not main.main) or (id(beside) in holders and beside.score() >= 3) or (beside.name == "p" and few_links and beside.chars > 80) or (beside.name in HEADINGS and few_links and beside.first < main.first)
         if wanted:
             out.append(text)
     return "\n\n".join(out)
@@ -190,4 +225,4 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(rows, "page_id long, url string, text string, n_chars long")
