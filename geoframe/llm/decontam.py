@@ -7,7 +7,7 @@ of L pieces may have L - 1 errors, and by the same argument one of the hits of a
 What is left is verified over the whole item. Both use Myers' bit-parallel distance, the first over all hits at once.
 
 Texts are compared as bytes, A-Z lowered and each white space byte as a space. Edge cases: a null or empty text holds
-nothing; a null or empty item is nowhere; items with the same text are each reported; repeated rows are each searched;
+nothing; a null or empty item, or one of white space alone, is nowhere; items with the same text are each reported; repeated rows are each searched;
 of several places of an item in a text the best, then the first, is reported; other columns are ignored. Items are sent
 to the tasks in blocks of bounded size, each searched against all texts.
 """
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from geoframe.llm.text import LOWER, small_batches, SPACES, SpanHash, text_batches
 
 RATE = 0.1
+#: First bytes of a piece that are looked up.
+USUAL = 5
 #: Bytes of items sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 HITS = "doc_id long, item_id long, distance int, budget int, start long, end long"
@@ -35,9 +37,13 @@ PLAIN[SPACES] = 32
 
 @dataclass
 class Pieces:
-    """All pieces of the items, ascending by the hash of their first `common` bytes."""
+    """All pieces of the items, by the group of lengths that they are in, then by the hash of their first bytes.
 
-    common: int
+    groups: for each, how many first bytes are hashed, and from where to where its pieces are. Pieces of less than USUAL bytes
+    (items of less than USUAL bytes, which may have no error) have a group for each length, so they don't make the others' hashes short.
+    """
+
+    groups: list[tuple[int, int, int]]
     item: np.ndarray
     at: np.ndarray
     size: np.ndarray
@@ -45,7 +51,7 @@ class Pieces:
     node_size: np.ndarray
     node_budget: np.ndarray
     hashes: np.ndarray
-    likely: np.ndarray
+    likely: list[np.ndarray]
     items: list[bytes]
     budgets: list[int]
     item_ids: list
@@ -56,7 +62,7 @@ def cut_items(texts: list[str | None], item_ids: list, rate: float) -> Pieces:
     budgets = [int(rate * len(t)) for t in items]
     rows = []
     for n, (text, k) in enumerate(zip(items, budgets)):
-        if not text:
+        if not text.strip():
             continue
         cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
         for i in range(k + 1):
@@ -66,28 +72,43 @@ def cut_items(texts: list[str | None], item_ids: list, rate: float) -> Pieces:
                 a, b = (a, middle) if i < middle else (middle, b)
             rows.append((n, cuts[i], cuts[i + 1] - cuts[i], cuts[a], min(cuts[b] - cuts[a], 64), b - a - 1))
     table = np.array(rows, np.int64).reshape(-1, 6)
-    common = int(table[:, 2].min()) if len(table) else 1
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in items])]).astype(np.int64)
     begin = offsets[table[:, 0]] + table[:, 1]
-    hashes = SpanHash(np.frombuffer(b"".join(items), np.uint8))(begin, begin + common) if len(table) else np.zeros(0, np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    likely = np.zeros(1 << 20, bool)
-    likely[hashes >> np.uint64(44)] = True
-    return Pieces(common, *table[order].T, hashes[order], likely, items, budgets, item_ids)
+    own = np.minimum(table[:, 2], USUAL)
+    hashes = SpanHash(np.frombuffer(b"".join(items), np.uint8))(begin, begin + own) if len(table) else np.zeros(0, np.uint64)
+    order = np.lexsort((hashes, own))
+    hashes, own = hashes[order], own[order]
+    groups, likely = [], []
+    for size in np.unique(own).tolist():
+        at = np.flatnonzero(own == size)
+        groups.append((size, int(at[0]), int(at[-1]) + 1))
+        likely.append(np.zeros(1 << 20, bool))
+        likely[-1][hashes[at] >> np.uint64(44)] = True
+    return Pieces(groups, *table[order].T, hashes, likely, items, budgets, item_ids)
 
 
 def piece_hits(pieces: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, place and text of every exact hit."""
-    places = np.arange(max(0, len(data) - pieces.common + 1))
-    hashes = SpanHash(data)(places, places + pieces.common)
-    places = np.flatnonzero(pieces.likely[hashes >> np.uint64(44)])
-    low, high = (np.searchsorted(pieces.hashes, hashes[places], side) for side in ("left", "right"))
+    """Piece, place and text of every exact hit; of items that may have no error, the first one in each text."""
+    span = SpanHash(data)
+    found = [group_hits(pieces, n, span, data, offsets) for n in range(len(pieces.groups))]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def group_hits(pieces: Pieces, group: int, span: SpanHash, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    common, begin, end = pieces.groups[group]
+    places = np.arange(max(0, len(data) - common + 1))
+    hashes = span(places, places + common)
+    places = np.flatnonzero(pieces.likely[group][hashes >> np.uint64(44)])
+    low, high = (begin + np.searchsorted(pieces.hashes[begin:end], hashes[places], side) for side in ("left", "right"))
     many = high - low
     place = np.repeat(places, many)
     piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
     text = np.searchsorted(offsets, place, "right") - 1
     inside = place + pieces.size[piece] <= offsets[text + 1]
     piece, place, text = piece[inside], place[inside], text[inside]
+    if common < USUAL:  # whole items, and hashes of so few bytes: equal ones are found again in the comparison below
+        _, first = np.unique(text * len(pieces.item) + piece, return_index=True)
+        piece, place, text = piece[first], place[first], text[first]
     raw = data.tobytes()
     same = np.fromiter((raw[p : p + s] == pieces.items[i][a : a + s] for p, s, i, a in zip(place.tolist(), pieces.size[piece].tolist(), pieces.item[piece].tolist(), pieces.at[piece].tolist())), bool, len(piece))
     return piece[same], place[same], text[same]
