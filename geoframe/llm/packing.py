@@ -3,8 +3,7 @@
 Each example has a vector: tokens, one segment, loss-bearing tokens. A sequence has a limit for each. The open
 sequence takes, again and again, the example with the largest dot product of its vector with what the sequence has
 left (both as fractions of the limits) among those that fit; documents may also be cut, so what is left of a sequence
-is filled by the head of one more. A task packs its own rows in windows, so nothing is shuffled and no more than the
-last sequence of a task is short.
+is filled by the head of one more, if that is long enough. A task packs its own rows in windows, so nothing is shuffled.
 
 Edge cases: a null or empty text is its end id; an example longer than a sequence is cut (documents) or refused with
 an error (examples that must stay whole); rows that share an id are packed each; an empty table gives no rows; other
@@ -25,6 +24,8 @@ from pyspark.sql import functions as F
 from geoframe.llm.text import small_batches, text_batches
 from geoframe.llm.tokens import Ids, with_end
 
+#: Production limits of a sequence: pieces, loss-bearing tokens; and the shortest head that a cut leaves.
+SEGMENTS, LOSS, SHORTEST = 12, 2044, 16
 #: Tokens that a task holds before it packs them.
 WINDOW = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -68,15 +69,15 @@ def pack_rows(shelf: Shelf, limits: tuple[int, int, int], cut, last: bool):
 
     cut(item, tokens left, loss left) gives (head, tail) with their vectors, or None.
     """
-    waiting = sum(v[0] * len(items) for v, items in shelf.held.items())
-    while waiting > (0 if last else 8 * limits[0]):
+    waiting = sum(max(v[0], 1) * len(items) for v, items in shelf.held.items())
+    while shelf.held and (last or waiting > 8 * limits[0]):
         left, row = list(limits), []
-        while left[0] > 0 and left[1] > 0 and waiting > 0:
+        while left[1] > 0 and shelf.held:
             vector = shelf.best(left, False)
             if vector is not None:
                 item = shelf.take(vector)
             else:
-                vector = cut and shelf.best(left, True)
+                vector = cut and left[0] > 0 and shelf.best(left, True)
                 parts = vector and cut(item := shelf.take(vector), left[0], left[2])
                 if not parts:
                     if vector:
@@ -86,7 +87,7 @@ def pack_rows(shelf: Shelf, limits: tuple[int, int, int], cut, last: bool):
                 shelf.put(*rest, tail)
             row.append(item)
             left = [left[0] - vector[0], left[1] - 1, left[2] - vector[1]]
-            waiting -= vector[0]
+            waiting -= max(vector[0], 1)
         yield row
 
 
@@ -99,13 +100,14 @@ def sequence_ids():
         at += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, segments: int = 512, loss: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, segments: int = SEGMENTS, loss: int = LOSS, shortest: int = SHORTEST) -> DataFrame:
     """Pack the texts of docs (doc_id, text), cut where it helps, into sequences of at most length tokens.
 
-    A document's first id has nothing before it to be predicted from, so it bears no loss; all others do. Returns one
-    row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+    A document's first id has nothing before it to be predicted from, so it bears no loss; all others do. No cut leaves
+    less than shortest ids before it (unless a limit or the document is less). Returns one row per piece: doc_id, start,
+    length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
     """
-    limits = (length, segments, loss or length)
+    limits = (length, segments, min(loss, length))
 
     def vector(start: int, end: int) -> tuple[int, int]:
         return end - start, end - start - (start == 0)
@@ -113,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
     def cut(item, tokens: int, loss_left: int):
         doc, start, end = item
         size = min(tokens, loss_left + (start == 0))
-        if not 0 < size < end - start:
+        if not (shortest if tokens < length else 1) <= size < end - start:
             return None
         at = start + size
         return (vector(start, at), (doc, start, at)), (vector(at, end), (doc, at, end))
@@ -153,7 +155,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
 def pack_examples(examples: DataFrame, length: int = 2048, segments: int = 64, loss: int = 2048) -> DataFrame:
     """Pack whole examples (id, tokens, loss_tokens), as instruction data needs: none is cut.
 
-    Returns id, tokens, loss_tokens, sequence_id, offset. Null counts are 0; an example beyond a limit is an error.
+    Returns id, tokens, loss_tokens, sequence_id, offset. Null and negative counts are 0; an example beyond a limit is an
+    error; an example without tokens is placed like any other and takes a segment.
     """
     limits = (length, segments, loss)
 
@@ -175,7 +178,7 @@ def pack_examples(examples: DataFrame, length: int = 2048, segments: int = 64, l
                 if tokens > length or bearing > loss:
                     raise ValueError(f"example {name} exceeds a limit: {tokens} tokens, {bearing} loss-bearing")
                 shelf.put(max(tokens, 0), max(bearing, 0), (name, max(tokens, 0), max(bearing, 0)))
-                held += tokens
+                held += max(tokens, 1)
             if held >= WINDOW:
                 yield packed(False)
                 held = 0
