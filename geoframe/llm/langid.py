@@ -19,6 +19,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geoframe.llm.text import LOWER, NO_LETTERS, small_batches, sums_between, text_batches
 
@@ -98,17 +99,23 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, (~NO_LETTERS[out]).sum(1), firsts
 
 
-def fit(docs: DataFrame, most: int = 6000, max_chars: int = 50_000, per_text: int = 3, languages: int = 200) -> Network | None:
-    """Train on a bounded sample of docs (text, lang): about as many of each language, chosen by a hash of the row, at most `most`.
+def fit(docs: DataFrame, most: int = 6000, max_chars: int = 50_000, per_text: int = 3) -> Network | None:
+    """Train on a bounded sample of docs (text, lang): at most `most` texts, about as many of each language (one at least, as
+    long as there are no more languages than that), chosen by a hash of the row.
 
-    Only the `languages` most frequent values of lang are learned, and none that has only texts of over max_chars.
+    Of a text longer than max_chars a part of that length is taken, from a place that the hash tells. Each text gives per_text
+    windows: its first and others from anywhere.
     """
-    known = docs.where("lang is not null and text is not null").where(F.length("text") <= max_chars).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("place"))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(languages).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, 1.2 * most / len(counts) / n) * (1 << 20)))])
-    got = known.where(F.col("place") < share[F.col("lang")]).orderBy("place", "text").limit(most).select("lang", "text").toArrow()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    begin = 1 + F.floor(place / (1 << 20) * (F.greatest(F.length("text") - max_chars, F.lit(0)) + 1)).cast("int")
+    known = docs.where("lang is not null and text is not null").select("lang", F.substring("text", begin, F.lit(max_chars)).alias("text"), place.alias("place"))
+    counts = docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    many = F.count("*").over(Window.partitionBy())
+    limits = counts.select("lang", F.greatest(F.least(F.lit(1.0), 1.2 * most / many / F.col("n")) * (1 << 20), F.col("first") + 1).alias("limit"))
+    some = known.join(F.broadcast(limits.orderBy(F.desc("limit")).limit(most)), "lang").where(F.col("place") < F.col("limit"))
+    # The first of each language before all others, so that none is left out for being rare.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    got = some.withColumn("rank", F.when(rank == 1, 0).otherwise(1)).orderBy("rank", "place", "text").limit(most).select("lang", "text").toArrow()
     learned = sorted(set(got["lang"].to_pylist()))
     rng, windows, y = np.random.default_rng(3), [], []
     for lang, text in zip(got["lang"].to_pylist(), got["text"].to_pylist()):
