@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from geoframe.llm.text import LOWER, NO_LETTERS, small_batches, SpanHash, sums_between, text_batches, words_of
 
 BUCKETS = 1 << 18
-#: What is added to the weights of a telling sentence's words.
-BIAS = -11.0
+#: Where the bias of a telling sentence starts from in training.
+BIAS = -5.0
 #: Bytes that end a sentence.
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?\n")] = True
@@ -59,7 +59,7 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 def logits(model: Model, buckets: np.ndarray, first_words: np.ndarray) -> np.ndarray:
-    return model.bias + sums_between(model.weights[buckets].sum(1), first_words)
+    return model.bias + sums_between(model.weights[buckets].sum(1, dtype=np.float64), first_words)
 
 
 def evidence(model: Model, buckets: np.ndarray, first_words: np.ndarray) -> np.ndarray:
@@ -106,19 +106,28 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 80, rate: float =
     buckets, sentence = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] + n for p, n in zip(parts, base)])
     first_words = np.append(np.flatnonzero(np.diff(sentence, prepend=-1)), len(sentence))
     text = np.concatenate([p[1] for p in parts])[first_words[:-1]]
-    model, words = Model(np.zeros(BUCKETS, np.float32), BIAS), np.diff(first_words)
-    mean, square = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    # The bias is the last of the parameters.
+    p = np.append(np.zeros(BUCKETS), BIAS)
+    mean, square = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for t in range(1, epochs + 1):
-        z = logits(model, buckets, first_words)
-        total = np.bincount(text, softplus(z), len(texts))
-        pull = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-6, 60)), 1.0) / len(texts)
-        by_word = np.repeat(pull[text] / (1 + np.exp(-np.clip(z, -60, 60))), words)
-        grad = sum(np.bincount(buckets[:, k], by_word, BUCKETS) for k in range(buckets.shape[1]))
-        grad = np.where(used, grad + shrink / len(texts) * model.weights, 0)
+        loss, grad = likelihood(p, buckets, first_words, text, toxic)
+        grad += shrink / len(texts) * np.append(p[:-1], 0)
+        grad[:-1][~used] = 0
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-        step = rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-        model = Model((model.weights - step).astype(np.float32), BIAS)
-    return model
+        p -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return Model(p[:-1].astype(np.float32), float(p[-1]))
+
+
+def likelihood(p: np.ndarray, buckets: np.ndarray, first_words: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the labels under noisy-or, and its gradient, at the weights and (last) the bias p."""
+    z = logits(Model(p[:-1], p[-1]), buckets, first_words)
+    total = np.clip(np.bincount(text, softplus(z), len(toxic)), 1e-6, None)  # -log of the chance that no sentence offends
+    loss = np.where(toxic, -np.log(-np.expm1(-total)), total).mean()
+    pull = np.where(toxic, -1 / np.expm1(np.clip(total, 0, 60)), 1.0) / len(toxic)
+    by_sentence = pull[text] / (1 + np.exp(-np.clip(z, -60, 60)))
+    by_word = np.repeat(by_sentence, np.diff(first_words))
+    grad = sum(np.bincount(buckets[:, k], by_word, BUCKETS) for k in range(buckets.shape[1]))
+    return float(loss), np.append(grad, by_sentence.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 5000, max_chars: int = 50_000) -> Model | None:
