@@ -221,10 +221,10 @@ def test_op6_matches_all_pairs(spark, docs, empty, monkeypatch):
     assert simhash.classes(empty).count() == 0 and simhash.one_of_each(empty).columns == empty.columns
 
 
-@pytest.mark.parametrize("segments,loss", [(512, None), (3, 60)])
+@pytest.mark.parametrize("segments,loss", [(512, 64), (3, 60)])
 def test_op7_pieces_cover_all_ids_within_limits(docs, segments, loss):
     rows = docs.select("doc_id", "text").collect()
-    pieces = packing.pack_documents(docs, BYTE, length=64, segments=segments, loss=loss).collect()
+    pieces = packing.pack_documents(docs, BYTE, length=64, segments=segments, loss=loss, shortest=1).collect()
     whole = Counter((r.doc_id, tuple(ids)) for r, ids in zip(rows, ids_of(BYTE, [r.text for r in rows])))
     by_doc, by_sequence = {}, {}
     for p in pieces:
@@ -237,8 +237,8 @@ def test_op7_pieces_cover_all_ids_within_limits(docs, segments, loss):
     for ps in by_sequence.values():
         ps.sort(key=lambda p: p.offset)
         assert [p.offset for p in ps] == np.cumsum([0] + [p.length for p in ps])[:-1].tolist()
-        assert sum(p.length for p in ps) <= 64 and len(ps) <= segments and sum(p.loss_tokens for p in ps) <= (loss or 64)
-    if loss is None:
+        assert sum(p.length for p in ps) <= 64 and len(ps) <= segments and sum(p.loss_tokens for p in ps) <= loss
+    if loss == 64:
         assert sum(sum(p.length for p in ps) < 64 for ps in by_sequence.values()) <= docs.rdd.getNumPartitions()
 
 
