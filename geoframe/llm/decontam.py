@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from geoframe.llm.text import LOWER, small_batches, SPACES, SpanHash, text_batches
 
 RATE = 0.1
-#: First bytes of a piece that are looked up.
-USUAL = 5
+#: Least lengths of the groups of pieces, and the length of pieces under which they are whole items.
+LENGTHS, WHOLE = np.array([1, 2, 3, 4, 5, 7, 9]), 5
 #: Bytes of items sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 HITS = "doc_id long, item_id long, distance int, budget int, start long, end long"
@@ -39,8 +39,8 @@ PLAIN[SPACES] = 32
 class Pieces:
     """All pieces of the items, by the group of lengths that they are in, then by the hash of their first bytes.
 
-    groups: for each, how many first bytes are hashed, and from where to where its pieces are. Pieces of less than USUAL bytes
-    (items of less than USUAL bytes, which may have no error) have a group for each length, so they don't make the others' hashes short.
+    groups: for each, how many first bytes are hashed, and from where to where its pieces are. Pieces of about equal lengths
+    are a group, so short ones don't make the others' hashes short; those under WHOLE bytes are items that may have no error.
     """
 
     groups: list[tuple[int, int, int]]
@@ -74,7 +74,10 @@ def cut_items(texts: list[str | None], item_ids: list, rate: float) -> Pieces:
     table = np.array(rows, np.int64).reshape(-1, 6)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in items])]).astype(np.int64)
     begin = offsets[table[:, 0]] + table[:, 1]
-    own = np.minimum(table[:, 2], USUAL)
+    kind = np.searchsorted(LENGTHS, table[:, 2], "right")
+    shortest = np.full(len(LENGTHS) + 1, 1 << 30)
+    np.minimum.at(shortest, kind, table[:, 2])
+    own = shortest[kind]
     hashes = SpanHash(np.frombuffer(b"".join(items), np.uint8))(begin, begin + own) if len(table) else np.zeros(0, np.uint64)
     order = np.lexsort((hashes, own))
     hashes, own = hashes[order], own[order]
@@ -106,7 +109,7 @@ def group_hits(pieces: Pieces, group: int, span: SpanHash, data: np.ndarray, off
     text = np.searchsorted(offsets, place, "right") - 1
     inside = place + pieces.size[piece] <= offsets[text + 1]
     piece, place, text = piece[inside], place[inside], text[inside]
-    if common < USUAL:  # whole items, and hashes of so few bytes: equal ones are found again in the comparison below
+    if common < WHOLE:  # whole items, and hashes of so few bytes: equal ones are found again in the comparison below
         _, first = np.unique(text * len(pieces.item) + piece, return_index=True)
         piece, place, text = piece[first], place[first], text[first]
     raw = data.tobytes()
