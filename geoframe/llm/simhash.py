@@ -332,7 +332,7 @@ def alike(pairs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def copy_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (src, dst: digests) that hold the near copies among the texts of prints (t, f0, f1, ..) together.
+    """Links (src, dst: digests) that hold the near copies among the texts of prints (t, doc_id: one that has it, f0, f1, ..) together.
 
     In each table of fingerprints, texts of the same one are linked to the first of them, and the trees link the first of
     each. What is linked that way is a candidate; of a group of candidates each text is compared with the group's first,
@@ -347,8 +347,11 @@ def copy_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     near = links(first.select("table", "fp"), WIDE).join(ends[0], ["table", "src"]).join(ends[1], ["table", "dst"]).select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
     candidates = stored(near.union(shared).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates")
     groups = connected_components(candidates).select(F.col("node").alias("t"), F.col("component").alias("first"))
-    # The merge hints keep one plan for all sizes: what they are put on grows with the corpus.
-    known = docs.select(digest("text").alias("t"), F.coalesce("text", F.lit("")).alias("text")).join(groups.hint("merge"), "t")
+    # Joined by doc_id, too, so that the copies of one text are no hot key. The merge hints keep one plan for all sizes: what
+    # they are put on grows with the corpus.
+    owned = groups.join(prints.select(F.col("t").alias("__t"), F.col("doc_id").alias("__id")), F.col("t") == F.col("__t")).drop("t")
+    known = docs.select("doc_id", digest("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    known = known.join(owned.hint("merge"), (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     texts = stored(known.groupBy("t").agg(F.first("first").alias("first"), F.first("text").alias("text")), "texts-of-candidates")
     firsts = texts.where("t = first").select(F.col("t").alias("src"), F.col("text").alias("src_text"))
     members = texts.where("t <> first").select(F.col("first").alias("src"), F.col("t").alias("dst"), F.col("text").alias("dst_text"))
@@ -371,7 +374,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # Null ids last.
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     texts = stored(prints.groupBy("t").agg(F.min(named).alias("best"), *[F.first(f"f{m}").alias(f"f{m}") for m in range(TABLES)]), "texts")
-    labels = connected_components(copy_links(texts.drop("best"), docs))
+    labels = connected_components(copy_links(texts.withColumn("doc_id", F.col("best.doc_id")).drop("best"), docs))
     rooted = texts.join(labels.withColumnRenamed("node", "t"), "t", "left").select("best", F.coalesce("component", "t").alias("root"))
     chosen = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.t"), "chosen")
     rows = prints.groupBy("doc_id", "t").count()
