@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,11 +101,12 @@ class Block:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int = 8) -> None:
     """Encode docs (doc_id, text) and write their ids, in ascending doc_id order, to the token files at path.
 
-    One shuffle orders the texts by ranges of doc_id; each task then encodes its range and writes its blocks.
+    One shuffle orders the texts by ranges of doc_id (and a hash of the text, so that one id's rows are no hot key); each task
+    then encodes its range and writes its blocks. A shard is what one task writes.
     """
 
     def blocks(batches):
-        encoder, shard, number, written = Ids.of(tokenizer), None, 0, 0
+        encoder, shard, number, written = Ids.of(tokenizer), TaskContext.get().partitionId(), 0, 0
         held, held_ids, held_bounds = [], [], [0]
 
         def made():
@@ -117,8 +119,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for rows, data, offsets in text_batches(batches, lower=encoder.lowers):
             ids, bounds = with_end(*encoder.encode(data, offsets), end_id)
             names = rows.column(0).to_pylist()
-            if shard is None:
-                shard = -(2**63) if names[0] is None else names[0]
             at = 0
             while at < len(names):
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_IDS - held_bounds[-1], "right")) - 1)
@@ -131,12 +131,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if held:
             yield made()
 
-    ordered = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = small_batches(docs).select(F.col("doc_id").cast("long"), "text").withColumn("place", F.xxhash64("text"))
+    ordered = own.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     ordered.mapInArrow(blocks, BLOCKS).write.parquet(path)
 
 
 def shard_starts(blocks: DataFrame) -> DataFrame:
-    """For each shard (a task's range of doc_id) the count of ids before it. As many rows as write tasks."""
+    """For each shard (a task's range of rows) the count of ids before it. As many rows as write tasks."""
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
@@ -164,8 +165,12 @@ def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     blocks = spark.read.parquet(path)
     first = F.col("shard_start") + F.col("first_token")
     places = blocks.join(F.broadcast(shard_starts(blocks)), "shard").select("shard", "block", first.alias("lo"), (first + F.col("n_tokens")).alias("hi"))
-    wanted = positions.select("position").distinct()
-    found = wanted.join(places, (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi"))).join(blocks.select("shard", "block", "payload"), ["shard", "block"])
+    # A directory of stretches of BLOCK_IDS positions, so that it is an equal join: a block of usual size is in one or two.
+    stretch = lambda c: F.floor(F.col(c) / BLOCK_IDS) if isinstance(c, str) else F.floor(c / BLOCK_IDS)
+    directory = places.withColumn("stretch", F.explode(F.sequence(stretch("lo"), stretch(F.col("hi") - 1))))
+    wanted = positions.select("position").distinct().withColumn("stretch", stretch("position"))
+    near = wanted.join(directory, "stretch").where("position >= lo and position < hi").drop("stretch")
+    found = near.join(blocks.select("shard", "block", "payload"), ["shard", "block"])
 
     def ids(batches):
         for batch in batches:
