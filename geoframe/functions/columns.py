@@ -60,6 +60,23 @@ def format_mean_std(mean, std) -> Column:
     return F.when(m.isNull(), "-").when(s.isNull(), one(m)).otherwise(F.concat(one(m), F.lit(" ± "), one(s)))
 
 
+#: Methods that are shown under a name of their own.
+METHOD_NAMES = {"global_pred": "EGNN (ours)", "mc": "Marching Cubes"}
+
+
+def method_label(folder) -> Column:
+    """The name that a method's folder is shown under: smoothing folders end in a pass band (04 is 0.4) and a count of rounds."""
+    name = F.trim(col(folder).cast("string"))
+    band, rounds = F.regexp_extract(name, r"(?i)taubin.*_(\d+)_(\d+)$", 1), F.regexp_extract(name, r"(?i)taubin.*_(\d+)_(\d+)$", 2)
+    digits = F.regexp_replace(F.substring(band, 2, 100), "0+$", "")
+    shown = F.when(F.length(band) == 1, band).when(band.startswith("0"), F.concat(F.lit("0."), F.when(digits == "", "0").otherwise(digits))).otherwise(band)
+    smooth = F.when(band != "", F.concat(F.lit("Taubin "), shown, F.lit("/"), rounds)).otherwise("Taubin")
+    label = F.when(F.lower(name).contains("taubin"), smooth).otherwise(name)
+    for key, value in METHOD_NAMES.items():
+        label = F.when(name == key, value).otherwise(label)
+    return label
+
+
 def format_p(p) -> Column:
     """A p-value with three digits, '<0.001' under that."""
     return F.when(col(p) < 0.001, "<0.001").otherwise(F.format_string("%.3f", col(p)))

@@ -13,7 +13,7 @@ from geoframe.operators import mesh, voxels
 from geoframe.operators.graph import connected_components
 from geoframe.operators.lines import arc_length, segments, tangents
 from geoframe.operators.metrics import dice
-from geoframe.operators.spatial import cell, nearest_point, points_in_boxes, thin_points
+from geoframe.operators.spatial import cell, finite_point, nearest_point, points_in_boxes, thin_points
 from geoframe.plans.storage import stored
 
 # Inside and outside of surfaces
@@ -79,15 +79,16 @@ def triangle_distance2(p) -> Column:
     )
 
 
-def nearest_on_surface(points: DataFrame, faces: DataFrame, vertices: DataFrame, cell_size: float, most_rounds: int = 24) -> DataFrame:
+def nearest_on_surface(points: DataFrame, faces: DataFrame, vertices: DataFrame, cell_size: float) -> DataFrame:
     """Per point (mesh_id, point_id, x, y, z) the nearest face and the distance to it; ties to the lower face.
 
     As nearest_point(): a round is final where the distance is no more than a cell's side, the rest goes on with twice that.
     """
+    points, vertices = (df.where(finite_point("x", "y", "z")) for df in (points, vertices))
     tri = stored(mesh.corners(faces, vertices), "triangles")
-    left = stored(points.select("mesh_id", "point_id", *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(faces.select("mesh_id").distinct(), "mesh_id", "left_semi"), "surface-left")
+    left = stored(points.select("mesh_id", "point_id", *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(tri.select("mesh_id").distinct(), "mesh_id", "left_semi"), "surface-left")
     done, size = None, cell_size
-    for _ in range(most_rounds):
+    while True:
         around, celled = left, tri
         for c in "xyz":
             lo, hi = (f(*[F.col(f"{c}{n}") for n in range(3)]) for f in (F.least, F.greatest))

@@ -105,10 +105,11 @@ def min_spanning_tree(points: DataFrame, cell_size: float, key: str = "case_id")
     A round takes each component's shortest edge to another one. Candidates are pairs in neighbouring cells; a component
     whose shortest candidate is longer than a cell's side, or that has none, waits for cells of twice the side.
     """
+    points = points.where("abs(x) < 1e150 and abs(y) < 1e150 and abs(z) < 1e150")
     rows = stored(points.select(key, F.col("point_id").alias("id"), "x", "y", "z"), "mst-points")
     label = stored(rows.select(key, "id", F.col("id").alias("component")), "mst-labels")
     tree, size = None, cell_size
-    for _ in range(64):
+    while True:
         placed = rows.join(label, [key, "id"])
         around = placed
         for c in "xyz":

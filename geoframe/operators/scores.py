@@ -161,13 +161,16 @@ def pooled_ranks(rows: DataFrame, value: str) -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    """U of group a against b over pooled ranks, z and p."""
+    """U of group a against b over pooled ranks, z with tie correction, p."""
     both = rows.where(F.col(group).isin(a, b))
     ranked = both.join(pooled_ranks(both, value), value)
-    sums = ranked.agg(F.count_if(F.col(group) == a).alias("n_a"), F.count_if(F.col(group) == b).alias("n_b"), F.sum(F.when(F.col(group) == a, F.col("rank"))).alias("r_a"))
+    t = F.col("t").cast("double")
+    sums = ranked.agg(F.count_if(F.col(group) == a).alias("n_a"), F.count_if(F.col(group) == b).alias("n_b"), F.sum(F.when(F.col(group) == a, F.col("rank"))).alias("r_a"), F.sum(t * t - 1).alias("ties"))
     u = F.col("r_a") - F.col("n_a") * (F.col("n_a") + 1) / 2
-    z = F.try_divide(u - F.col("n_a") * F.col("n_b") / 2, F.sqrt(F.col("n_a") * F.col("n_b") * (F.col("n_a") + F.col("n_b") + 1) / 12.0))
-    return with_p(sums.withColumn("u", u).withColumn("z", z), "z", "normal")
+    n = (F.col("n_a") + F.col("n_b")).cast("double")
+    variance = F.col("n_a").cast("double") * F.col("n_b") / 12 * (n + 1 - F.try_divide("ties", n * (n - 1)))
+    z = F.try_divide(u - F.col("n_a") * F.col("n_b") / 2, F.sqrt(variance))
+    return with_p(sums.withColumn("u", u).withColumn("z", z).drop("ties"), "z", "normal")
 
 
 def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -183,14 +186,14 @@ def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def friedman(scores: DataFrame) -> DataFrame:
-    """Chi-square over ranks within cases that have every method, degrees of freedom and p."""
+    """Chi-square over ranks within cases that have every method, with tie correction, degrees of freedom and p."""
     methods = scores.select("method").distinct()
     k = methods.agg(F.count("*").alias("k"))
     full = scores.withColumn("m", F.count("*").over(Window.partitionBy("case_id"))).join(F.broadcast(k)).where("m = k")
-    ranked = rank_avg(full, ["case_id"], "value")
-    per = ranked.groupBy("method").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.first("k").alias("k"))
+    ranked = rank_avg(full, ["case_id"], "value").withColumn("t", F.count("*").over(Window.partitionBy("case_id", "value")).cast("double"))
+    per = ranked.groupBy("method").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.first("k").alias("k"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
     kk, n = F.max("k").cast("double"), F.max("n").cast("double")
-    chi = 12 / (n * kk * (kk + 1)) * F.sum(F.col("r") * F.col("r")) - 3 * n * (kk + 1)
+    chi = F.try_divide(12 / (n * kk * (kk + 1)) * F.sum(F.col("r") * F.col("r")) - 3 * n * (kk + 1), 1 - F.sum("ties") / (n * kk * (kk * kk - 1)))
     return with_p(per.agg(chi.alias("chi2"), (F.max("k") - 1).alias("df"), F.max("n").alias("n_cases")), "chi2", "chi2", "df")
 
 
@@ -281,8 +284,20 @@ def tail(kind: str, x: float | None, df: float | None) -> float | None:
         return upper_gamma(df / 2, x / 2)
     if kind == "t":
         return beta_tail(x, df)
-    n, k = int(df), int(x)
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    return least_binomial(int(df), int(x))
+
+
+def least_binomial(n: int, k: int) -> float:
+    """Twice the chance of at most k heads in n tosses, at most 1: terms from the k-th down, until they no longer count."""
+    if 2 * k >= n:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    total = 0.0
+    while term > total * 1e-17 and k >= 0:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * total)
 
 
 def with_p(df: DataFrame, statistic: str, kind: str, freedom: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +56,24 @@ def boxes_without_caps(boxes: DataFrame, caps: DataFrame, cell_size: float) -> D
     return boxes.join(hit, ["case_id", "box_id"], "left_anti")
 
 
-def nearest_point(left: DataFrame, right: DataFrame, cell_size: float, key: str = "case_id", most_rounds: int = 24) -> DataFrame:
+def finite_point(*columns: str):
+    """All coordinates are numbers of a size that squares."""
+    return reduce(lambda a, b: a & b, [F.abs(F.col(c)) < 1e150 for c in columns])
+
+
+def nearest_point(left: DataFrame, right: DataFrame, cell_size: float, key: str = "case_id") -> DataFrame:
     """Per row of left (key, left_id, x, y, z) the nearest of right (key, right_id, x, y, z): right_id, distance; ties to the lower id.
 
     A round looks into the 27 cells around each left point and is final where the best is no farther than a cell's side;
-    the others go on with cells of twice the side. Left points of a key without any right point are not returned.
+    the others go on with cells of twice the side, until all are. Left points of a key without any right point are not
+    returned; points without finite coordinates are on neither side.
     """
+    left, right = (df.where(finite_point("x", "y", "z")) for df in (left, right))
     left = stored(left.join(right.select(key).distinct(), key, "left_semi").select(key, "left_id", "x", "y", "z"), "nearest-left")
     right = right.select(key, "right_id", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
     done = None
     size = cell_size
-    for _ in range(most_rounds):
+    while True:
         around = left
         for c in "xyz":
             around = around.withColumn(f"__c{c}", F.explode(F.sequence(cell(c, size) - 1, cell(c, size) + 1)))

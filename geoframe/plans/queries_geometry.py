@@ -126,7 +126,7 @@ def k15_cluster_points(spark, d):
 
 @query()
 def v13_straighten(spark, d):
-    points = view(spark, d, "v_line").where("case_id < 5").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
+    points = view(spark, d, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
     return rounded(G.straighten(points, view(spark, d, "v_vox"), 1), "value")
 
 
@@ -190,21 +190,21 @@ def f13_f22_samples(spark, d):
 
 @query()
 def f20_fibonacci_sphere(spark, d):
-    """As many directions as cases; the nearest direction of each point."""
+    """As many directions as cases."""
     n = view(spark, d, "v_case").count()
     return rounded(G.fibonacci_sphere(spark, n), "x", "y", "z")
 
 
 @query()
 def e3_dice_in_segment_boxes(spark, d):
-    points = view(spark, d, "v_line").where("case_id < 5").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
+    points = view(spark, d, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
     per = G.segment_dice(points, view(spark, d, "v_vox"))
     return rounded(scores.bucket_means(per.withColumn("bin", F.floor("mean_radius")), ["case_id", "bin"], value="dice"), "mean")
 
 
 @query()
 def e4_volume_error_by_radius(spark, d):
-    points = view(spark, d, "v_line").where("case_id < 5").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
+    points = view(spark, d, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
     per = G.segment_volume_error(points, view(spark, d, "v_vox"))
     kept = per.withColumn("error_rel", F.when(F.abs("error_rel") < 0.35, F.col("error_rel")))
     return rounded(scores.bucket_means(kept.withColumn("bin", F.floor("mean_radius")), ["case_id", "bin"], value="error_rel"), "mean")

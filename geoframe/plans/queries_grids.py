@@ -253,7 +253,7 @@ def e1_dice(spark, d):
 
 @query()
 def e2_dice_by_radius(spark, d):
-    points = view(spark, d, "v_line").where("case_id < 5").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
+    points = view(spark, d, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
     return rounded(metrics.dice_by_radius(view(spark, d, "v_vox"), points, [1.0, 2.0, 3.1]), "dice")
 
 

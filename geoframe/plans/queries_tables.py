@@ -368,40 +368,72 @@ def d6_radius_labels(spark, d):
 
 PAIRS = SCORE + ", d as (select a.method as method_a, b.method as method_b, a.value - b.value as difference, abs(a.value - b.value) as size from v_score a join v_score b on a.case_id = b.case_id and a.method < b.method where a.value <> b.value), r as (select *, rank() over (partition by method_a, method_b order by size) + (count(*) over (partition by method_a, method_b, size) - 1) / 2.0 as rank, count(*) over (partition by method_a, method_b, size) as t from d) "
 
+def _simpson(term: str, upto: str) -> str:
+    """SQL: the integral of term over u from 0 to upto, by Simpson's rule in 2000 steps."""
+    return f"({upto}) / 6000 * list_sum([(case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end) * ({term.replace('u', f'(({upto}) * k / 2000)')}) for k in range(0, 2001)])"
 
-@query(PAIRS + "select method_a, method_b, count(*) as n, coalesce(sum(case when difference > 0 then rank end), 0)::double as w_plus, coalesce(sum(case when difference < 0 then rank end), 0)::double as w_minus from r group by 1, 2")
+
+def _normal_p(z: str) -> str:
+    return f"round(greatest(0, 1 - sqrt(2 / pi()) * {_simpson('exp(-u * u / 2)', f'abs({z})')}), 6) + 0.0"
+
+
+def _t_p(t: str, df: str) -> str:
+    return f"round(greatest(0, 1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {_simpson(f'pow(cos(u), {df} - 1)', f'atan(abs({t}) / sqrt({df}))')}), 6) + 0.0"
+
+
+RANKED = "select method_a, method_b, count(*) as n, coalesce(sum(case when difference > 0 then rank end), 0)::double as w_plus, coalesce(sum(case when difference < 0 then rank end), 0)::double as w_minus, sum(t * t - 1)::double as ties from r group by 1, 2"
+WILCOXON = PAIRS + f", w as ({RANKED}), z as (select *, (least(w_plus, w_minus) - n * (n + 1) / 4) / nullif(sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) as z from w), p as (select *, {_normal_p('z')} as p from z) "
+
+
+@query(WILCOXON + "select method_a, method_b, n, w_plus, w_minus, round(z, 6) as z, p from p")
 def e15_wilcoxon(spark, d):
-    return scores.wilcoxon(view(spark, d, "v_score")).drop("z", "p")
+    return rounded(scores.wilcoxon(view(spark, d, "v_score")), "z", "p")
 
 
-@query(SCORE + ", r as (select method, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0 as rank from v_score where method in ('1-URGENT', '5-LOW')) select count_if(method = '1-URGENT')::bigint as n_a, count_if(method = '5-LOW')::bigint as n_b, sum(case when method = '1-URGENT' then rank end)::double as r_a from r")
+@query(SCORE + ", r as (select method, count(*) over (partition by value) as t, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0 as rank from v_score where method in ('1-URGENT', '5-LOW')), s as (select count_if(method = '1-URGENT')::bigint as n_a, count_if(method = '5-LOW')::bigint as n_b, sum(case when method = '1-URGENT' then rank end)::double as r_a, sum(t * t - 1)::double as ties from r), u as (select *, r_a - n_a * (n_a + 1) / 2 as u, (n_a + n_b)::double as n from s), z as (select *, (u - n_a * n_b / 2) / sqrt(n_a::double * n_b / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u) select n_a, n_b, r_a, u, round(z, 6) as z, " + _normal_p("z") + " as p from z")
 def e16_mann_whitney(spark, d):
-    return scores.mann_whitney(view(spark, d, "v_score"), "method", "value", "1-URGENT", "5-LOW").select("n_a", "n_b", "r_a")
+    return rounded(scores.mann_whitney(view(spark, d, "v_score"), "method", "value", "1-URGENT", "5-LOW"), "z", "p")
 
 
-@query("with r as (select o_orderpriority as g, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0::double as rank from orders), p as (select g, count(*) as n, sum(rank) as r from r group by 1), t as (select sum(c::double * c * c - c) as ties from (select count(*) as c from orders group by o_totalprice)) select (count(*) - 1)::bigint as df, round((12 / (sum(n) * (sum(n) + 1.0::double)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - any_value(ties) / (sum(n)::double * sum(n) * sum(n) - sum(n))), 3) as h from p, t")
+#: Of four degrees of freedom (five groups) the chi-square tail has a closed form.
+@query("with r as (select o_orderpriority as g, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0::double as rank from orders), p as (select g, count(*) as n, sum(rank) as r from r group by 1), t as (select sum(c::double * c * c - c) as ties from (select count(*) as c from orders group by o_totalprice)), h as (select (count(*) - 1)::bigint as df, (12 / (sum(n) * (sum(n) + 1.0::double)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - any_value(ties) / (sum(n)::double * sum(n) * sum(n) - sum(n))) as h from p, t) select df, round(h, 3) as h, round(case when df = 4 then exp(-h / 2) * (1 + h / 2) end, 4) as p from h")
 def e16_kruskal_wallis(spark, d):
-    return rounded(scores.kruskal_wallis(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice").select("df", "h"), "h", digits=3)
+    return rounded(rounded(scores.kruskal_wallis(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice"), "h", digits=3), "p", digits=4)
 
 
-@query(SCORE + ", k as (select count(distinct method) as k from v_score), f as (select *, count(*) over (partition by case_id) as m from v_score), r as (select method, case_id, rank() over (partition by case_id order by value) + (count(*) over (partition by case_id, value) - 1) / 2.0::double as rank from f, k where m = k), p as (select method, sum(rank) as r, count(*) as n from r group by 1) select round(12 / (max(n)::double * max(k) * (max(k) + 1)) * sum(r * r) - 3 * max(n) * (max(k) + 1), 6) as chi2, (max(k) - 1)::bigint as df, max(n)::bigint as n_cases from p, k")
+@query(SCORE + ", k as (select count(distinct method) as k from v_score), f as (select *, count(*) over (partition by case_id) as m from v_score), r as (select method, case_id, count(*) over (partition by case_id, value) as t, rank() over (partition by case_id order by value) + (count(*) over (partition by case_id, value) - 1) / 2.0::double as rank from f, k where m = k), p as (select method, sum(rank) as r, count(*) as n, sum(t * t - 1)::double as ties from r group by 1), c as (select (12 / (max(n)::double * max(k) * (max(k) + 1)) * sum(r * r) - 3 * max(n) * (max(k) + 1)) / (1 - sum(ties) / (max(n)::double * max(k) * (max(k) * max(k) - 1))) as chi2, (max(k) - 1)::bigint as df, max(n)::bigint as n_cases from p, k) select round(chi2, 6) as chi2, df, n_cases, round(case when df = 4 then exp(-chi2 / 2) * (1 + chi2 / 2) end, 6) as p from c")
 def e16_friedman(spark, d):
-    return rounded(scores.friedman(view(spark, d, "v_score")).select("chi2", "df", "n_cases"), "chi2")
+    return rounded(scores.friedman(view(spark, d, "v_score")), "chi2", "p")
 
 
-@query(SCORE + ", d as (select a.method as method_a, b.method as method_b, (a.value - b.value)::double as x from v_score a join v_score b on a.case_id = b.case_id and a.method < b.method) select method_a, method_b, count(*) as n, round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 6) as t from d group by 1, 2")
+@query(SCORE + ", d as (select a.method as method_a, b.method as method_b, (a.value - b.value)::double as x from v_score a join v_score b on a.case_id = b.case_id and a.method < b.method), t as (select method_a, method_b, count(*) as n, avg(x) / (stddev_samp(x) / sqrt(count(*))) as t from d group by 1, 2) select method_a, method_b, n, n - 1 as df, round(t, 6) as t, " + _t_p("t", "(n - 1)") + " as p from t")
 def e17_t_test(spark, d):
-    return rounded(scores.t_test_paired(view(spark, d, "v_score")).select("method_a", "method_b", "n", "t"), "t")
+    return rounded(scores.t_test_paired(view(spark, d, "v_score")), "t", "p")
 
 
-@query("select count_if(l_discount > 0.05 and not l_tax > 0.05)::bigint as b, count_if(not l_discount > 0.05 and l_tax > 0.05)::bigint as c from lineitem")
+@query("with c as (select count_if(l_discount > 0.05 and not l_tax > 0.05)::bigint as b, count_if(not l_discount > 0.05 and l_tax > 0.05)::bigint as c from lineitem) select b, c, b + c as n, round(least(1, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)) for k in range(0, least(b, c) + 1)])), 6) as p from c")
 def e18_mcnemar(spark, d):
-    return scores.mcnemar(spark.read.parquet(f"{d}/lineitem.parquet"), "l_discount", "l_tax", 0.05).select("b", "c")
+    return rounded(scores.mcnemar(spark.read.parquet(f"{d}/lineitem.parquet"), "l_discount", "l_tax", 0.05).drop("least"), "p")
 
 
-@query(PAIRS + "select method_a, method_b, count(*) as n from r group by 1, 2")
+@query(WILCOXON + "select method_a, method_b, n, w_plus, w_minus, round(z, 6) as z, p, least(1, round(p * (select count(*) from p), 4)) as p_corrected from p")
 def e19_pairwise_tests(spark, d):
-    return scores.pairwise_tests(view(spark, d, "v_score")).where("p_corrected >= p").select("method_a", "method_b", "n")
+    return rounded(rounded(scores.pairwise_tests(view(spark, d, "v_score")), "z", "p"), "p_corrected", digits=4)
+
+
+_SHOWN = "case when {0} <> 0 and (abs({0}) < 0.01 or abs({0}) >= 1000) then printf('%.2e', {0}) else printf('%.3f', {0}) end"
+
+
+@query(WILCOXON + f", s as (select method, avg(value) as m, case when count(value) >= 2 then stddev_pop(value) end as d from v_score group by 1), t as (select method, case when d is null then {_SHOWN.format('m')} else ({_SHOWN.format('m')}) || ' ± ' || ({_SHOWN.format('d')}) end as shown from s) select method_a, method_b, p, a.shown as shown_a, b.shown as shown_b from p join t a on a.method = method_a join t b on b.method = method_b")
+def e23_comparison_table(spark, d):
+    return rounded(scores.comparison_table(view(spark, d, "v_score")), "p")
+
+
+@query("with f as (select p_partkey, p_size, p_partkey % 7 + 1 as n, p_partkey % 5 as k from part) select p_partkey, case k when 0 then 'Marching Cubes' when 1 then 'EGNN (ours)' when 2 then 'Taubin 0.' || n || '/' || p_size when 3 then 'Taubin ' || n || '/' || p_size else case when n < 4 then 'Taubin' else 'other_' || n end end as label from f")
+def f3_method_label(spark, d):
+    n, k, size = F.col("p_partkey") % 7 + 1, F.col("p_partkey") % 5, F.col("p_size")
+    folder = F.when(k == 0, "mc").when(k == 1, "global_pred").when(k == 2, F.concat(F.lit("taubin_on_mc_0"), n, F.lit("_"), size)).when(k == 3, F.concat(F.lit("x_Taubin_"), n, F.lit("_"), size)).when(n < 4, " my_TAUBIN ").otherwise(F.concat(F.lit("other_"), n))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", C.method_label(folder).alias("label"))
 
 
 @query(CATEGORY + "select category, method, count_if(status = 'diverged')::bigint as n_diverged from n group by 1, 2")
@@ -425,11 +457,6 @@ def e22_unpivot_buckets(spark, d):
     return scores.unpivot_buckets(wide, ["case_id"])
 
 
-@query(SCORE + "select a.method as method_a, b.method as method_b from (select distinct method from v_score) a join (select distinct method from v_score) b on a.method < b.method")
-def e23_comparison_table(spark, d):
-    return scores.comparison_table(view(spark, d, "v_score")).where("shown_a is not null and p between 0 and 1").select("method_a", "method_b")
-
-
 @query("select p_partkey, p_name, regexp_replace(p_brand, '#.*$', '') as brand, 'Brand' as first, regexp_extract(p_brand, '#(.*)$', 1) as second from part")
 def f1_names(spark, d):
     rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", F.regexp_replace("p_brand", "#", "_vs_").alias("pair"), F.concat(F.lit("truths/x/"), F.regexp_replace("p_brand", "#.*", ".seg.nii.gz")).alias("path"))

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (a local session, as in tests) a temporary folder is made.
+    Only a local session may lack that setting, as in tests: it gets a temporary folder, which goes when Python ends.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.sparkContext._conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
+            atexit.register(shutil.rmtree, _local[context.applicationId], ignore_errors=True)
+        root = _local[context.applicationId]
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
