@@ -172,10 +172,11 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.99, key: str = "case_i
 
 
 def normal_error(a_faces: DataFrame, a_vertices: DataFrame, b_faces: DataFrame, b_vertices: DataFrame, cell_size: float) -> DataFrame:
-    """Per mesh the angles between a's vertex normals and those of b's nearest vertices: mean, deviation, maximum."""
-    near = nearest_point(a_vertices.withColumnRenamed("vid", "left_id"), b_vertices.withColumnRenamed("vid", "right_id"), cell_size, "mesh_id")
-    normals = lambda f, v, n, p: mesh.vertex_normals(f, v).select("mesh_id", F.col("vid").alias(n), *[F.col(f"n{c}").alias(f"{p}{c}") for c in "xyz"])
-    both = near.join(normals(a_faces, a_vertices, "left_id", "a"), ["mesh_id", "left_id"]).join(normals(b_faces, b_vertices, "right_id", "b"), ["mesh_id", "right_id"])
+    """Per mesh the angles between a's vertex normals and the normals of b's nearest faces: mean, deviation, maximum."""
+    near = nearest_on_surface(a_vertices.withColumnRenamed("vid", "point_id"), b_faces, b_vertices, cell_size)
+    normals = lambda df, old, new, p: df.select("mesh_id", F.col(old).alias(new), *[F.col(f"n{c}").alias(f"{p}{c}") for c in "xyz"])
+    own = normals(mesh.vertex_normals(a_faces, a_vertices), "vid", "point_id", "a")
+    both = near.join(own, ["mesh_id", "point_id"]).join(normals(mesh.face_geometry(b_faces, b_vertices), "fid", "fid", "b"), ["mesh_id", "fid"])
     angle = angle_deg(vec("ax", "ay", "az"), vec("bx", "by", "bz"))
     return both.select("mesh_id", angle.alias("angle")).groupBy("mesh_id").agg(F.avg("angle").alias("mean"), F.stddev_pop("angle").alias("std"), F.max("angle").alias("max"))
 

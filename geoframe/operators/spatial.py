@@ -118,7 +118,10 @@ def thin_points(points: DataFrame, t: float, key: str = "case_id") -> DataFrame:
 
 
 def points_in_polygon(points: DataFrame, contour: DataFrame, keys: list[str]) -> DataFrame:
-    """points (keys, px, py) with inside: even-odd rule over the contour's closed edges (keys, seq, x, y)."""
+    """points (keys, px, py) with inside: even-odd rule over the contour's closed edges (keys, seq, x, y).
+
+    Edges and points meet in strips of y as high as the contour's edges are on average, so edges lie in about two strips each.
+    """
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*keys).orderBy("seq")
@@ -126,5 +129,9 @@ def points_in_polygon(points: DataFrame, contour: DataFrame, keys: list[str]) ->
     edges = contour.select(*keys, "x", "y", *[F.coalesce(F.lead(c).over(w), F.first(c).over(whole)).alias(f"{c}2") for c in ("x", "y")]).where("y <> y2")
     hit = (F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))
     cross_x = (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x")
-    crossings = points.join(edges, keys).where(hit & (F.col("px") < cross_x)).groupBy(*keys, "px", "py").agg(F.count("*").alias("n"))
+    height = edges.groupBy(*keys).agg(F.avg(F.abs(F.col("y2") - F.col("y"))).alias("__h"))
+    strip = lambda y: F.floor(y / F.col("__h")).cast("long")
+    cut = edges.join(height, keys).withColumn("__s", F.explode(F.sequence(strip(F.least("y", "y2")), strip(F.greatest("y", "y2")))))
+    placed = points.select(*keys, "px", "py").join(height, keys).withColumn("__s", strip(F.col("py")))
+    crossings = placed.join(cut.drop("__h"), [*keys, "__s"]).where(hit & (F.col("px") < cross_x)).groupBy(*keys, "px", "py").agg(F.count("*").alias("n"))
     return points.join(crossings, [*keys, "px", "py"], "left").withColumn("inside", F.coalesce(F.col("n") % 2 == 1, F.lit(False))).drop("n")

@@ -29,8 +29,9 @@ def mask_or_image(voxels: DataFrame, is_float: bool = False, value: str = "value
     """Per case what the values look like: mask, image or unknown. The rule's five values are the smallest distinct ones."""
     v = F.col(value)
     counts = voxels.groupBy("case_id", v.alias("v")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("v")))
-    stats = ranked.groupBy("case_id").agg(F.count("*").alias("n_distinct"), F.bool_and(F.col("v") == F.floor("v")).alias("whole"), (F.sum(F.when(F.col("r") <= 5, F.col("n"))) / F.sum("n")).alias("share5"))
+    # A rank that is filtered at once is cut before the shuffle, so a case of many values is no hot group.
+    first = counts.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("v"))).where("r <= 5").groupBy("case_id").agg(F.sum("n").alias("n5"))
+    stats = counts.groupBy("case_id").agg(F.count("*").alias("n_distinct"), F.bool_and(F.col("v") == F.floor("v")).alias("whole"), F.sum("n").alias("n")).join(first, "case_id").withColumn("share5", F.col("n5") / F.col("n"))
     spread = voxels.groupBy("case_id").agg(F.stddev_pop(v).alias("std"))
     kind = (
         F.when((F.col("n_distinct") <= 10) & F.col("whole"), "mask")
@@ -79,10 +80,16 @@ def sample_intensity_stats(boxed: DataFrame) -> DataFrame:
     return boxed.groupBy("case_id", "box_id").agg(*[f(c).alias(f"{n}_{s}") for n, c in parts for s, f in (("MEAN", F.avg), ("STD", F.stddev_pop), ("MIN", F.min), ("MAX", F.max))], F.count("*").alias("n_voxels"))
 
 
+def with_case_sums(voxels: DataFrame, *sums: Column) -> DataFrame:
+    """Voxels with aggregates of their case: a join with a row per case, so no task holds a whole volume. A null case_id is a case."""
+    per = voxels.groupBy(F.col("case_id").alias("__case")).agg(*sums)
+    return voxels.join(per, F.col("case_id").eqNullSafe(F.col("__case"))).drop("__case")
+
+
 def binarize(voxels: DataFrame, label: str = "label") -> DataFrame:
     """label over its case's maximum, cut to whole numbers: 1 where it is the maximum."""
-    top = F.max(label).over(Window.partitionBy("case_id"))
-    return voxels.withColumn(label, F.coalesce(F.try_divide(F.col(label), top), F.lit(0)).cast("int"))
+    share = F.coalesce(F.try_divide(F.col(label), F.col("__top")), F.lit(0)).cast("int")
+    return with_case_sums(voxels, F.max(label).alias("__top")).withColumn(label, share).drop("__top")
 
 
 def remap_labels(voxels: DataFrame, mapping: dict[int, int], label: str = "label") -> DataFrame:
@@ -170,22 +177,17 @@ def gather_linear(places: DataFrame, voxels: DataFrame, key: list[str]) -> DataF
 
 def centre_planes(voxels: DataFrame) -> DataFrame:
     """The three middle planes of each volume, with the axis they stand on."""
-    w = Window.partitionBy("case_id")
-    parts = [voxels.withColumn("__m", F.floor((F.max(c).over(w) + 1) / 2)).where(F.col(c) == F.col("__m")).drop("__m").withColumn("axis", F.lit(c)) for c in INDEX]
-    return parts[0].union(parts[1]).union(parts[2])
+    sized = with_case_sums(voxels, *[F.floor((F.max(c) + 1) / 2).alias(f"__m{c}") for c in INDEX])
+    on = F.filter(F.array(*[F.when(F.col(c) == F.col(f"__m{c}"), c) for c in INDEX]), lambda a: a.isNotNull())
+    return sized.withColumn("axis", F.explode(on)).select(*voxels.columns, "axis")
 
 
 def boundary_planes(voxels: DataFrame, deep: int = 1) -> DataFrame:
     """The six outer planes, so many voxels deep, with axis and side."""
-    w, parts = Window.partitionBy("case_id"), []
-    for c in INDEX:
-        top = voxels.withColumn("__m", F.max(c).over(w))
-        parts.append(top.where(F.col(c) < deep).drop("__m").withColumns({"axis": F.lit(c), "side": F.lit("low")}))
-        parts.append(top.where(F.col(c) > F.col("__m") - deep).drop("__m").withColumns({"axis": F.lit(c), "side": F.lit("high")}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    sized = with_case_sums(voxels, *[F.max(c).alias(f"__m{c}") for c in INDEX])
+    sides = [(c, s, F.col(c) < deep if s == "low" else F.col(c) > F.col(f"__m{c}") - deep) for c in INDEX for s in ("low", "high")]
+    on = F.filter(F.array(*[F.when(there, F.struct(F.lit(c).alias("axis"), F.lit(s).alias("side"))) for c, s, there in sides]), lambda a: a.isNotNull())
+    return sized.withColumn("__on", F.explode(on)).select(*voxels.columns, "__on.axis", "__on.side")
 
 
 def ct_rescale(value, low: float, high: float) -> Column:
@@ -203,20 +205,19 @@ def mr_rescale(voxels: DataFrame, value: str = "value") -> DataFrame:
 
 def flip_permute(voxels: DataFrame, flips: str = "", order: tuple[str, str, str] = INDEX) -> DataFrame:
     """Mirror the axes in flips (against each case's size), then axes in the given order."""
-    w = Window.partitionBy("case_id")
-    moved = {c: (F.max(c).over(w) - F.col(c)) if c in flips else F.col(c) for c in INDEX}
+    sized = with_case_sums(voxels, *[F.max(c).alias(f"__m{c}") for c in flips]) if flips else voxels
+    moved = {c: (F.col(f"__m{c}") - F.col(c)) if c in flips else F.col(c) for c in INDEX}
     rest = [c for c in voxels.columns if c not in INDEX]
-    turned = voxels.select(*rest, *[moved[c].alias(f"__{c}") for c in INDEX])
+    turned = sized.select(*rest, *[moved[c].alias(f"__{c}") for c in INDEX])
     return turned.select(*rest, *[F.col(f"__{o}").alias(c) for c, o in zip(INDEX, order)]).select(*voxels.columns)
 
 
 def augment(voxels: DataFrame, tag: str, p_flip: float = 0.5, p_gamma: float = 0.5, p_noise: float = 0.5, sigma: float = 0.05) -> DataFrame:
     """Per case and operation a hashed draw decides: flip along i, gamma of the scaled value, noise by Box-Muller over hashes."""
-    w = Window.partitionBy("case_id")
     on = lambda name, p: unit_hash("case_id", F.lit(f"{tag}-{name}")) < p
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    scaled = F.coalesce(F.try_divide(F.col("value") - lo, hi - lo), F.lit(0.0))
-    staged = voxels.withColumn("__v", scaled).withColumn("i", F.when(on("flip", p_flip), F.max("i").over(w) - F.col("i")).otherwise(F.col("i")))
+    sized = with_case_sums(voxels, F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.max("i").alias("__mi"))
+    scaled = F.coalesce(F.try_divide(F.col("value") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    staged = sized.withColumn("__v", scaled).withColumn("i", F.when(on("flip", p_flip), F.col("__mi") - F.col("i")).otherwise(F.col("i"))).drop("__lo", "__hi", "__mi")
     gamma = 0.7 + 0.6 * unit_hash("case_id", F.lit(f"{tag}-g"))
     u, v = (F.greatest(unit_hash("case_id", "i", "j", "k", F.lit(f"{tag}-{n}")), F.lit(1e-4)) for n in ("u", "v"))
     noise = sigma * F.sqrt(-2 * F.ln(u)) * F.cos(2 * 3.141592653589793 * v)
@@ -224,6 +225,67 @@ def augment(voxels: DataFrame, tag: str, p_flip: float = 0.5, p_gamma: float = 0
     return staged.withColumn("value", value + F.when(on("noise", p_noise), noise).otherwise(0.0)).drop("__v")
 
 
+def padded(voxels: DataFrame, size: dict[str, int], value: float = 0) -> DataFrame:
+    """Every voxel (case_id, i, j, k, value) of grids at least so large; a volume lies in the middle, the odd voxel above it.
+
+    Voxels that a volume lacks hold the given value.
+    """
+    grid = voxels.groupBy("case_id").agg(*[(F.max(c) + 1).alias(f"__n{c}") for c in INDEX])
+    for c in INDEX:
+        wide = F.greatest(F.col(f"__n{c}"), F.lit(size[c]))
+        grid = grid.withColumn(f"__d{c}", F.floor((wide - F.col(f"__n{c}")) / 2)).withColumn(f"__t{c}", F.explode(F.sequence(F.lit(0).cast("long"), wide - 1)))
+    asked = grid.select("case_id", *[F.col(f"__t{c}") for c in INDEX], *[(F.col(f"__t{c}") - F.col(f"__d{c}")).alias(c) for c in INDEX])
+    own = voxels.select("case_id", *INDEX, "value", F.lit(True).alias("__own"))
+    return asked.join(own, ["case_id", *INDEX], "left").select("case_id", *[F.col(f"__t{c}").alias(c) for c in INDEX], F.when(F.col("__own"), F.col("value")).otherwise(value).alias("value"))
+
+
+def cropped(voxels: DataFrame, size: dict[str, int], start: dict[str, Column]) -> DataFrame:
+    """Voxels of a box of that size, with indices from its corner; start may use __ni, __nj, __nk, the volume's size. An axis that is shorter stays whole."""
+    out = with_case_sums(voxels, *[(F.max(c) + 1).alias(f"__n{c}") for c in INDEX])
+    for c in INDEX:
+        room = F.greatest(F.col(f"__n{c}") - size[c], F.lit(0))
+        out = out.withColumn(f"__s{c}", F.greatest(F.lit(0), F.least(room, start[c].cast("long"))))
+    for c in INDEX:
+        out = out.where(F.col(c).between(F.col(f"__s{c}"), F.col(f"__s{c}") + size[c] - 1)).withColumn(c, F.col(c) - F.col(f"__s{c}"))
+    return out.select(*voxels.columns)
+
+
+def centre_crop(voxels: DataFrame, size: dict[str, int]) -> DataFrame:
+    return cropped(voxels, size, {c: F.floor((F.col(f"__n{c}") - size[c]) / 2) for c in INDEX})
+
+
+def random_crop(voxels: DataFrame, size: dict[str, int], tag: str) -> DataFrame:
+    """Each case's box by hashed draws."""
+    return cropped(voxels, size, {c: F.floor((F.col(f"__n{c}") - size[c]) * unit_hash("case_id", F.lit(f"{tag}-crop-{c}"))) for c in INDEX})
+
+
+def mask_crop(voxels: DataFrame, size: dict[str, int], tag: str, label: str = "label") -> DataFrame:
+    """A box around a hashed choice of each case's voxels with a label, the voxel anywhere in it; as random_crop() without any."""
+    draw = unit_hash("case_id", *INDEX, F.lit(f"{tag}-mask"))
+    chosen = F.min(F.when(F.col(label) > 0, F.struct(draw.alias("u"), *INDEX))).alias("__at")
+    placed = with_case_sums(voxels, chosen)
+    at = lambda c: F.col(f"__at.{c}") - F.floor(unit_hash("case_id", F.lit(f"{tag}-in-{c}")) * size[c])
+    free = lambda c: F.floor((F.col(f"__n{c}") - size[c]) * unit_hash("case_id", F.lit(f"{tag}-crop-{c}")))
+    return cropped(placed, size, {c: F.coalesce(at(c), free(c)) for c in INDEX}).select(*voxels.columns)
+
+
+def quarter_turns(voxels: DataFrame, turns: Column, plane: tuple[str, str] = ("i", "j")) -> DataFrame:
+    """Each case turned so many times by 90 degrees, the first axis of the plane towards the second."""
+    a, b = plane
+    out = with_case_sums(voxels, F.max(a).alias("__a"), F.max(b).alias("__b")).withColumn("__t", F.pmod(turns, F.lit(4)))
+    low = {a: F.col("__a") - F.col(a), b: F.col("__b") - F.col(b)}
+    pick = lambda *four: F.when(F.col("__t") == 0, four[0]).when(F.col("__t") == 1, four[1]).when(F.col("__t") == 2, four[2]).otherwise(four[3])
+    turned = {a: pick(F.col(a), low[b], low[a], F.col(b)), b: pick(F.col(b), F.col(a), low[b], low[a])}
+    return out.select(*[turned[c].alias(c) if c in turned else c for c in voxels.columns])
+
+
+def normalised(voxels: DataFrame, value: str = "value") -> DataFrame:
+    """Per case less the mean, over the deviation; 0 where all values are equal. Scaling by the range before would change nothing."""
+    out = with_case_sums(voxels, F.avg(value).alias("__m"), F.stddev_pop(value).alias("__d"))
+    z = F.coalesce(F.try_divide(F.col(value) - F.col("__m"), F.col("__d")), F.when(F.col(value).isNotNull(), 0.0))
+    return out.withColumn(value, z).drop("__m", "__d")
+
+
 def shifted(voxels: DataFrame, offsets) -> DataFrame:
     """Each voxel's index once per offset, as ni, nj, nk."""
     moves = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, INDEX)]) for o in offsets]))

@@ -195,14 +195,18 @@ def f20_fibonacci_sphere(spark, d):
     return rounded(G.fibonacci_sphere(spark, n), "x", "y", "z")
 
 
-@query()
+WRAPPED = ctes("v_line", "v_vox") + ", p as (select case_id, line_id, seq, radius, x % 12 as x, y % 12 as y, z % 4 as z from v_line), g as (select *, lead(x) over w as x2, lead(y) over w as y2, lead(z) over w as z2, lead(radius) over w as r2 from p window w as (partition by case_id, line_id order by seq)), s as (select case_id, line_id, seq, (radius + r2) / 2 as mr, (x + x2) / 2 as mx, (y + y2) / 2 as my, (z + z2) / 2 as mz from g where x2 is not null and sqrt((x2 - x) ** 2 + (y2 - y) ** 2 + (z2 - z) ** 2) >= 1e-10) "
+IN_BOX = " and ".join(f"{i} >= m{c} - (1.1 * mr + 0.1) and {i} <= m{c} + (1.1 * mr + 0.1)" for i, c in zip("ijk", "xyz"))
+
+
+@query(WRAPPED + f", d as (select s.case_id, line_id, seq, mr, count_if(gt > 0) as a, count_if(pred > 0) as b, count_if(gt > 0 and pred > 0) as ab from s join v_vox v on v.case_id = s.case_id and {IN_BOX} group by 1, 2, 3, 4) select case_id, floor(mr)::bigint as bin, count(*) as n, case when count(*) >= 5 then round(avg(case when a > 0 and b > 0 then 2.0::double * ab / (a + b) end), 6) end as mean from d group by 1, 2")
 def e3_dice_in_segment_boxes(spark, d):
     points = view(spark, d, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
     per = G.segment_dice(points, view(spark, d, "v_vox"))
     return rounded(scores.bucket_means(per.withColumn("bin", F.floor("mean_radius")), ["case_id", "bin"], value="dice"), "mean")
 
 
-@query()
+@query(WRAPPED + ", d as (select s.case_id, line_id, seq, mr, count_if(gt > 0) as a, count_if(pred > 0) as b from s join v_vox v on v.case_id = s.case_id and (i - mx) ** 2 + (j - my) ** 2 + (k - mz) ** 2 <= (3.0 * mr + 0.1) ** 2 group by 1, 2, 3, 4), r as (select *, case when a > 0 then (b - a)::double / a end as e from d) select case_id, floor(mr)::bigint as bin, count(*) as n, case when count(*) >= 5 then round(avg(case when abs(e) < 0.35 then e end), 6) end as mean from r group by 1, 2")
 def e4_volume_error_by_radius(spark, d):
     points = view(spark, d, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
     per = G.segment_volume_error(points, view(spark, d, "v_vox"))

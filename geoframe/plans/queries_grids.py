@@ -195,6 +195,29 @@ def v14_augment(spark, d):
     return voxels.augment(view(spark, d, "v_vox"), "42").select("case_id", *"ijk", "value")
 
 
+PADDED = VOX + ", s as (select case_id, max(i) + 1 as ni, max(j) + 1 as nj, max(k) + 1 as nk from v_vox group by 1), t as (select unnest(range(20)) as t), g as (select case_id, a.t as i, b.t as j, c.t as k, (greatest(ni, 15) - ni) // 2 as di, (greatest(nk, 7) - nk) // 2 as dk, greatest(ni, 15) as wi, greatest(nj, 5) as wj, greatest(nk, 7) as wk from s, t a, t b, t c where a.t < greatest(ni, 15) and b.t < greatest(nj, 5) and c.t < greatest(nk, 7)), p as (select g.*, coalesce(value, -1) as value from g left join v_vox v on v.case_id = g.case_id and v.i = g.i - di and v.j = g.j and v.k = g.k - dk) "
+
+
+@query(PADDED + "select case_id, i - (wi - 10) // 2 as i, j - (wj - 7) // 2 as j, k, value from p where i - (wi - 10) // 2 between 0 and 9 and j - (wj - 7) // 2 between 0 and 6")
+def v14_pad_and_centre_crop(spark, d):
+    wide = voxels.padded(view(spark, d, "v_vox"), {"i": 15, "j": 5, "k": 7}, -1)
+    return voxels.centre_crop(wide, {"i": 10, "j": 7, "k": 9})
+
+
+@query(VOX + ", s as (select *, max(i) over w as mi, max(j) over w as mj, avg(value) over w as m, stddev_pop(value) over w as sd from v_vox window w as (partition by case_id)) select case_id, case case_id % 4 when 0 then i when 1 then mj - j when 2 then mi - i else j end as i, case case_id % 4 when 0 then j when 1 then i when 2 then mj - j else mi - i end as j, k, round((value - m) / sd, 6) + 0.0 as value from s")
+def v14_turn_and_normalise(spark, d):
+    turned = voxels.quarter_turns(view(spark, d, "v_vox"), F.col("case_id"))
+    return rounded(voxels.normalised(turned).select("case_id", *"ijk", "value"), "value")
+
+
+@query()
+def v14_crops_by_draws(spark, d):
+    rows = _vox(spark, d)
+    size = {"i": 5, "j": 4, "k": 3}
+    both = [f(rows, size, "42").withColumn("crop", F.lit(n)) for n, f in (("any", voxels.random_crop), ("mask", voxels.mask_crop))]
+    return both[0].union(both[1]).select("crop", "case_id", *"ijk", "value", "gt")
+
+
 NEIGHBOURS = VOX + ", f as (select distinct case_id, i, j, k from v_vox where gt = 1), o(a, b, c) as (values (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) "
 
 
@@ -301,17 +324,23 @@ def m6_dihedral_p95(spark, d):
     return rounded(mesh.dihedral_p95(*_mesh(spark, d)), "p95", digits=4)
 
 
-@query()
+LOOPS = EDGE.replace("with ", "with recursive ", 1) + ", bd as (select mesh_id, a, b from ed group by 1, 2, 3 having count(*) = 1), lk as (select mesh_id, a, b from bd union all select mesh_id, b, a from bd), reach(mesh_id, vid, loop) as (select distinct mesh_id, a, a from lk union select r.mesh_id, lk.b, r.loop from reach r join lk on lk.mesh_id = r.mesh_id and lk.a = r.vid where lk.b > r.loop), label as (select mesh_id, vid, min(loop) as loop from reach group by 1, 2), pl as (select label.*, x, y, z from label join v_vertex using (mesh_id, vid)), ce as (select mesh_id, loop, avg(x) as cx, avg(y) as cy, avg(z) as cz, count(*) as n_points from pl group by 1, 2), sd as (select p.mesh_id, p.loop, p.x - cx as ux, p.y - cy as uy, p.z - cz as uz, q.x - cx as vx, q.y - cy as vy, q.z - cz as vz from bd join pl p on p.mesh_id = bd.mesh_id and p.vid = bd.a join pl q on q.mesh_id = bd.mesh_id and q.vid = bd.b join ce on ce.mesh_id = p.mesh_id and ce.loop = p.loop), ar as (select mesh_id, loop, sum(sqrt((uy * vz - uz * vy) ** 2 + (uz * vx - ux * vz) ** 2 + (ux * vy - uy * vx) ** 2) / 2) as area from sd group by 1, 2) "
+
+
+@query(LOOPS + "select mesh_id, loop, n_points, round(cx, 6) as x, round(cy, 6) as y, round(cz, 6) as z, round(area, 6) as area from ce join ar using (mesh_id, loop)")
 def m5_cap_loops(spark, d):
     return rounded(mesh.cap_loops(*_mesh(spark, d)), "x", "y", "z", "area")
 
 
-@query()
+CURVATURE = BEND + ", w as (select d.mesh_id, p, q, radians(angle) * sqrt((g.x - h.x) ** 2 + (g.y - h.y) ** 2 + (g.z - h.z) ** 2) / 4 as w from bend d join v_vertex g on g.mesh_id = d.mesh_id and g.vid = p join v_vertex h on h.mesh_id = d.mesh_id and h.vid = q), en as (select mesh_id, unnest([p, q]) as vid, w from w), wv as (select mesh_id, vid, sum(w) as w from en group by 1, 2), ar as (select mesh_id, unnest([v0, v1, v2]) as vid, n / 6 as area from nn), av as (select mesh_id, vid, sum(area) as area from ar group by 1, 2), cv as (select av.mesh_id, av.vid, coalesce(w / area, 0) as cu, area from av left join wv using (mesh_id, vid)) "
+
+
+@query(CURVATURE + "select mesh_id, round(sqrt(sum(area * cu * cu) / sum(area)), 6) as curvature_rms from cv group by 1")
 def m7_curvature_rms(spark, d):
     return rounded(mesh.curvature_rms(*_mesh(spark, d)), "curvature_rms")
 
 
-@query()
+@query(CURVATURE + ", ring as (select mesh_id, p as vid, q as near from ed union select mesh_id, q, p from ed union select mesh_id, vid, vid from cv), sp as (select ring.mesh_id, ring.vid, stddev_pop(cu) as d from ring join cv on cv.mesh_id = ring.mesh_id and cv.vid = near group by 1, 2) select mesh_id, round(avg(d), 6) as mean, round(stddev_pop(d), 6) as std, round(max(d), 6) as max from sp group by 1")
 def m8_curvature_variation(spark, d):
     return rounded(mesh.curvature_variation(*_mesh(spark, d)), "mean", "std", "max")
 

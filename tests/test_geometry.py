@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoframe.functions import columns as C
-from geoframe.operators import geometry, graph, lines, mesh, scores, spatial
+from geoframe.operators import geometry, graph, lines, mesh, scores, spatial, voxels
 
 
 def cube(spark):
@@ -138,6 +138,32 @@ def test_tails_and_rotation(spark):
     assert tuple(spark.range(1).select(*turned).first()) == (1.0, 2.0, 3.0)
 
 
+def test_normal_error_is_the_angle_to_the_nearest_face(spark):
+    faces, vertices = cube(spark)
+    flat = vertices.where("vid in (0, 1, 2, 3)")
+    base = faces.where("fid < 2")
+    tilted = flat.withColumn("z", F.col("x") + 0.01)
+    got = geometry.normal_error(base, flat, base, tilted, 0.5).first()
+    assert math.isclose(got.mean, 45, abs_tol=1e-6) and math.isclose(got.max, 45, abs_tol=1e-6) and got.std < 1e-6
+
+
+def test_crops_by_draws(spark):
+    rows = spark.createDataFrame([(case, i, j, k, 100 * i + 10 * j + k, int(case == 1 and (i, j, k) == (6, 0, 3))) for case in (0, 1) for i in range(7) for j in range(5) for k in range(4)], "case_id long, i long, j long, k long, value long, label int")
+    size = {"i": 3, "j": 2, "k": 9}
+    for crop in (voxels.random_crop, voxels.mask_crop):
+        for tag in "abc":
+            by_case = {}
+            for r in crop(rows, size, tag).collect():
+                by_case.setdefault(r.case_id, []).append(r)
+            for case, got in by_case.items():
+                assert sorted((r.i, r.j, r.k) for r in got) == [(i, j, k) for i in range(3) for j in range(2) for k in range(4)]
+                assert len({r.value - (100 * r.i + 10 * r.j + r.k) for r in got}) == 1
+                assert crop is voxels.random_crop or case == 0 or sum(r.label for r in got) == 1
+            assert by_case.keys() == {0, 1}
+    none = rows.withColumn("case_id", F.lit(None).cast("long")).where("label = 0")
+    assert voxels.random_crop(none, size, "a").count() > 0 and voxels.centre_crop(rows.limit(0), size).count() == 0
+
+
 def test_smoothing_keeps_a_flat_grid(spark):
     vertices = spark.createDataFrame([(0, a * 4 + b, float(a), float(b), 0.0) for a in range(4) for b in range(4)], "mesh_id long, vid long, x double, y double, z double")
     faces = spark.createDataFrame([(0, 2 * (a * 3 + b) + s, *((a * 4 + b, a * 4 + b + 4, a * 4 + b + 1) if s == 0 else (a * 4 + b + 4, a * 4 + b + 5, a * 4 + b + 1))) for a in range(3) for b in range(3) for s in (0, 1)], "mesh_id long, fid long, v0 long, v1 long, v2 long")
