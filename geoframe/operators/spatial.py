@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions.columns import distance2, vec
@@ -46,8 +46,11 @@ def out_of_bounds(points: DataFrame, bounds: DataFrame, most: int = 100) -> Data
     outside = F.lit(False)
     for c in "xyz":
         outside = outside | ~F.col(c).between(F.col(f"lo{c}"), F.col(f"hi{c}"))
-    rows = points.join(bounds, "case_id").where(outside)
-    return rows.groupBy("case_id").agg(F.count("*").alias("n_outside"), F.slice(F.sort_array(F.collect_list("point_id")), 1, most).alias("first_ids"))
+    rows = points.join(bounds, "case_id").where(outside).select("case_id", "point_id")
+    # The limit on the rank is applied before the shuffle, too, so no task or list gets all points of a case.
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("point_id").asc_nulls_last()))).where(F.col("n") <= most)
+    ids = first.groupBy("case_id").agg(F.sort_array(F.collect_list("point_id")).alias("first_ids"))
+    return rows.groupBy("case_id").agg(F.count("*").alias("n_outside")).join(ids, "case_id")
 
 
 def boxes_without_caps(boxes: DataFrame, caps: DataFrame, cell_size: float) -> DataFrame:

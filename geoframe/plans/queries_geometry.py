@@ -75,20 +75,15 @@ def m16_local_surface(spark, d):
     return rounded(G.local_surface(*_mesh(spark, d), (8.0, 8.0, 2.0), 5.0), "area")
 
 
-def _boxes_of_all_lines(points, half):
-    """A box around each point of each line; its id is line_id and seq."""
-    return points.select("case_id", F.concat_ws("_", "line_id", "seq").alias("box_id"), *[(F.col(c) + s).alias(n + c) for c in "xyz" for n, s in (("lo", -half), ("hi", half))])
-
-
 @query()
 def k17_local_centerline(spark, d):
     points = view(spark, d, "v_line")
-    return G.local_centerline(points, _boxes_of_all_lines(points, 6.0), 12.0)
+    return G.local_centerline(points, _boxes(points), 12.0)
 
 
 def _local(spark, d):
     points = view(spark, d, "v_line")
-    return G.unit_points(points, _boxes_of_all_lines(points, 40.0), 80.0).withColumn("sample_id", F.concat_ws("_", "case_id", "box_id"))
+    return G.unit_points(points, _boxes(points, 40.0), 80.0).withColumn("sample_id", F.concat_ws("_", "case_id", "box_id"))
 
 
 @query()

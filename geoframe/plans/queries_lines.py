@@ -216,12 +216,12 @@ def a27_contour_roundness(spark, d):
     return rounded(lines.contour_roundness(view(spark, d, "v_line"), ["case_id", "line_id"], 0.3, 4).select("case_id", "line_id", "roundness", "n"), "roundness", digits=5)
 
 
-BOXES = ", boxes as (select distinct case_id, seq as box_id, x - 6 as lox, x + 6 as hix, y - 6 as loy, y + 6 as hiy, z - 6 as loz, z + 6 as hiz from v_line where line_id = 1) "
+BOXES = ", boxes as (select case_id, concat_ws('_', line_id, seq) as box_id, x - 6 as lox, x + 6 as hix, y - 6 as loy, y + 6 as hiy, z - 6 as loz, z + 6 as hiz from v_line) "
 
 
-def _boxes(points):
-    rows = points.where("line_id = 1").select("case_id", F.col("seq").alias("box_id"), *[(F.col(c) + s).alias(n + c) for c in "xyz" for n, s in (("lo", -6.0), ("hi", 6.0))])
-    return rows.distinct()
+def _boxes(points, half=6.0):
+    """A box around each point of each line; its id is line_id and seq."""
+    return points.select("case_id", F.concat_ws("_", "line_id", "seq").alias("box_id"), *[(F.col(c) + s).alias(n + c) for c in "xyz" for n, s in (("lo", -half), ("hi", half))])
 
 
 @query(LINE + BOXES + "select v.case_id, point_id, box_id from v_line v join boxes b on v.case_id = b.case_id and x between lox and hix and y between loy and hiy and z between loz and hiz")
@@ -243,10 +243,12 @@ def p7_inside_sphere(spark, d):
     return spatial.inside_sphere(view(spark, d, "v_line"), (50.0, 40.0, 25.0), 30.0).select("point_id")
 
 
-@query(LINE + BOXES + ", hit as (select distinct b.case_id, box_id from boxes b join v_line v on v.case_id = b.case_id and v.line_id = 2 and x > lox and x < hix and y > loy and y < hiy and z > loz and z < hiz) select case_id, box_id from boxes where (case_id, box_id) not in (select (case_id, box_id) from hit)")
+@query(LINE + BOXES + ", tops as (select case_id, line_id, max(seq) as top from v_line group by 1, 2), caps as (select v.* from v_line v join tops t on t.case_id = v.case_id and t.line_id = v.line_id and seq in (0, top)), hit as (select distinct b.case_id, box_id from boxes b join caps v on v.case_id = b.case_id and x > lox and x < hix and y > loy and y < hiy and z > loz and z < hiz) select case_id, box_id from boxes where (case_id, box_id) not in (select (case_id, box_id) from hit)")
 def j17_boxes_without_caps(spark, d):
     points = view(spark, d, "v_line")
-    return spatial.boxes_without_caps(_boxes(points), points.where("line_id = 2"), 12.0).select("case_id", "box_id")
+    tops = points.groupBy("case_id", "line_id").agg(F.max("seq").alias("top"))
+    caps = points.join(tops, ["case_id", "line_id"]).where("seq in (0, top)").select("case_id", "x", "y", "z")
+    return spatial.boxes_without_caps(_boxes(points), caps, 12.0).select("case_id", "box_id")
 
 
 NEAREST = LINE + ", l as (select case_id, point_id, x, y, z from v_line where point_id % 3 = 0), r as (select case_id, point_id as right_id, x, y, z from v_line where point_id % 3 <> 0), nn as (select l.case_id, l.point_id as left_id, arg_min(right_id, ((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2, right_id)) as right_id, min(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2)) as distance from l join r using (case_id) group by 1, 2) "
