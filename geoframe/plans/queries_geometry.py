@@ -61,7 +61,19 @@ def j19_similar_vectors(spark, d):
     return G.similar_vectors(rows.select("point_id", "case_id", *[u.alias(c) for c, u in zip("xyz", unit)]).where("x is not null"))
 
 
-@query()
+RAYS = """, box as (select mesh_id, min(x) as lox, max(x) as hix, min(y) as loy, max(y) as hiy from v_vertex group by 1),
+ ci as (select *, unnest(range(ceil(lox / 1.5)::bigint, floor(hix / 1.5)::bigint + 1)) as i from box), ij as (select mesh_id, i, unnest(range(ceil(loy / 1.5)::bigint, floor(hiy / 1.5)::bigint + 1)) as j from ci),
+ rays as (select *, i * 1.5::double as x, j * 1.5::double as y from ij) """
+
+
+@query(
+    CORNERS
+    + RAYS
+    + f""", hit as (select r.mesh_id, i, j, fid, z0, (a * (x - x0) + b * (y - y0)) / c as rise from rays r join n0 t on r.mesh_id = t.mesh_id where {COVER}),
+ sheets as (select mesh_id, i, j, fid, z0 - rise as z from hit union all select mesh_id, i, j, fid + 10000, z0 + 3 - rise from hit),
+ spans as (select *, row_number() over w as n, lead(z) over w as up from sheets window w as (partition by mesh_id, i, j order by z, fid)),
+ s as (select mesh_id, i, j, ceil(z / 1.5)::bigint as a, floor(up / 1.5)::bigint as b from spans where n % 2 = 1 and up is not null) select mesh_id, i, j, unnest(range(a, b + 1)) as k from s where a <= b"""
+)
 def v17_rasterize_mesh(spark, d):
     # Each height field and the same three higher: sheets that a column enters and leaves.
     faces, vertices = _mesh(spark, d)
@@ -183,7 +195,10 @@ def f13_f22_samples(spark, d):
     return rows.select("id", C.sample_to_case("name").alias("case_id"), C.pixel_flip("y", 64).alias("pixel"))
 
 
-@query()
+@query(
+    ctes("v_case") + """, c as (select count(*) as n from v_case), u as (select unnest(range(n)) as id, n from c), y as (select id, 1 - id / greatest(n - 1, 1)::double * 2 as y from u),
+ f as (select *, sqrt(greatest(0, 1 - y * y)) as flat, id * pi() * (3 - sqrt(5)) as turn from y) select id, round(cos(turn) * flat, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(sin(turn) * flat, 6) + 0.0 as z from f"""
+)
 def f20_fibonacci_sphere(spark, d):
     """As many directions as cases."""
     n = view(spark, d, "v_case").count()

@@ -274,7 +274,12 @@ def e1_dice(spark, d):
     return rounded(metrics.dice(metrics.paired(one("pred"), one("gt"))), "dice")
 
 
-@query()
+@query(
+    ctes("v_line", "v_vox")
+    + """, p as (select case_id, point_id, x % 12 as x, y % 12 as y, z % 4 as z, radius from v_line),
+ nn as (select case_id, gt, pred, arg_min(radius, ((i - x) ** 2 + (j - y) ** 2 + (k - z) ** 2, point_id)) as radius from v_vox join p using (case_id) where gt > 0 or pred > 0 group by case_id, i, j, k, gt, pred)
+ select case_id, (radius >= 2)::int as bin, round(2.0::double * count_if(gt > 0 and pred > 0) / (count_if(gt > 0) + count_if(pred > 0)), 6) as dice from nn group by 1, 2"""
+)
 def e2_dice_by_radius(spark, d):
     points = view(spark, d, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
     return rounded(metrics.dice_by_radius(view(spark, d, "v_vox"), points, [1.0, 2.0, 3.1]), "dice")
