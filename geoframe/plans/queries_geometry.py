@@ -45,7 +45,15 @@ def j13_nearest_on_surface(spark, d):
     return rounded(G.nearest_on_surface(_spots(spark, d), *_mesh(spark, d), 2.0), "distance")
 
 
-@query()
+@query(
+    MESH
+    + """, s as (select mesh_id, unnest([v0, v1, v2]) as right_id, case when fid % 5 = 0 then 2 when fid % 7 = 0 then 6 end as label from v_face),
+ touched as (select mesh_id, right_id, min(label) as new from s where label is not null group by 1, 2),
+ near as (select a.mesh_id, a.vid, arg_min(b.vid, ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z - 0.25) ** 2, b.vid)) as right_id from v_vertex a join v_vertex b on a.mesh_id = b.mesh_id group by 1, 2),
+ asked as (select mesh_id, fid, unnest([v0, v1, v2]) as vid, unnest([0, 1, 2]) as n from v_face where fid % 3 = 0),
+ chosen as (select mesh_id, fid, arg_min(new, n) as new from asked join near using (mesh_id, vid) join touched using (mesh_id, right_id) group by 1, 2)
+ select mesh_id, fid, case when new = 2 then 9 when new = 6 then 10 when fid % 3 = 0 then 3 else 1 end as label from v_face left join chosen using (mesh_id, fid)"""
+)
 def j18_transfer_labels(spark, d):
     faces, vertices = _mesh(spark, d)
     target = faces.withColumn("label", F.when(F.col("fid") % 3 == 0, 3).otherwise(1))
