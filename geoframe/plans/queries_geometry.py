@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from geoframe.functions import columns as C
 from geoframe.operators import geometry as G
 from geoframe.operators import lines, mesh, metrics, scores, voxels
-from geoframe.plans.queries_grids import CORNERS, MESH, VOX, _mesh, _vox
+from geoframe.plans.queries_grids import CORNERS, MESH, TAUBIN, VOX, _mesh, _vox
 from geoframe.plans.queries_lines import BOXES, LINE, SEGMENT, _boxes
 from geoframe.plans.registry import query, rounded
 from geoframe.plans.views import ctes, view
@@ -254,7 +254,16 @@ def e21_evaluate_case(spark, d):
     return rounded(G.evaluate_case(rows, near, share.withColumnRenamed("share", "overlap")), "dice", "distance", "overlap")
 
 
-@query()
+NORMAL = " + ".join(f"(({a}1 - {a}0) * ({b}2 - {b}0) - ({b}1 - {b}0) * ({a}2 - {a}0)) ** 2" for a, b in ("xy", "yz", "zx"))
+
+
+@query(
+    TAUBIN
+    + f""", ed as (select mesh_id, vid, near from cs), lp as (select v.mesh_id, v.vid, {", ".join(f"any_value(v.{c}) + 0.5::double * (avg(u.{c}) - any_value(v.{c})) as {c}" for c in "xyz")} from ed join v_vertex v using (mesh_id, vid) join v_vertex u on u.mesh_id = ed.mesh_id and u.vid = near group by 1, 2),
+ al as (select 'none' as config, * from p0 union all select 'laplacian_1', * from lp union all select 'taubin_1', * from p2),
+ tri as (select a.config, f.mesh_id, {", ".join(f"{t}.{c} as {c}{n}" for n, t in enumerate(("a", "b", "c")) for c in "xyz")} from v_face f join al a on a.mesh_id = f.mesh_id and a.vid = v0
+  join al b on b.mesh_id = f.mesh_id and b.vid = v1 and b.config = a.config join al c on c.mesh_id = f.mesh_id and c.vid = v2 and c.config = a.config) select config, mesh_id, round(sum(sqrt({NORMAL})) / 2, 4) as area from tri group by 1, 2"""
+)
 def n4_param_sweep(spark, d):
     configs = [{"name": "none", "method": "laplacian", "iterations": 0}, {"name": "laplacian_1", "method": "laplacian", "iterations": 1}, {"name": "taubin_1", "method": "taubin", "iterations": 1, "lam": 0.1, "mu": -0.1}]
     return rounded(G.param_sweep(*_mesh(spark, d), configs), "area", digits=4)

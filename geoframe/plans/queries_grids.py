@@ -455,7 +455,28 @@ def n3_smooth_laplacian(spark, d):
     return rounded(mesh.smooth(*_mesh(spark, d), "laplacian", 1).select("mesh_id", "vid", "x", "z"), "x", "z")
 
 
-@query()
+def _cotangent(o, p, q):
+    """Weights of the edge between corners p and q of each face, by the angle at corner o."""
+    return f"select mesh_id, v{p} as vid, v{q} as near, (" + " + ".join(f"({c}{p} - {c}{o}) * ({c}{q} - {c}{o})" for c in "xyz") + ") / n as w from nn"
+
+
+def _taubin_step(n, rate):
+    moved = ", ".join(f"p.{c} + {rate}::double * l{c} as {c}" for c in "xyz")
+    means = ", ".join(f"sum(w * {c}) / count(*) as l{c}" for c in "xyz")
+    return f", m{n} as (select ws.mesh_id, ws.vid, {means} from ws join p{n} q on q.mesh_id = ws.mesh_id and q.vid = near group by 1, 2), p{n + 1} as materialized (select p.mesh_id, p.vid, {moved} from p{n} p join m{n} m on m.mesh_id = p.mesh_id and m.vid = p.vid)"
+
+
+TAUBIN = (
+    CORNERS
+    + f""", ct as ({_cotangent(0, 1, 2)} union all {_cotangent(1, 2, 0)} union all {_cotangent(2, 0, 1)}), bo as (select * from ct union all select mesh_id, near, vid, w from ct),
+ cs as (select mesh_id, vid, near, sum(w) / 2 as w from bo group by 1, 2, 3), ws as materialized (select * from cs union all select mesh_id, vid, vid, -sum(w) from cs group by mesh_id, vid),
+ p0 as (select mesh_id, vid, x, y, z from v_vertex)"""
+    + _taubin_step(0, 0.1)
+    + _taubin_step(1, -0.1)
+)
+
+
+@query(TAUBIN + _taubin_step(2, 0.1) + _taubin_step(3, -0.1) + " select mesh_id, vid, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from p4")
 def n3_smooth_taubin(spark, d):
     return rounded(mesh.smooth(*_mesh(spark, d), "taubin", 2, 0.1, -0.1), "x", "y", "z")
 
