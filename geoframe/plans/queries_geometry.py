@@ -136,7 +136,7 @@ def k10_order_points_by_edges(spark, d):
 @query()
 def k15_cluster_points(spark, d):
     rows = view(spark, d, "v_point").select("point_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    return G.cluster_points(rows, 8).groupBy("cluster").agg(F.count("*").alias("n"))
+    return G.cluster_points(rows, 8).select("point_id", "cluster")
 
 
 @query()
