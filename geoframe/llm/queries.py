@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geoframe.llm import dac, decontam, hmm, html_extract, langid, packing, simhash, sketch, toxicity, url_filter
+from geoframe.llm import dac, decontam, hmm, html_extract, langid, mixing, packing, simhash, sketch, toxicity, url_filter, variants
 from geoframe.llm.text import held_out
 from geoframe.plans.storage import shared_folder
 
@@ -63,6 +63,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-ALL = (op1_url_filter, op2_token_files, op3_hmm_scores, op4_decontamination, op5_html_text, op6_simhash, op7_packing, op8_scaled_sketch, op9_language_id, op10_toxicity)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_url_filter, op2_token_files, op3_hmm_scores, op4_decontamination, op5_html_text, op6_simhash, op7_packing, op8_scaled_sketch, op9_language_id, op10_toxicity, op11_mixing, op13_spelling_variants)
 QUERIES = {f.__name__: f for f in ALL}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.oracle(),
+    "op11_mixing": mixing.oracle(),
+    "op13_spelling_variants": variants.oracle(),
+}

@@ -34,6 +34,18 @@ def held_out(column: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a text of code points up to U+07FF, in DuckDB SQL, which has no such function.
+
+    Each byte is followed by seven zeros: each of the eight takes one bit from the sum.
+    """
+    point = "ord(c)"
+    raw = f"case when {point} < 128 then [{point}] else [192 | ({point} >> 6), 128 | ({point} & 63)] end"
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: flatten(list_transform({raw}, lambda x: [x, 0, 0, 0, 0, 0, 0, 0]))))"
+    folded = f"list_reduce(list_prepend(4294967295::bigint, {steps}::bigint[]), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384))"
+    return f"xor({folded}, 4294967295)"
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20, lower: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about limit bytes of text (a longer text alone): rows, bytes (A-Z lowered if asked), offsets; null is empty."""
     for batch in batches:
@@ -56,8 +68,12 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 
 def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the first of its words (one entry more than texts)."""
-    inside = ~separators[data]
-    edge = np.zeros(len(data) + 1, bool)
+    return runs_of(~separators[data], offsets)
+
+
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of True within a text, and for each text the first of its runs (one entry more than texts)."""
+    edge = np.zeros(len(inside) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
