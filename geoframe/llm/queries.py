@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from geoframe.llm import dac, decontam, hmm, html_extract, langid, mixing, packing, simhash, sketch, toxicity, url_filter, variants
+from geoframe.llm import dac, decontam, hmm, html_extract, langid, merkle, mixing, packing, simhash, sketch, toxicity, url_filter, variants
 from geoframe.llm.text import held_out
 from geoframe.plans.storage import shared_folder
 
@@ -67,14 +67,19 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_url_filter, op2_token_files, op3_hmm_scores, op4_decontamination, op5_html_text, op6_simhash, op7_packing, op8_scaled_sketch, op9_language_id, op10_toxicity, op11_mixing, op13_spelling_variants)
+ALL = (op1_url_filter, op2_token_files, op3_hmm_scores, op4_decontamination, op5_html_text, op6_simhash, op7_packing, op8_scaled_sketch, op9_language_id, op10_toxicity, op11_mixing, op12_merkle_manifest, op13_spelling_variants)
 QUERIES = {f.__name__: f for f in ALL}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.oracle(),
     "op11_mixing": mixing.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
     "op13_spelling_variants": variants.oracle(),
 }
