@@ -13,7 +13,8 @@ from geoframe.operators import mesh, voxels
 from geoframe.operators.graph import connected_components
 from geoframe.operators.lines import arc_length, segments, tangents
 from geoframe.operators.metrics import dice
-from geoframe.operators.spatial import cell, finite_point, nearest_point, points_in_boxes, thin_points
+from geoframe.operators.nearest import as_boxes, nearest, nearest_point
+from geoframe.operators.spatial import cell, finite_point, points_in_boxes, thin_points
 from geoframe.plans.storage import stored
 
 # Inside and outside of surfaces
@@ -79,30 +80,16 @@ def triangle_distance2(p) -> Column:
     )
 
 
-def nearest_on_surface(points: DataFrame, faces: DataFrame, vertices: DataFrame, cell_size: float) -> DataFrame:
+def nearest_on_surface(points: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Per point (mesh_id, point_id, x, y, z) the nearest face and the distance to it; ties to the lower face.
 
-    As nearest_point(): a round is final where the distance is no more than a cell's side, the rest goes on with twice that.
+    Points of a mesh without faces are not returned; points and vertices without finite coordinates are left out.
     """
-    points, vertices = (df.where(finite_point("x", "y", "z")) for df in (points, vertices))
-    tri = stored(mesh.corners(faces, vertices), "triangles")
-    left = stored(points.select("mesh_id", "point_id", *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(tri.select("mesh_id").distinct(), "mesh_id", "left_semi"), "surface-left")
-    done, size = None, cell_size
-    while True:
-        around, celled = left, tri
-        for c in "xyz":
-            lo, hi = (f(*[F.col(f"{c}{n}") for n in range(3)]) for f in (F.least, F.greatest))
-            around = around.withColumn(f"__{c}", F.explode(F.sequence(cell(f"p{c}", size) - 1, cell(f"p{c}", size) + 1)))
-            celled = celled.withColumn(f"__{c}", F.explode(F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))))
-        pairs = around.join(celled, ["mesh_id", "__x", "__y", "__z"]).withColumn("d", triangle_distance2(vec("px", "py", "pz")))
-        best = pairs.groupBy("mesh_id", "point_id").agg(F.min(F.struct("d", "fid")).alias("b")).where(F.col("b.d") <= size * size)
-        found = stored(best.select("mesh_id", "point_id", F.col("b.fid").alias("fid"), F.sqrt("b.d").alias("distance")), "surface-found")
-        done = found if done is None else done.unionByName(found)
-        left = stored(left.join(found, ["mesh_id", "point_id"], "left_anti"), "surface-left")
-        if left.isEmpty():
-            break
-        size *= 2
-    return done
+    tri = mesh.corners(faces, vertices.where(finite_point("x", "y", "z")))
+    ends = {f"{end}{c}": f(*[F.col(f"{c}{n}") for n in range(3)]) for end, f in (("lo", F.least), ("hi", F.greatest)) for c in "xyz"}
+    things = stored(tri.select(F.col("mesh_id").alias("key"), F.col("fid").alias("id"), *[f"{c}{n}" for n in range(3) for c in "xyz"], *[e.cast("double").alias(b) for b, e in ends.items()]), "triangles")
+    found = nearest(as_boxes(points, "mesh_id", "point_id", "left_id"), things, triangle_distance2(vec("px", "py", "pz")))
+    return found.select(F.col("key").alias("mesh_id"), F.col("left_id").alias("point_id"), F.col("id").alias("fid"), F.sqrt("d2").alias("distance"))
 
 
 def clip_outside_caps(faces: DataFrame, vertices: DataFrame, ends: DataFrame, scale: float) -> DataFrame:
@@ -140,7 +127,7 @@ def local_surface(faces: DataFrame, vertices: DataFrame, centre: tuple[float, fl
     return sums.join(outlets, "mesh_id", "left").withColumn("n_outlets", F.coalesce("n_outlets", F.lit(0)))
 
 
-def transfer_labels(target: DataFrame, target_vertices: DataFrame, source: DataFrame, source_vertices: DataFrame, cell_size: float, of: int = 3, mapping: dict[int, int] | None = None) -> DataFrame:
+def transfer_labels(target: DataFrame, target_vertices: DataFrame, source: DataFrame, source_vertices: DataFrame, of: int = 3, mapping: dict[int, int] | None = None) -> DataFrame:
     """target faces (label) where those of the label `of` take the mapped label of a source face at the nearest source vertex.
 
     A face's corners are asked in order; the first whose nearest vertex touches a face with a mapped label decides.
@@ -150,7 +137,7 @@ def transfer_labels(target: DataFrame, target_vertices: DataFrame, source: DataF
     touched = source.where(F.col("label").isin(list(mapping))).select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("right_id"), "label").groupBy("mesh_id", "right_id").agg(F.min("label").alias("new"))
     asked = target.where(F.col("label") == of).select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("n", "left_id"))
     used = asked.select("mesh_id", F.col("left_id").alias("vid")).distinct()
-    near = nearest_point(target_vertices.join(used, ["mesh_id", "vid"], "left_semi").withColumnRenamed("vid", "left_id"), source_vertices.withColumnRenamed("vid", "right_id"), cell_size, "mesh_id")
+    near = nearest_point(target_vertices.join(used, ["mesh_id", "vid"], "left_semi").withColumnRenamed("vid", "left_id"), source_vertices.withColumnRenamed("vid", "right_id"), "mesh_id")
     chosen = asked.join(near, ["mesh_id", "left_id"]).join(touched, ["mesh_id", "right_id"]).groupBy("mesh_id", "fid").agg(F.min_by("new", "n").alias("new"))
     return target.join(chosen, ["mesh_id", "fid"], "left").withColumn("label", F.coalesce(F.try_element_at(given, F.col("new")), F.col("label"))).drop("new")
 
@@ -171,9 +158,9 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.99, key: str = "case_i
     return own.groupBy(key, "pivot").agg(F.count("*").alias("n"))
 
 
-def normal_error(a_faces: DataFrame, a_vertices: DataFrame, b_faces: DataFrame, b_vertices: DataFrame, cell_size: float) -> DataFrame:
+def normal_error(a_faces: DataFrame, a_vertices: DataFrame, b_faces: DataFrame, b_vertices: DataFrame) -> DataFrame:
     """Per mesh the angles between a's vertex normals and the normals of b's nearest faces: mean, deviation, maximum."""
-    near = nearest_on_surface(a_vertices.withColumnRenamed("vid", "point_id"), b_faces, b_vertices, cell_size)
+    near = nearest_on_surface(a_vertices.withColumnRenamed("vid", "point_id"), b_faces, b_vertices)
     normals = lambda df, old, new, p: df.select("mesh_id", F.col(old).alias(new), *[F.col(f"n{c}").alias(f"{p}{c}") for c in "xyz"])
     own = normals(mesh.vertex_normals(a_faces, a_vertices), "vid", "point_id", "a")
     both = near.join(own, ["mesh_id", "point_id"]).join(normals(mesh.face_geometry(b_faces, b_vertices), "fid", "fid", "b"), ["mesh_id", "fid"])

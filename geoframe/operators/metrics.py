@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.operators.lines import segments
-from geoframe.operators.spatial import nearest_point
+from geoframe.operators.nearest import nearest_point
 
 
 def dice(voxels: DataFrame, by: list[str] = ("case_id",)) -> DataFrame:
@@ -23,10 +23,10 @@ def paired(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return a.join(b, key, "full_outer").select(*key, F.coalesce("pred", F.lit(0)).alias("pred"), F.coalesce("gt", F.lit(0)).alias("gt"))
 
 
-def dice_by_radius(voxels: DataFrame, points: DataFrame, edges: list[float], cell_size: float = 4.0) -> DataFrame:
+def dice_by_radius(voxels: DataFrame, points: DataFrame, edges: list[float]) -> DataFrame:
     """Dice per bin of the radius of each voxel's nearest centerline point; radii beyond the edges fall into the end bins."""
     fore = voxels.where("gt > 0 or pred > 0").withColumn("left_id", F.concat_ws("_", "i", "j", "k"))
-    near = nearest_point(fore.select("case_id", "left_id", *[F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz")]), points.select("case_id", F.col("point_id").alias("right_id"), "x", "y", "z"), cell_size)
+    near = nearest_point(fore.select("case_id", "left_id", *[F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz")]), points.select("case_id", F.col("point_id").alias("right_id"), "x", "y", "z"))
     radii = points.groupBy("case_id", F.col("point_id").alias("right_id")).agg(F.max("radius").alias("radius"))
     binned = near.join(radii, ["case_id", "right_id"])
     place = sum((F.col("radius") >= e).cast("int") for e in edges) - 1
@@ -53,11 +53,11 @@ def point_overlap(points: DataFrame, inside: DataFrame) -> DataFrame:
     return marked.groupBy("case_id").agg(F.avg(F.coalesce("__in", F.lit(0))).alias("share"))
 
 
-def surface_distances(a: DataFrame, b: DataFrame, cell_size: float) -> DataFrame:
+def surface_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distances from the points of a to the nearest of b, and back: case_id, way, distance."""
     named = lambda df, n: df.select("case_id", F.col("point_id").alias(n), "x", "y", "z")
-    there = nearest_point(named(a, "left_id"), named(b, "right_id"), cell_size).select("case_id", F.lit("ab").alias("way"), "distance")
-    back = nearest_point(named(b, "left_id"), named(a, "right_id"), cell_size).select("case_id", F.lit("ba").alias("way"), "distance")
+    there = nearest_point(named(a, "left_id"), named(b, "right_id")).select("case_id", F.lit("ab").alias("way"), "distance")
+    back = nearest_point(named(b, "left_id"), named(a, "right_id")).select("case_id", F.lit("ba").alias("way"), "distance")
     return there.unionByName(back)
 
 
@@ -92,9 +92,9 @@ def volume_area_error(pred: DataFrame, gt: DataFrame, key: str, names: list[str]
     return both
 
 
-def centerline_error(pred: DataFrame, gt: DataFrame, cell_size: float) -> DataFrame:
+def centerline_error(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Per case mean distance from truth points to the nearest predicted one, and mean radius error (0 where farther than the radius)."""
-    near = nearest_point(gt.select("case_id", F.col("point_id").alias("left_id"), "x", "y", "z"), pred.select("case_id", F.col("point_id").alias("right_id"), "x", "y", "z"), cell_size)
+    near = nearest_point(gt.select("case_id", F.col("point_id").alias("left_id"), "x", "y", "z"), pred.select("case_id", F.col("point_id").alias("right_id"), "x", "y", "z"))
     radius = lambda df, n, r: df.groupBy("case_id", F.col("point_id").alias(n)).agg(F.max("radius").alias(r))
     both = near.join(radius(gt, "left_id", "rg"), ["case_id", "left_id"]).join(radius(pred, "right_id", "rp"), ["case_id", "right_id"])
     return both.groupBy("case_id").agg(F.avg("distance").alias("mean_distance"), F.avg(F.when(F.col("distance") > F.col("rg"), 0.0).otherwise(F.abs(F.col("rp") - F.col("rg")))).alias("radius_error"))

@@ -64,36 +64,6 @@ def finite_point(*columns: str):
     return reduce(lambda a, b: a & b, [F.abs(F.col(c)) < 1e150 for c in columns])
 
 
-def nearest_point(left: DataFrame, right: DataFrame, cell_size: float, key: str = "case_id") -> DataFrame:
-    """Per row of left (key, left_id, x, y, z) the nearest of right (key, right_id, x, y, z): right_id, distance; ties to the lower id.
-
-    A round looks into the 27 cells around each left point and is final where the best is no farther than a cell's side;
-    the others go on with cells of twice the side, until all are. Left points of a key without any right point are not
-    returned; points without finite coordinates are on neither side.
-    """
-    left, right = (df.where(finite_point("x", "y", "z")) for df in (left, right))
-    left = stored(left.join(right.select(key).distinct(), key, "left_semi").select(key, "left_id", "x", "y", "z"), "nearest-left")
-    right = right.select(key, "right_id", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
-    done = None
-    size = cell_size
-    while True:
-        around = left
-        for c in "xyz":
-            around = around.withColumn(f"__c{c}", F.explode(F.sequence(cell(c, size) - 1, cell(c, size) + 1)))
-        placed = right
-        for c in "xyz":
-            placed = placed.withColumn(f"__c{c}", cell(f"r{c}", size))
-        d2 = distance2(vec("x", "y", "z"), vec("rx", "ry", "rz"))
-        best = around.join(placed, [key, "__cx", "__cy", "__cz"]).withColumn("__d", d2).groupBy(key, "left_id").agg(F.min(F.struct("__d", "right_id")).alias("b"))
-        found = stored(best.where(F.col("b.__d") <= size * size).select(key, "left_id", F.col("b.right_id").alias("right_id"), F.sqrt("b.__d").alias("distance")), "nearest-found")
-        done = found if done is None else done.unionByName(found)
-        left = stored(left.join(found, [key, "left_id"], "left_anti"), "nearest-left")
-        if left.isEmpty():
-            break
-        size *= 2
-    return done
-
-
 def thin_points(points: DataFrame, t: float, key: str = "case_id") -> DataFrame:
     """The points (key, point_id, x, y, z) kept when each, by id, drops all later ones closer than t.
 

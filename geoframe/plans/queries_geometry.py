@@ -42,7 +42,7 @@ def p17_clip_outside_caps(spark, d):
 
 @query()
 def j13_nearest_on_surface(spark, d):
-    return rounded(G.nearest_on_surface(_spots(spark, d), *_mesh(spark, d), 2.0), "distance")
+    return rounded(G.nearest_on_surface(_spots(spark, d), *_mesh(spark, d)), "distance")
 
 
 @query(
@@ -59,7 +59,7 @@ def j18_transfer_labels(spark, d):
     target = faces.withColumn("label", F.when(F.col("fid") % 3 == 0, 3).otherwise(1))
     source = faces.withColumn("label", F.when(F.col("fid") % 5 == 0, 2).when(F.col("fid") % 7 == 0, 6).otherwise(1))
     moved = vertices.withColumn("z", F.col("z") + 0.25)
-    return G.transfer_labels(target, vertices, source, moved, 2.0).select("mesh_id", "fid", "label")
+    return G.transfer_labels(target, vertices, source, moved).select("mesh_id", "fid", "label")
 
 
 @query()
@@ -236,7 +236,7 @@ def e4_volume_error_by_radius(spark, d):
 def e10_normal_error(spark, d):
     faces, vertices = _mesh(spark, d)
     moved = vertices.withColumn("z", F.col("z") * 0.5 + 0.25)
-    return rounded(G.normal_error(faces, vertices, faces, moved, 2.0), "mean", "std", "max", digits=4)
+    return rounded(G.normal_error(faces, vertices, faces, moved), "mean", "std", "max", digits=4)
 
 
 @query(VOX + "select case_id, round(2.0::double * count_if(gt > 0 and pred > 0) / (count_if(gt > 0) + count_if(pred > 0)), 6) as dice, round(count_if(gt > 0) / count(*), 6) as share from v_vox group by 1")
@@ -249,7 +249,7 @@ def e12_score_table(spark, d):
 @query()
 def e21_evaluate_case(spark, d):
     rows, points = view(spark, d, "v_vox"), view(spark, d, "v_line")
-    near = metrics.surface_distances(points.where("point_id % 3 = 0"), points.where("point_id % 3 <> 0"), 8.0)
+    near = metrics.surface_distances(points.where("point_id % 3 = 0"), points.where("point_id % 3 <> 0"))
     share = metrics.point_overlap(points, points.where("point_id % 4 <> 0").select("case_id", *[F.rint(c).cast("long").alias(i) for c, i in zip("xyz", "ijk")]))
     return rounded(G.evaluate_case(rows, near, share.withColumnRenamed("share", "overlap")), "dice", "distance", "overlap")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoframe.functions import columns as C
-from geoframe.operators import lines, metrics, spatial, splits
+from geoframe.operators import lines, metrics, nearest, spatial, splits
 from geoframe.plans.registry import query, rounded
 from geoframe.plans.views import ctes, view
 
@@ -261,7 +261,7 @@ def _sides(spark, d):
 
 def _nearest(spark, d):
     left, right = _sides(spark, d)
-    return spatial.nearest_point(left.withColumnRenamed("point_id", "left_id"), right.withColumnRenamed("point_id", "right_id"), 8.0)
+    return nearest.nearest_point(left.withColumnRenamed("point_id", "left_id"), right.withColumnRenamed("point_id", "right_id"))
 
 
 @query(NEAREST + "select case_id, left_id, right_id, round(distance, 6) as distance from nn")
@@ -279,7 +279,7 @@ def p16_points_in_polygon(spark, d):
 @query(NEAREST + "select case_id, round(avg(distance), 6) as mean_distance from nn group by 1")
 def k11_centerline_error(spark, d):
     left, right = _sides(spark, d)
-    return rounded(metrics.centerline_error(right, left, 8.0).select("case_id", "mean_distance"), "mean_distance")
+    return rounded(metrics.centerline_error(right, left).select("case_id", "mean_distance"), "mean_distance")
 
 
 @query(NEAREST + ", b as (select v.case_id, line_id as branch, bool_and(distance <= radius * 4) as caught from v_line v join nn on v.case_id = nn.case_id and point_id = left_id group by 1, 2) select case_id, round(100.0::double * count_if(caught) / (max(branch) + 1), 6) as percent from b group by 1")
@@ -299,7 +299,7 @@ BACK = NEAREST + ", bb as (select r.case_id, r.right_id, min(sqrt((l.x - r.x) **
 
 def _distances(spark, d):
     left, right = _sides(spark, d)
-    return metrics.surface_distances(left, right, 8.0)
+    return metrics.surface_distances(left, right)
 
 
 @query(BACK + "select case_id, round(max(distance) filter (way = 'ab'), 6) as max_ab, round(max(distance) filter (way = 'ba'), 6) as max_ba, round(quantile_cont(distance, 0.95) filter (way = 'ab'), 6) as p_ab, round(quantile_cont(distance, 0.95) filter (way = 'ba'), 6) as p_ba from dd group by 1")

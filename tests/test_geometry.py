@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoframe.functions import columns as C
-from geoframe.operators import geometry, graph, lines, mesh, scores, spatial, voxels
+from geoframe.operators import geometry, graph, lines, mesh, nearest, scores, spatial, voxels
 
 
 def cube(spark):
@@ -46,7 +46,7 @@ def test_distance_to_cube(spark):
     faces, vertices = cube(spark)
     rnd = random.Random(1)
     rows = [(0, n, *(rnd.uniform(-2, 3) for _ in range(3))) for n in range(80)]
-    got = {r.point_id: r.distance for r in geometry.nearest_on_surface(spark.createDataFrame(rows, "mesh_id long, point_id long, x double, y double, z double"), faces, vertices, 0.4).collect()}
+    got = {r.point_id: r.distance for r in geometry.nearest_on_surface(spark.createDataFrame(rows, "mesh_id long, point_id long, x double, y double, z double"), faces, vertices).collect()}
     for _, n, *p in rows:
         outside = math.sqrt(sum(max(-c, c - 1, 0) ** 2 for c in p))
         inside = min(min(c, 1 - c) for c in p)
@@ -107,7 +107,7 @@ def test_nearest_thin_and_spanning_tree(spark):
             kept.append(i)
     assert sorted(r.point_id for r in spatial.thin_points(df, 6.0).collect()) == kept
     right = df.where("point_id % 5 = 0").withColumnRenamed("point_id", "right_id")
-    near = spatial.nearest_point(df.withColumnRenamed("point_id", "left_id"), right, 1.0).collect()
+    near = nearest.nearest_point(df.withColumnRenamed("point_id", "left_id"), right).collect()
     assert len(near) == 90 and all(math.isclose(r.distance, min(math.dist(at[r.left_id], at[k]) for k in range(0, 90, 5)), abs_tol=1e-9) for r in near)
     inside, total = {0}, 0.0
     while len(inside) < len(at):
@@ -143,7 +143,7 @@ def test_normal_error_is_the_angle_to_the_nearest_face(spark):
     flat = vertices.where("vid in (0, 1, 2, 3)")
     base = faces.where("fid < 2")
     tilted = flat.withColumn("z", F.col("x") + 0.01)
-    got = geometry.normal_error(base, flat, base, tilted, 0.5).first()
+    got = geometry.normal_error(base, flat, base, tilted).first()
     assert math.isclose(got.mean, 45, abs_tol=1e-6) and math.isclose(got.max, 45, abs_tol=1e-6) and got.std < 1e-6
 
 
