@@ -15,6 +15,7 @@ from geoframe.operators.lines import arc_length, segments, tangents
 from geoframe.operators.metrics import dice
 from geoframe.operators.nearest import as_boxes, nearest, nearest_point
 from geoframe.operators.spatial import cell, finite_point, points_in_boxes, thin_points
+from geoframe.operators.splits import numbered
 from geoframe.plans.storage import stored
 
 # Inside and outside of surfaces
@@ -171,11 +172,11 @@ def normal_error(a_faces: DataFrame, a_vertices: DataFrame, b_faces: DataFrame,
 # Around centerlines
 
 
-def local_centerline(points: DataFrame, boxes: DataFrame, cell_size: float) -> DataFrame:
+def local_centerline(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Points of each box (case_id, box_id, lox .. hiz) in its largest piece: neighbours on a line that are both inside hang together."""
     line = Window.partitionBy("case_id", "line_id").orderBy("seq")
     ahead = points.withColumn("after", F.lead("point_id").over(line))
-    inside = stored(points_in_boxes(ahead, boxes, cell_size).select("case_id", "box_id", "point_id", "after").distinct(), "in-boxes")
+    inside = stored(points_in_boxes(ahead, boxes).select("case_id", "box_id", "point_id", "after").distinct(), "in-boxes")
     node = lambda p: F.struct("case_id", "box_id", F.col(p).alias("p"))
     there = inside.select("case_id", "box_id", F.col("point_id").alias("after"))
     linked = inside.join(there, ["case_id", "box_id", "after"], "left_semi").select(node("point_id").alias("src"), node("after").alias("dst"))
@@ -225,9 +226,9 @@ def deproject_plane(points: DataFrame, axis: str) -> DataFrame:
     return points.withColumn(axis, F.lit(0.5))
 
 
-def unit_points(points: DataFrame, boxes: DataFrame, cell_size: float) -> DataFrame:
+def unit_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Points inside each box in its unit coordinates ux, uy, uz."""
-    inside = points_in_boxes(points, boxes, cell_size)
+    inside = points_in_boxes(points, boxes)
     return inside.select("*", *[to_unit_box(c, f"lo{c}", f"hi{c}").alias(f"u{c}") for c in "xyz"])
 
 
@@ -288,7 +289,7 @@ def segment_dice(points: DataFrame, labels: DataFrame, scale: float = 1.1, pad:
     parts = segments(points).withColumn("box_id", F.concat_ws("_", "line_id", "seq"))
     boxes = parts.select("case_id", "box_id", "mean_radius", *[(F.col(f"m{c}") - half).alias(f"lo{c}") for c in "xyz"], *[(F.col(f"m{c}") + half).alias(f"hi{c}") for c in "xyz"])
     at = labels.select("case_id", "gt", "pred", *[F.col(i).cast("double").alias(c) for i, c in zip("ijk", "xyz")])
-    boxed = points_in_boxes(at, boxes, 4.0)
+    boxed = points_in_boxes(at, boxes)
     empty = F.least(F.max("gt"), F.max("pred")) <= 0
     scored = dice(boxed, ["case_id", "box_id", "mean_radius"])
     flags = boxed.groupBy("case_id", "box_id").agg(empty.alias("empty"))
@@ -302,7 +303,7 @@ def segment_volume_error(points: DataFrame, labels: DataFrame, scale: float = 3.
     boxes = parts.select("case_id", "box_id", "mean_radius", "mx", "my", "mz", radius.alias("r"), *[(F.col(f"m{c}") - radius).alias(f"lo{c}") for c in "xyz"], *[(F.col(f"m{c}") + radius).alias(f"hi{c}") for c in "xyz"])
     at = labels.select("case_id", "gt", "pred", *[F.col(i).cast("double").alias(c) for i, c in zip("ijk", "xyz")])
     d = sub(vec("x", "y", "z"), vec("mx", "my", "mz"))
-    inside = points_in_boxes(at, boxes, 8.0).where(dot(d, d) <= F.col("r") * F.col("r"))
+    inside = points_in_boxes(at, boxes).where(dot(d, d) <= F.col("r") * F.col("r"))
     gt, pred = F.count_if(F.col("gt") > 0), F.count_if(F.col("pred") > 0)
     return inside.groupBy("case_id", "box_id", "mean_radius").agg(F.try_divide((pred - gt).cast("double"), gt).alias("error_rel"))
 
@@ -324,14 +325,17 @@ def whole_case_samples(cases: DataFrame, images: DataFrame, truths: DataFrame, s
     return flagged.select("case_id", status.alias("status"), F.when(status == "kept", truth).alias("truth_from"))
 
 
-def param_sweep(faces: DataFrame, vertices: DataFrame, configs: list[dict]) -> DataFrame:
-    """smooth() of every mesh under every configuration (name, method, iterations, lam, mu), and its area: long rows."""
-    out = None
-    for c in configs:
-        moved = mesh.smooth(faces, vertices, **{k: v for k, v in c.items() if k != "name"})
-        one = mesh.mesh_area(faces, moved).withColumn("config", F.lit(c["name"]))
-        out = one if out is None else out.unionByName(one)
-    return out
+def param_sweep(faces: DataFrame, vertices: DataFrame, configs: list[dict], factor: float = 50.0) -> DataFrame:
+    """Area of every mesh smoothed under every configuration (name, method, iterations, lam, mu), null if it has diverged; status."""
+    moved = stored(mesh.smooth_sweep(faces, vertices, configs, factor), "sweep")
+    tri = faces
+    for n in range(3):
+        corner = moved.select("config", "mesh_id", F.col("vid").alias(f"v{n}"), *[F.col(c).alias(f"{c}{n}") for c in "xyz"])
+        tri = tri.join(corner, ["mesh_id", f"v{n}"] if n == 0 else ["config", "mesh_id", f"v{n}"])
+    areas = tri.groupBy("config", "mesh_id").agg((F.sum(norm(mesh.doubled_normal())) / 2).alias("area"))
+    status = moved.groupBy("config", "mesh_id").agg(F.count_if(F.col("status") != "ok").alias("bad"))
+    shown = F.when(F.col("bad") > 0, "diverged").otherwise("ok")
+    return status.join(areas, ["config", "mesh_id"], "left").select("config", "mesh_id", F.when(F.col("bad") == 0, F.col("area")).alias("area"), shown.alias("status"))
 
 
 def cluster_points(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -343,16 +347,76 @@ def cluster_points(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(rows).transform(rows).drop("__v")
 
 
-def pca_shapes(voxel_rows: DataFrame, n_features: int, k: int) -> DataFrame:
-    """Scores of each case's flattened mask (case_id, feature, label) on the first k principal components."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+#: Cases that principal components take at most: the driver holds a square of so many numbers (288 MB).
+MOST_CASES = 6000
 
-    # One vector per case has a fixed number of features, those of the common grid.
-    given = F.map_from_entries(F.collect_list(F.struct("feature", F.col("label").cast("double"))))
-    rows = voxel_rows.groupBy("case_id").agg(given.alias("m"))
-    vectors = rows.select("case_id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda f: F.coalesce(F.try_element_at(F.col("m"), f.cast("long")), F.lit(0.0)))).alias("v"))
-    return PCA(k=k, inputCol="v", outputCol="s").fit(vectors).transform(vectors).select("case_id", vector_to_array("s").alias("scores"))
+
+def gram(voxel_rows: DataFrame, features: int = 1024, cases: int = 256) -> DataFrame:
+    """Products of the rows of all cases (index, feature, label; a feature that lacks is 0), summed over features: i, j, product with
+    i <= j; pairs without a common feature are left out.
+
+    Features and cases are cut into blocks. A tile holds the labels of a block of cases on a block of features; tiles of the
+    same features meet, and one matrix product does for all pairs of two blocks of cases.
+    """
+    import numpy as np
+    import pandas as pd
+
+    placed = voxel_rows.where("label <> 0").select(F.floor(F.col("feature") / features).alias("f"), F.floor(F.col("index") / cases).alias("c"), (F.col("index") % cases).cast("int").alias("i"), (F.col("feature") % features).cast("int").alias("k"), F.col("label").cast("double").alias("v"))
+    tiles = stored(placed.groupBy("f", "c").agg(F.collect_list(F.struct("i", "k", "v")).alias("cells")), "tiles")
+    a, b = tiles.withColumnsRenamed({"c": "ca", "cells": "a"}), tiles.withColumnsRenamed({"c": "cb", "cells": "b"})
+    pairs = a.join(b, "f").where("ca <= cb").select("ca", "cb", "a", "b")
+
+    def dense(cells) -> np.ndarray:
+        tile = np.zeros((cases, features))
+        i, k, v = zip(*[(x["i"], x["k"], x["v"]) for x in cells])
+        np.add.at(tile, (i, k), v)
+        return tile
+
+    def products(frames):
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for ca, cb, x, y in frame.itertuples(index=False):
+                found = dense(x) @ dense(y).T
+                sums[ca, cb] = sums[ca, cb] + found if (ca, cb) in sums else found
+            if len(sums) >= 64:
+                yield from flat(sums)
+                sums = {}
+        yield from flat(sums)
+
+    def flat(sums):
+        for (ca, cb), found in sums.items():
+            i, j = np.nonzero(found)
+            yield pd.DataFrame({"i": ca * cases + i, "j": cb * cases + j, "product": found[i, j]})
+
+    rows = pairs.mapInPandas(products, "i long, j long, product double")
+    return rows.where("i <= j").groupBy("i", "j").agg(F.sum("product").alias("product"))
+
+
+def pca_shapes(voxel_rows: DataFrame, k: int) -> DataFrame:
+    """Scores of each case's flattened mask (case_id, feature, label) on the first k principal components of all masks.
+
+    The components of many features and few cases come from the products of cases with cases, as large as the cases are
+    many; nothing is as large as the features. Scores are those of the masks as they are, not less their mean.
+    """
+    import numpy as np
+
+    spark = voxel_rows.sparkSession
+    numbered_cases = stored(numbered(voxel_rows.select("case_id").distinct(), "case_id"), "cases")
+    names = [r.case_id for r in numbered_cases.orderBy("index").limit(MOST_CASES + 1).collect()]
+    if len(names) > MOST_CASES:
+        raise ValueError(f"pca_shapes takes {MOST_CASES} cases at most")
+    n = len(names)
+    square = np.zeros((n, n))
+    for r in gram(voxel_rows.join(numbered_cases, "case_id")).toLocalIterator():
+        square[r.i, r.j] = square[r.j, r.i] = r["product"]
+    beside = square - square.mean(axis=1, keepdims=True)
+    values, vectors = np.linalg.eigh(beside - beside.mean(axis=0, keepdims=True)) if n else (np.zeros(0), np.zeros((0, 0)))
+    best = np.argsort(-values)[:k]
+    scale = np.sqrt(np.where(values[best] > 1e-9 * max(values.max(initial=0), 1e-300), values[best], np.inf))
+    scores = beside @ (vectors[:, best] / scale)
+    rows = [(name, [float(x) for x in row] + [0.0] * (k - len(best))) for name, row in zip(names, scores)]
+    kind = voxel_rows.schema["case_id"].dataType.simpleString()
+    return spark.createDataFrame(rows, f"case_id {kind}, scores array<double>")
 
 
 def header_transform(volumes: DataFrame, scale: float, ras: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoframe.functions.columns import cross, distance2, dot, norm, normalise, sub, unit_hash, vec
+from geoframe.operators.ranges import group_number, group_total
 from geoframe.plans.storage import stored
 
 
@@ -79,9 +80,8 @@ def owner_line(points: DataFrame, key: str = "point_id") -> DataFrame:
 
 def cap_samples(rows: DataFrame, most: int, per_point: int = 1) -> DataFrame:
     """Rows of each case before the running count of samples exceeds most."""
-    order = Window.partitionBy("case_id").orderBy("line_rank", "seq")
-    running = F.sum(F.lit(per_point)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__n", running).where(F.col("__n") <= most).drop("__n")
+    counted = group_total(rows, ["case_id"], ["line_rank", "seq"], F.lit(per_point), "__n")
+    return counted.where(F.col("__n") + per_point <= most).drop("__n")
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -107,7 +107,11 @@ def resample_line(points: DataFrame, n: int) -> DataFrame:
     pairs = points.select("*", *ahead, F.max("seq").over(OF.whole).alias("top"))
     # Every target place t * top / (n - 1) that lies in [seq, seq + 1), the last point also for the end.
     place = lambda t: t * F.col("top") / F.lit(n - 1.0)
-    targets = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: (F.floor(place(t)) == F.col("seq")))
+    # These are between seq and seq + 1 times (n - 1) / top; one more on each side makes up for rounding.
+    first = lambda s: F.when(F.col("top") > 0, s * F.lit(n - 1.0) / F.col("top")).otherwise(F.when(s > 0, n - 1.0).otherwise(0.0))
+    span = F.sequence(F.greatest(F.floor(first(F.col("seq"))) - 1, F.lit(0)), F.least(F.ceil(first(F.col("seq") + 1)) + 1, F.lit(n - 1)))
+    near = F.when(F.col("seq") <= F.col("top"), span)
+    targets = F.filter(near, lambda t: F.floor(place(t)) == F.col("seq"))
     at = pairs.select("*", F.explode(targets).alias("t")).withColumn("u", place(F.col("t")) - F.col("seq"))
     mixed = [(F.col(c) + F.col("u") * (F.col(f"{c}2") - F.col(c))).alias(c) for c in ("x", "y", "z", "radius")]
     return at.select("case_id", "line_id", F.col("t").cast("long").alias("seq"), *mixed)
@@ -127,16 +131,18 @@ def resample_spacing(points: DataFrame, step: float) -> DataFrame:
 def even_subsample(points: DataFrame, n: int) -> DataFrame:
     """Of lines with more than n points, n by evenly spaced index, rounded to 3 digits; bif 1 from bifurc 0 up, last marked."""
     counted = points.withColumn("m", F.count("*").over(OF.whole)).where(F.col("m") > n)
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.floor(t * (F.col("m") - 1) / F.lit(n - 1)))
-    found = F.array_position(wanted, F.col("seq"))
+    # seq is wanted if it is some floor(t * (m - 1) / (n - 1)); t is the least with at least seq there, or one off by rounding.
+    about = F.ceil(F.col("seq") * F.lit(n - 1) / (F.col("m") - 1))
+    tried = F.filter(F.sequence(F.greatest(about - 1, F.lit(0)), F.least(about + 1, F.lit(n - 1))), lambda t: F.floor(t * (F.col("m") - 1) / F.lit(n - 1)) == F.col("seq"))
+    found = F.coalesce(F.array_min(tried) + 1, F.lit(0))
     rounded = [F.round(c, 3).alias(c) for c in ("x", "y", "z", "radius")]
     return counted.withColumn("t", found - 1).where("t >= 0").select("case_id", "line_id", F.col("t").cast("long").alias("t"), *rounded, (F.col("bifurc") >= 0).cast("int").alias("bif"), (F.col("t") == n - 1).cast("int").alias("last"))
 
 
 def stride_segments(rows: DataFrame, stride: int, least: int) -> DataFrame:
     """Of each case's segments in order every stride-th, or denser so that about `least` stay; all if there are fewer."""
-    order = Window.partitionBy("case_id").orderBy("line_id", "seq")
-    counted = rows.withColumn("__n", F.count("*").over(Window.partitionBy("case_id"))).withColumn("__r", F.row_number().over(order) - 1)
+    sizes = rows.groupBy("case_id").agg(F.count("*").alias("__n"))
+    counted = group_number(rows, ["case_id"], ["line_id", "seq"], "__r").join(sizes, "case_id")
     own = F.when(F.col("__n") < least, 1).otherwise(F.least(F.lit(stride), F.floor(F.col("__n") / least)))
     return counted.where(F.col("__r") % own == 0).drop("__n", "__r")
 
@@ -181,7 +187,8 @@ def longest_line_path(points: DataFrame, default_radius: float = 5.0) -> DataFra
 
 def endpoints(points: DataFrame) -> DataFrame:
     """Line ends: the first point of each case's first line and the last of every line, with radius and outward tangent."""
-    whole = tangents(points).withColumn("top", F.max("seq").over(OF.whole)).withColumn("low", F.min("line_id").over(Window.partitionBy("case_id")))
+    lowest = points.groupBy("case_id").agg(F.min("line_id").alias("low"))
+    whole = tangents(points).withColumn("top", F.max("seq").over(OF.whole)).join(lowest, "case_id")
     first = whole.where("seq = 0 and line_id = low").select("case_id", "line_id", F.lit("start").alias("end"), "x", "y", "z", "radius", *[(-F.col(c)).alias(c) for c in ("tx", "ty", "tz")])
     return first.unionByName(whole.where("seq = top").select("case_id", "line_id", F.lit("end").alias("end"), "x", "y", "z", "radius", "tx", "ty", "tz"))
 
@@ -283,9 +290,9 @@ def box_for_sample(samples: DataFrame, min_dim: int = 5) -> DataFrame:
 
 def sample_rows(samples: DataFrame) -> DataFrame:
     """One statistics row per sample: NAME case_N_sub, SIZE, VOL_CENT, TANGENT, BIFURCATION, NUM_VOX."""
-    n = F.dense_rank().over(Window.partitionBy("case_id").orderBy("line_id", "seq")) - 1
+    spots = group_number(samples.select("case_id", "line_id", "seq").distinct(), ["case_id"], ["line_id", "seq"], "__n")
     voxels = F.aggregate("box_size", F.lit(1).cast("long"), lambda acc, x: acc * x)
-    return samples.withColumn("__n", n).select(F.concat_ws("_", F.col("case_id").cast("string"), "__n", "sub").alias("NAME"), (F.col("size_mult") * F.col("radius")).alias("SIZE"), F.array("cx", "cy", "cz").alias("VOL_CENT"), F.array("tx", "ty", "tz").alias("TANGENT"), F.col("bifurc").alias("BIFURCATION"), voxels.alias("NUM_VOX"), F.col("radius").alias("RADIUS"))
+    return samples.join(spots, ["case_id", "line_id", "seq"]).select(F.concat_ws("_", F.col("case_id").cast("string"), "__n", "sub").alias("NAME"), (F.col("size_mult") * F.col("radius")).alias("SIZE"), F.array("cx", "cy", "cz").alias("VOL_CENT"), F.array("tx", "ty", "tz").alias("TANGENT"), F.col("bifurc").alias("BIFURCATION"), voxels.alias("NUM_VOX"), F.col("radius").alias("RADIUS"))
 
 
 def centerline_stats(points: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geoframe.functions.columns import angle_deg, cross, dot, norm, normalise, sub, unit_hash, vec
 from geoframe.operators.graph import connected_components
+from geoframe.operators.ranges import group_number, group_total, quantiles
+from geoframe.operators.spatial import points_in_boxes
 from geoframe.plans.storage import stored
 
 
@@ -85,7 +86,7 @@ def dihedrals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def dihedral_p95(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    return dihedrals(faces, vertices).groupBy("mesh_id").agg(F.percentile("angle", 0.95).alias("p95"))
+    return quantiles(dihedrals(faces, vertices), ["mesh_id"], "angle", {"p95": 0.95})
 
 
 def vertex_curvature(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -167,12 +168,14 @@ def mesh_range(vertices: DataFrame, limit: float) -> DataFrame:
 
 def sample_surface(faces: DataFrame, vertices: DataFrame, n: int, tag: str = "42") -> DataFrame:
     """n points on each mesh, dense by area: hashed draws pick a face by cumulative area and a place in it."""
-    cornered = stored(corners(faces, vertices).withColumn("area", norm(doubled_normal()) / 2), "areas")
-    order = Window.partitionBy("mesh_id").orderBy("fid")
-    upto = F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("area").over(Window.partitionBy("mesh_id"))
+    # Sums of decimals don't depend on their order, so spans of neighbours meet exactly however faces are dealt.
+    area = (norm(doubled_normal()) / 2).cast("decimal(38,18)")
+    cornered = stored(corners(faces, vertices).withColumn("area", area).where("area > 0"), "areas")
+    upto = group_total(cornered, ["mesh_id"], ["fid"], F.col("area"), "below")
+    total = cornered.groupBy("mesh_id").agg(F.sum("area").cast("double").alias("total"))
+    place = lambda c: c.cast("double") / F.col("total") * n
     # Draw d falls on the face whose span of the cumulated shares holds (d + u) / n: one draw a stratum, so spans give draws.
-    spans = cornered.withColumn("hi", upto / total * n).withColumn("lo", (upto - F.col("area")) / total * n).where("area > 0")
+    spans = upto.join(total, "mesh_id").withColumn("lo", place(F.col("below"))).withColumn("hi", place(F.col("below") + F.col("area")))
     draws = spans.select("*", F.explode(F.sequence(F.floor("lo").cast("long"), F.floor("hi").cast("long"))).alias("draw"))
     u = F.col("draw") + unit_hash("mesh_id", "draw", F.lit(f"{tag}-face"))
     hit = draws.where((u >= F.col("lo")) & (u < F.col("hi")) & (F.col("draw") < n))
@@ -222,7 +225,7 @@ def faces_of_vertices(faces: DataFrame, kept: DataFrame) -> DataFrame:
 def compact(faces: DataFrame) -> DataFrame:
     """Faces with vertex ids 0, 1, 2 .. in order of the old ones, per mesh."""
     used = faces.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
-    ids = used.withColumn("new", (F.row_number().over(Window.partitionBy("mesh_id").orderBy("vid")) - 1).cast("long"))
+    ids = group_number(used, ["mesh_id"], ["vid"], "new")
     out = faces
     for n in range(3):
         out = out.join(ids.select("mesh_id", F.col("vid").alias(f"v{n}"), F.col("new").alias(f"n{n}")), ["mesh_id", f"v{n}"])
@@ -252,70 +255,131 @@ def face_label_filter(faces: DataFrame, label: str, value: int) -> DataFrame:
 
 def append_meshes(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One mesh (mesh_id 0) of all: ids moved on by the vertices and faces of the meshes before."""
-    before = Window.orderBy("mesh_id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = vertices.groupBy("mesh_id").agg((F.max("vid") + 1).alias("n")).join(faces.groupBy("mesh_id").agg((F.max("fid") + 1).alias("m")), "mesh_id")
-    offsets = F.broadcast(sizes.select("mesh_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("dv"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("df")))  # a row per mesh
+    offsets = group_total(group_total(sizes, [], ["mesh_id"], F.col("n"), "dv"), [], ["mesh_id"], F.col("m"), "df").select("mesh_id", "dv", "df")
     moved_faces = faces.join(offsets, "mesh_id").select(F.lit(0).cast("long").alias("mesh_id"), (F.col("fid") + F.col("df")).alias("fid"), *[(F.col(f"v{n}") + F.col("dv")).alias(f"v{n}") for n in range(3)])
     moved = vertices.join(offsets, "mesh_id").select(F.lit(0).cast("long").alias("mesh_id"), (F.col("vid") + F.col("dv")).alias("vid"), "x", "y", "z")
     return moved_faces, moved
 
 
-def smooth(faces: DataFrame, vertices: DataFrame, method: str = "laplacian", iterations: int = 3, lam: float = 0.5, mu: float = -0.53) -> DataFrame:
-    """Vertices after so many rounds. laplacian: a share lam of the way to the mean of the neighbours.
+def smoothing_weights(faces: DataFrame, vertices: DataFrame, method: str) -> DataFrame:
+    """(mesh_id, vid, near, w) of a smoothing method. laplacian: 1 to each neighbour.
 
-    taubin: with weights cot/2 of the first mesh, V += lam * L(V), then V -= -mu * L(V), where L is the mean (not the
-    sum) over a vertex's edges, one to itself with minus their total included, of weight times neighbour.
+    taubin: cot/2 of the angles across the edge in the mesh as given, and to the vertex itself minus their total.
     """
-    linked = edge_rows(faces).select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("vid"), F.col("b").alias("near")), F.struct(F.col("b").alias("vid"), F.col("a").alias("near")))).alias("p")).select("mesh_id", "p.*").distinct()
     if method == "laplacian":
-        weights = stored(linked.withColumn("w", F.lit(1.0)), "smoothing-edges")
-    else:
-        cornered = corners(faces, vertices)
-        cots = None
-        for o, p, q in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
-            u, v = sub(point(p), point(o)), sub(point(q), point(o))
-            part = cornered.select("mesh_id", F.col(f"v{p}").alias("vid"), F.col(f"v{q}").alias("near"), F.try_divide(dot(u, v), norm(cross(u, v))).alias("w"))
-            both = part.union(part.select("mesh_id", "near", "vid", "w"))
-            cots = both if cots is None else cots.union(both)
-        cots = cots.groupBy("mesh_id", "vid", "near").agg((F.sum(F.coalesce("w", F.lit(0.0))) / 2).alias("w"))
-        own = cots.groupBy("mesh_id", "vid").agg((-F.sum("w")).alias("w"))
-        weights = stored(cots.union(own.select("mesh_id", "vid", F.col("vid").alias("near"), "w")), "smoothing-edges")
-    now = vertices.select("mesh_id", "vid", "x", "y", "z")
-    for step in range(iterations * (1 if method == "laplacian" else 2)):
-        near = now.select("mesh_id", F.col("vid").alias("near"), "x", "y", "z")
-        means = weights.join(near, ["mesh_id", "near"]).groupBy("mesh_id", "vid").agg(*[(F.sum(F.col("w") * F.col(c)) / F.count("*")).alias(f"l{c}") for c in "xyz"])
-        rate = lam if method == "laplacian" or step % 2 == 0 else mu
-        move = lambda c: F.coalesce(F.col(c) + rate * (F.col(f"l{c}") - (F.col(c) if method == "laplacian" else 0)), F.col(c))  # noqa: B023, E731
-        now = now.join(means, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *[move(c).alias(c) for c in "xyz"])
-        if step % 4 == 3:
-            now = stored(now, "smoothed")
-    return now
-
-
-def apply_submesh_model(faces: DataFrame, vertices: DataFrame, fn, keys: list[str] = ("mesh_id",)) -> DataFrame:
-    """fn(vertex array, edge array, face array) -> new vertex array for every group of a bounded submesh; ignored if the count differs.
-
-    One sweep over the original mesh: a later group's vertices stand where groups overlap.
+        both = F.array(F.struct(F.col("a").alias("vid"), F.col("b").alias("near")), F.struct(F.col("b").alias("vid"), F.col("a").alias("near")))
+        linked = edge_rows(faces).select("mesh_id", F.explode(both).alias("p")).select("mesh_id", "p.*").distinct()
+        return linked.withColumn("w", F.lit(1.0))
+    cornered = corners(faces, vertices)
+    cots = None
+    for o, p, q in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        u, v = sub(point(p), point(o)), sub(point(q), point(o))
+        part = cornered.select("mesh_id", F.col(f"v{p}").alias("vid"), F.col(f"v{q}").alias("near"), F.try_divide(dot(u, v), norm(cross(u, v))).alias("w"))
+        both = part.union(part.select("mesh_id", "near", "vid", "w"))
+        cots = both if cots is None else cots.union(both)
+    cots = cots.groupBy("mesh_id", "vid", "near").agg((F.sum(F.coalesce("w", F.lit(0.0))) / 2).alias("w"))
+    own = cots.groupBy("mesh_id", "vid").agg((-F.sum("w")).alias("w"))
+    return cots.union(own.select("mesh_id", "vid", F.col("vid").alias("near"), "w"))
+
+
+def diagonals(vertices: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the diagonal of the box around its vertices, infinite if one isn't finite."""
+    square = lambda c: (F.max(c) - F.min(c)) * (F.max(c) - F.min(c))
+    bad = F.bool_or(F.isnan("x") | F.isnan("y") | F.isnan("z"))
+    length = F.sqrt(square("x") + square("y") + square("z"))
+    return vertices.groupBy(*by).agg(F.when(bad | F.isnan(length), float("inf")).otherwise(length).alias("diagonal"))
+
+
+def smooth_sweep(faces: DataFrame, vertices: DataFrame, configs: list[dict], factor: float = 50.0) -> DataFrame:
+    """Vertices of every mesh under every configuration (name, method, iterations, lam, mu): config, mesh_id, vid, x, y, z, status.
+
+    laplacian: a share lam of the way to the mean of the neighbours. taubin: V += lam * L(V), then V -= -mu * L(V), where L
+    is the mean (not the sum) over a vertex's edges of weight times neighbour.
+
+    The configuration is a group key: all that still run take a step in the same job. A mesh whose diagonal passes factor
+    times its first one, or isn't finite, has diverged under that configuration: it stops there, its status says so.
+    """
+    spark = faces.sparkSession
+    rows = [(str(c["name"]), c.get("method", "laplacian"), int(c.get("iterations", 3)), float(c.get("lam", 0.5)), float(c.get("mu", -0.53))) for c in configs]
+    table = spark.createDataFrame(rows, "config string, method string, iterations int, lam double, mu double")
+    steps = F.when(F.col("method") == "laplacian", F.col("iterations")).otherwise(2 * F.col("iterations"))
+    weights = None
+    for method in sorted({r[1] for r in rows}):
+        one = smoothing_weights(faces, vertices, method).withColumn("method", F.lit(method))
+        weights = one if weights is None else weights.unionByName(one)
+    weights = stored(weights, "smoothing-edges")
+    first = stored(diagonals(vertices, ["mesh_id"]).withColumnRenamed("diagonal", "first"), "diagonals")
+    # Every mesh under every configuration is what a sweep is; the configurations are a short list.
+    now = vertices.select("mesh_id", "vid", "x", "y", "z").crossJoin(F.broadcast(table.withColumn("steps", steps))).withColumn("status", F.lit("ok"))
+    columns = ["config", "mesh_id", "vid", "x", "y", "z", "status"]
+    done = now.where("steps <= 0").select(*columns)
+    for step in range(max((r[2] * (1 if r[1] == "laplacian" else 2) for r in rows), default=0)):
+        active = now.where((F.col("steps") > step) & (F.col("status") == "ok"))
+        near = active.select("config", "method", "mesh_id", F.col("vid").alias("near"), "x", "y", "z")
+        means = weights.join(near, ["method", "mesh_id", "near"]).groupBy("config", "mesh_id", "vid").agg(*[(F.sum(F.col("w") * F.col(c)) / F.count("*")).alias(f"l{c}") for c in "xyz"])
+        plain = F.col("method") == "laplacian"
+        rate = F.when(plain | F.lit(step % 2 == 0), F.col("lam")).otherwise(F.col("mu"))
+        place = [F.coalesce(F.col(c) + rate * (F.col(f"l{c}") - F.when(plain, F.col(c)).otherwise(0.0)), F.col(c)).alias(c) for c in "xyz"]
+        kept = ["config", "method", "iterations", "lam", "mu", "steps"]
+        moved = stored(active.join(means, ["config", "mesh_id", "vid"], "left").select("mesh_id", "vid", *place, *kept), "smoothed")
+        gone = diagonals(moved, ["config", "mesh_id"]).join(first, "mesh_id").where(F.col("diagonal") > factor * F.col("first"))
+        marked = moved.join(gone.select("config", "mesh_id", F.lit("diverged").alias("__gone")), ["config", "mesh_id"], "left")
+        now = marked.withColumn("status", F.coalesce("__gone", F.lit("ok"))).drop("__gone")
+        done = done.unionByName(now.where((F.col("steps") <= step + 1) | (F.col("status") != "ok")).select(*columns))
+    return done
+
+
+def smooth(faces: DataFrame, vertices: DataFrame, method: str = "laplacian", iterations: int = 3, lam: float = 0.5, mu: float = -0.53) -> DataFrame:
+    """Vertices (mesh_id, vid, x, y, z) after so many rounds of one method, wherever they end up: see smooth_sweep()."""
+    config = {"name": "", "method": method, "iterations": iterations, "lam": lam, "mu": mu}
+    return smooth_sweep(faces, vertices, [config], float("inf")).select("mesh_id", "vid", "x", "y", "z")
+
+
+def boxes_along_walk(visited: DataFrame, factor: float = 2.0, radius_add: float = 0.0, radius_scale: float = 1.0) -> DataFrame:
+    """Boxes (mesh_id, box_id, lox .. hiz) around visited points (mesh_id, line_rank, seq, x, y, z, radius), numbered in the order of
+    the visits: longest line first, each from its start. A side is twice factor times the radius."""
+    half = factor * (F.col("radius") + radius_add) * radius_scale
+    ends = [(F.col(c) + sign * half).alias(f"{end}{c}") for end, sign in (("lo", -1), ("hi", 1)) for c in "xyz"]
+    return group_number(visited, ["mesh_id"], ["line_rank", "seq"], "box_id").select("mesh_id", "box_id", *ends)
+
+
+def submeshes(faces: DataFrame, vertices: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each box (mesh_id, box_id, lox .. hiz) the faces that lie in it whole (box_id, faces' columns) and their vertices."""
+    inside = stored(points_in_boxes(vertices.select("mesh_id", "vid", "x", "y", "z"), boxes, key="mesh_id").select("mesh_id", "box_id", "vid", "x", "y", "z"), "in-boxes")
+    corner = faces.select("*", F.explode(F.array("v0", "v1", "v2")).alias("vid"))
+    whole = corner.join(inside.select("mesh_id", "box_id", "vid"), ["mesh_id", "vid"]).groupBy("mesh_id", "box_id", "fid", "v0", "v1", "v2").agg(F.count("*").alias("n"))
+    kept = stored(whole.where("n = 3").drop("n"), "box-faces")
+    used = kept.select("mesh_id", "box_id", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
+    return kept, inside.join(used, ["mesh_id", "box_id", "vid"])
+
+
+def apply_submesh_model(faces: DataFrame, vertices: DataFrame, boxes: DataFrame, fn) -> DataFrame:
+    """fn(vertices n x 3, edges m x 2, faces k x 3; numpy) -> new vertices, for the submesh of every box (mesh_id, box_id, lox .. hiz).
+
+    A box is a group: no task gets more than a few boxes' faces. A result with another number of vertices is left out. Where
+    boxes overlap the last one, by box_id, wins; vertices in none stay. Every box sees the mesh as it was given, so the
+    result doesn't depend on which boxes run first.
     """
     import numpy as np
     import pandas as pd
 
-    packed_v = vertices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))).alias("vs"))
-    packed_f = faces.groupBy(*keys).agg(F.collect_list(F.struct("v0", "v1", "v2")).alias("fs"))
-    fields = vertices.select(*keys, "vid", "x", "y", "z").schema
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                ids = [v["vid"] for v in row["vs"]]
-                place = {v: n for n, v in enumerate(ids)}
-                at = np.array([[v["x"], v["y"], v["z"]] for v in row["vs"]])
-                tris = np.array([[place[f[c]] for c in ("v0", "v1", "v2")] for f in row["fs"] if all(f[c] in place for c in ("v0", "v1", "v2"))]).reshape(-1, 3).astype(int)
-                pairs = np.unique(np.sort(np.concatenate([tris[:, [0, 1]], tris[:, [1, 2]], tris[:, [2, 0]]]), axis=1), axis=0) if len(tris) else np.zeros((0, 2), int)
-                new = fn(at, pairs, tris)
-                new = at if len(new) != len(at) else new
-                out.append(pd.DataFrame({**{k: [row[k]] * len(ids) for k in keys}, "vid": ids, "x": new[:, 0], "y": new[:, 1], "z": new[:, 2]}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=fields.names)
-
-    return packed_v.join(packed_f, list(keys)).mapInPandas(run, fields)
+    box_faces, box_vertices = submeshes(faces, vertices, boxes)
+
+    def run(points: pd.DataFrame, tris: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("vid")
+        ids = points["vid"].to_numpy()
+        at = points[["x", "y", "z"]].to_numpy()
+        local = np.searchsorted(ids, tris.sort_values("fid")[["v0", "v1", "v2"]].to_numpy())
+        pairs = np.sort(np.concatenate([local[:, [0, 1]], local[:, [1, 2]], local[:, [0, 2]]]), axis=1)
+        new = np.asarray(fn(at, np.unique(pairs, axis=0), local), float) if len(ids) else at
+        if len(new) != len(ids):
+            return points.iloc[:0]
+        return points.assign(x=new[:, 0], y=new[:, 1], z=new[:, 2])
+
+    by = ["mesh_id", "box_id"]
+    columns = [*by, "vid", "x", "y", "z"]
+    moved = box_vertices.select(*columns).groupBy(*by).cogroup(box_faces.groupBy(*by)).applyInPandas(run, box_vertices.select(*columns).schema)
+    last = moved.groupBy("mesh_id", "vid").agg(F.max_by(F.struct("x", "y", "z"), "box_id").alias("new"))
+    merged = vertices.join(last, ["mesh_id", "vid"], "left")
+    return merged.select("mesh_id", "vid", *[F.coalesce(f"new.{c}", c).alias(c) for c in "xyz"])

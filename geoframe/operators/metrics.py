@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from geoframe.operators.lines import segments
 from geoframe.operators.nearest import nearest_point
+from geoframe.operators.ranges import quantiles
+from geoframe.plans.storage import stored
 
 
 def dice(voxels: DataFrame, by: list[str] = ("case_id",)) -> DataFrame:
@@ -63,8 +65,11 @@ def surface_distances(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def hausdorff(distances: DataFrame, share: float = 0.95) -> DataFrame:
     """Per case greatest and percentile distance there and back, and the mean of both percentiles."""
-    pick = lambda w: F.when(F.col("way") == w, F.col("distance"))
-    out = distances.groupBy("case_id").agg(F.max(pick("ab")).alias("max_ab"), F.max(pick("ba")).alias("max_ba"), F.percentile(pick("ab"), share).alias("p_ab"), F.percentile(pick("ba"), share).alias("p_ba"))
+    distances = stored(distances, "distances")
+    sums = distances.groupBy("case_id", "way").agg(F.max("distance").alias("max"))
+    each = sums.join(quantiles(distances, ["case_id", "way"], "distance", {"p": share}), ["case_id", "way"])
+    of = lambda c, w: F.max(F.when(F.col("way") == w, F.col(c))).alias(f"{c}_{w}")
+    out = each.groupBy("case_id").agg(*[of(c, w) for c in ("max", "p") for w in ("ab", "ba")])
     return out.withColumn("p_mean", (F.col("p_ab") + F.col("p_ba")) / 2)
 
 

@@ -53,11 +53,16 @@ def counted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias(value)).agg(F.count("*").alias("__n"))
 
 
-def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
-    """df with the rank, from 1, of its value in its group, the mean of their ranks for equal ones; null for a null value."""
+def value_ranks(df: DataFrame, groups: list[str], value: str, name: str = "rank", ties: str = "t") -> DataFrame:
+    """Each value of a group once: its rank, from 1, the mean of their ranks for equal ones, and how often it is there (ties)."""
     ranked = group_total(counted_values(df, groups, value), groups, [value], F.col("__n"), "__lower")
     rank = F.col("__lower") + (F.col("__n") + 1) / 2
-    return joined(df, ranked.select(*groups, value, rank.alias(name)), [*groups, value], "left")
+    return ranked.select(*groups, value, rank.alias(name), F.col("__n").alias(ties))
+
+
+def average_ranks(df: DataFrame, groups: list[str], value: str, name: str = "rank", ties: str = "t") -> DataFrame:
+    """df with the columns of value_ranks(); null for a null value."""
+    return joined(df, value_ranks(df, groups, value, name, ties), [*groups, value], "left")
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoframe.functions.columns import finite, format_mean_std
-from geoframe.operators.splits import running_total
+from geoframe.operators.ranges import average_ranks, joined, quantiles, value_ranks
 from geoframe.plans.storage import stored
 
 
@@ -22,7 +22,9 @@ def summarise(scores: DataFrame, by: list[str], value: str = "value") -> DataFra
 def summarise_configs(scores: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Per configuration: mean, sample deviation and median of the finite values, cases, failed rows and their share."""
     v, failed = finite(value), F.count_if(F.col("status") != "ok")
-    return scores.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"), F.count_distinct("case_id").alias("n_cases"), failed.alias("n_failed"), (failed / F.count("*")).alias("frac_failed"))
+    sums = scores.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count_distinct("case_id").alias("n_cases"), failed.alias("n_failed"), (failed / F.count("*")).alias("frac_failed"))
+    medians = quantiles(scores.withColumn(value, v), by, value, {"median": 0.5})
+    return joined(sums, medians, by, "left").select(*by, "mean", "std", "median", "n_cases", "n_failed", "frac_failed")
 
 
 def with_category(scores: DataFrame, categories: DataFrame, drop: bool = False) -> DataFrame:
@@ -66,21 +68,25 @@ def bucket_means(rows: DataFrame, by: list[str], least: int = 5, value: str = "v
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.avg(finite(value))).alias("mean"))
 
 
-def quantile_edges(rows: DataFrame, value: str, k: int) -> Column:
-    """k + 1 edges of k quantile bins, each at least 1e-9 over the one before."""
-    raw = F.percentile(value, F.array(*[F.lit(i / k) for i in range(k + 1)]))
-    return F.aggregate(raw, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(F.greatest(x, F.try_element_at(acc, F.lit(-1)) + 1e-9)))))
+def apart(edges: Column, least: float = 1e-9) -> Column:
+    """Ascending numbers, each at least so much over the one before."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    more = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.greatest(x, last(acc) + least))
+    return F.aggregate(edges, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(more(acc, x))))
 
 
-def distinct_radii_pool(rows: DataFrame, value: str, k: int) -> DataFrame:
-    return rows.agg(quantile_edges(rows, value, k).alias("edges")).select(F.posexplode("edges").alias("bin", "edge"))
+def distinct_radii_pool(rows: DataFrame, value: str, k: int, by: list[str] = ()) -> DataFrame:
+    """The k + 1 edges of k quantile bins, of all rows or of each group: bin, edge; each at least 1e-9 over the one before."""
+    names = {f"__e{i}": i / k for i in range(k + 1)}
+    edges = quantiles(rows, list(by), value, names).where("__e0 is not null")
+    return edges.select(*by, F.posexplode(apart(F.array(*names))).alias("bin", "edge"))
 
 
 def distribution_summary(rows: DataFrame, by: list[str], value: str = "value", least: int = 5) -> DataFrame:
     """Box-plot numbers: n, least, quartiles, greatest, and whether there are enough to show."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max"))
-    return out.select(*by, "n", "min", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), "max", (F.col("n") >= least).alias("shown"))
+    sums = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = joined(sums, quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by, "left")
+    return out.select(*by, "n", "min", "q1", "median", "q3", "max", (F.col("n") >= least).alias("shown"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 50) -> DataFrame:
@@ -127,10 +133,8 @@ def point_differences(scores: DataFrame, group: str) -> DataFrame:
 
 
 def rank_avg(rows: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Ranks with ties at their mean."""
-    ranked = rows.withColumn("__r", F.rank().over(Window.partitionBy(*by).orderBy(value)))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return ranked.withColumn(name, F.col("__r") + (ties - 1) / 2.0).drop("__r")
+    """Ranks within groups of any size, with ties at their mean."""
+    return average_ranks(rows, by, value, name, "__t").drop("__t")
 
 
 def paired_differences(scores: DataFrame) -> DataFrame:
@@ -141,8 +145,7 @@ def wilcoxon(scores: DataFrame) -> DataFrame:
     """Per pair of methods: differences that aren't 0, sums of positive and negative signed ranks, z with tie correction, p."""
     pairs = paired_differences(scores).withColumn("size", F.abs("difference"))
     by = ["method_a", "method_b"]
-    ranked = rank_avg(pairs, by, "size").withColumn("t", F.count("*").over(Window.partitionBy(*by, "size")))
-    sums = ranked.groupBy(*by).agg(
+    sums = average_ranks(pairs, by, "size").groupBy(*by).agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(F.when(F.col("difference") > 0, F.col("rank"))), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(F.when(F.col("difference") < 0, F.col("rank"))), F.lit(0.0)).alias("w_minus"),
@@ -156,8 +159,7 @@ def wilcoxon(scores: DataFrame) -> DataFrame:
 
 def pooled_ranks(rows: DataFrame, value: str) -> DataFrame:
     """(value, t, rank): each distinct value's number of rows and mean rank among all. Counts are summed, not rows ordered."""
-    counts = running_total(rows.groupBy(value).agg(F.count("*").alias("t")), [value], "t", "__below")
-    return counts.select(value, "t", (F.col("__below") + (F.col("t") + 1) / 2.0).alias("rank"))
+    return value_ranks(rows, [], value)
 
 
 def mann_whitney(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
@@ -190,7 +192,10 @@ def friedman(scores: DataFrame) -> DataFrame:
     methods = scores.select("method").distinct()
     k = methods.agg(F.count("*").alias("k"))
     full = scores.withColumn("m", F.count("*").over(Window.partitionBy("case_id"))).join(F.broadcast(k)).where("m = k")
-    ranked = rank_avg(full, ["case_id"], "value").withColumn("t", F.count("*").over(Window.partitionBy("case_id", "value")).cast("double"))
+    # A group is a case with a row per method, so a window is small here.
+    case, tied = Window.partitionBy("case_id").orderBy("value"), Window.partitionBy("case_id", "value")
+    counted = full.withColumn("t", F.count("*").over(tied).cast("double"))
+    ranked = counted.withColumn("rank", F.rank().over(case) + (F.col("t") - 1) / 2)
     per = ranked.groupBy("method").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.first("k").alias("k"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
     kk, n = F.max("k").cast("double"), F.max("n").cast("double")
     chi = F.try_divide(12 / (n * kk * (kk + 1)) * F.sum(F.col("r") * F.col("r")) - 3 * n * (kk + 1), 1 - F.sum("ties") / (n * kk * (kk * kk - 1)))

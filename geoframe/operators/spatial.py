@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions.columns import distance2, vec
+from geoframe.operators.ranges import in_ranges, joined
 from geoframe.plans.storage import stored
 
 
@@ -25,16 +26,51 @@ def radius_bucket(df: DataFrame, value: str, edges: list[tuple[float, float | No
     return df.withColumn("__i", found).where("__i is not null").withColumn("lo", pick(0)).withColumn("hi", pick(1)).drop("__i")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell_size: float, closed: bool = True) -> DataFrame:
-    """Pairs of points (case_id, x, y, z) and boxes (case_id, box_id, lox, loy, loz, hix, hiy, hiz) that hold them."""
-    spans = [F.sequence(F.floor(F.col(f"lo{c}") / cell_size).cast("long"), F.floor(F.col(f"hi{c}") / cell_size).cast("long")) for c in "xyz"]
-    celled = boxes.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1])).withColumn("__cz", F.explode(spans[2]))
-    placed = points.withColumn("__cx", cell("x", cell_size)).withColumn("__cy", cell("y", cell_size)).withColumn("__cz", cell("z", cell_size))
-    pairs = placed.join(celled, ["case_id", "__cx", "__cy", "__cz"])
+def interval_join(rows: DataFrame, intervals: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """rows with the columns of the interval [lo, hi) of their keys (intervals: keys, lo, hi, ..; a null hi has no end) that holds
+    the value; rows in none are dropped. The intervals of a key don't overlap; between them there may be holes.
+
+    Both sides are merged by their ends: in the order of keys and place the last interval that began is the only one that can
+    hold a value. It is carried into later ranges of the order, so neither a key nor a value needs one task.
+    """
+    more = [c for c in intervals.columns if c not in keys]
+    started = intervals.where("lo is not null").select(*keys, F.col("lo").cast("double").alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__tie"), F.struct(*more).alias("__interval"), F.lit(None).cast(rows.schema).alias("__row"))
+    asked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__at"), F.lit(1).alias("__kind"), F.xxhash64(*rows.columns).alias("__tie"), F.lit(None).cast(started.schema["__interval"].dataType).alias("__interval"), F.struct(*rows.columns).alias("__row"))
+    order = ["__at", "__kind", "__tie"]
+    ranged = in_ranges(started.unionByName(asked), [*keys, *order])
+    # The last interval that begins in each range, and of the ranges before it.
+    lasts = ranged.groupBy("__range", *keys).agg(F.max_by("__interval", F.when(F.col("__kind") == 0, F.col("__at"))).alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stored(lasts.select("__range", *keys, F.last("__last", ignorenulls=True).over(earlier).alias("__carried")), "carried")
+    upto = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.withColumn("__here", F.last("__interval", ignorenulls=True).over(upto)).where("__kind = 1")
+    found = joined(held, carried, ["__range", *keys]).withColumn("__interval", F.coalesce("__here", "__carried"))
+    inside = F.col("__interval").isNotNull() & (F.col("__interval.hi").isNull() | (F.col("__at") < F.col("__interval.hi")))
+    return found.where(inside).select("__row.*", *[F.col("__interval")[c].alias(c) for c in more])
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, closed: bool = True, key: str = "case_id") -> DataFrame:
+    """Pairs of points (key, x, y, z) and boxes (key, box_id, lox, loy, loz, hix, hiy, hiz) that hold them; keys are not null.
+
+    A box is looked for in cells whose side is the power of two from its own longest side up, so it lies in eight at most,
+    however large or small. Points are in a cell of each size that a box of their key asks for. Boxes without finite ends hold nothing.
+    """
+    ends = [f"{end}{c}" for end in ("lo", "hi") for c in "xyz"]
+    finite = boxes.where(finite_point(*ends))
+    side = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"])
+    level = F.when(side > 2.0**-30, F.ceil(F.log2(side))).otherwise(-30).cast("int")
+    celled = finite.withColumn("__level", level).withColumn("__size", F.pow(F.lit(2.0), F.col("__level")))
+    sizes = celled.select(key, "__level", "__size").distinct()
+    placed = points.where(finite_point("x", "y", "z")).join(sizes, key)
+    for c in "xyz":
+        at = lambda v: F.floor(F.col(v) / F.col("__size"))
+        celled = celled.withColumn(f"__c{c}", F.explode(F.sequence(at(f"lo{c}"), at(f"hi{c}"))))
+        placed = placed.withColumn(f"__c{c}", at(c))
+    pairs = placed.drop("__size").join(celled.drop("__size"), [key, "__level", "__cx", "__cy", "__cz"])
     for c in "xyz":
         inside = F.col(c).between(F.col(f"lo{c}"), F.col(f"hi{c}")) if closed else (F.col(c) > F.col(f"lo{c}")) & (F.col(c) < F.col(f"hi{c}"))
         pairs = pairs.where(inside)
-    return pairs.drop("__cx", "__cy", "__cz")
+    return pairs.drop("__level", "__cx", "__cy", "__cz")
 
 
 def inside_sphere(points: DataFrame, centre: tuple[float, float, float], radius: float) -> DataFrame:
@@ -53,9 +89,9 @@ def out_of_bounds(points: DataFrame, bounds: DataFrame, most: int = 100) -> Data
     return rows.groupBy("case_id").agg(F.count("*").alias("n_outside")).join(ids, "case_id")
 
 
-def boxes_without_caps(boxes: DataFrame, caps: DataFrame, cell_size: float) -> DataFrame:
+def boxes_without_caps(boxes: DataFrame, caps: DataFrame) -> DataFrame:
     """The boxes that no cap point (case_id, x, y, z) lies strictly inside."""
-    hit = points_in_boxes(caps, boxes, cell_size, closed=False).select("case_id", "box_id").distinct()
+    hit = points_in_boxes(caps, boxes, closed=False).select("case_id", "box_id").distinct()
     return boxes.join(hit, ["case_id", "box_id"], "left_anti")
 
 

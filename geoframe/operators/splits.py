@@ -38,15 +38,6 @@ def numbered(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")  # a row per range
 
 
-def running_total(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
-    """df with the sum of weight over all rows before its own in the order, by ranges: no task has all rows."""
-    ranged = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__range").agg(F.sum(weight).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")  # a row per range
-
-
 def case_slice(cases: DataFrame, key: str, percent: float, start: int = 0, end: int | None = None, tag: str = "42") -> DataFrame:
     """Of the cases in hashed order the first int(percent * n), then rows start to end of those."""
     ranked = numbered(cases.withColumn("__place", place_of(tag, key)), "__place", key, name="__index")

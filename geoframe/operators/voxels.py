@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoframe.functions.columns import finite, unit_hash
+from geoframe.operators.ranges import joined, quantiles
 
 INDEX = ("i", "j", "k")
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
@@ -16,7 +17,8 @@ AROUND = tuple((a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0
 def volume_stats(voxels: DataFrame, value: str = "value") -> DataFrame:
     """Per case: least, greatest, mean, deviation, median, voxels that aren't 0, voxels."""
     v = F.col(value)
-    return voxels.groupBy("case_id").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"), F.count_if(v != 0).alias("n_nonzero"), F.count("*").alias("n_total"))
+    sums = voxels.groupBy("case_id").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count_if(v != 0).alias("n_nonzero"), F.count("*").alias("n_total"))
+    return joined(sums, quantiles(voxels, ["case_id"], value, {"median": 0.5}), ["case_id"], "left")
 
 
 def label_histogram(voxels: DataFrame, label: str = "label") -> DataFrame:
@@ -197,10 +199,10 @@ def ct_rescale(value, low: float, high: float) -> Column:
 
 def mr_rescale(voxels: DataFrame, value: str = "value") -> DataFrame:
     """Per case clamped to its 20th and 99th percentile, scaled to [-1, 1]."""
-    ends = voxels.groupBy("case_id").agg(F.percentile(value, F.array(F.lit(0.2), F.lit(0.99))).alias("__p"))
-    lo, hi = F.col("__p")[0], F.col("__p")[1]
+    ends = quantiles(voxels, ["case_id"], value, {"__lo": 0.2, "__hi": 0.99})
+    lo, hi = F.col("__lo"), F.col("__hi")
     clamped = F.greatest(lo, F.least(hi, F.col(value)))
-    return voxels.join(ends, "case_id").withColumn(value, 2 * F.try_divide(clamped - lo, hi - lo) - 1).drop("__p")
+    return voxels.join(ends, "case_id").withColumn(value, 2 * F.try_divide(clamped - lo, hi - lo) - 1).drop("__lo", "__hi")
 
 
 def flip_permute(voxels: DataFrame, flips: str = "", order: tuple[str, str, str] = INDEX) -> DataFrame:
@@ -333,9 +335,10 @@ def header_survey(volumes: DataFrame) -> DataFrame:
 def resolution_report(volumes: DataFrame, points: DataFrame) -> DataFrame:
     """Per case: finest and coarsest spacing, radius quantiles, least radius over the coarsest spacing; under 1 is under-resolved."""
     spacing = volumes.select("case_id", F.array_min("spacing").alias("finest"), F.array_max("spacing").alias("coarsest"))
-    radii = points.groupBy("case_id").agg(F.percentile("radius", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.min("radius").alias("min_radius"))
+    shares = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    radii = joined(points.groupBy("case_id").agg(F.min("radius").alias("min_radius")), quantiles(points, ["case_id"], "radius", shares), ["case_id"], "left")
     ratio = F.col("min_radius") / F.col("coarsest")
-    return spacing.join(radii, "case_id").select("case_id", "finest", "coarsest", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))], ratio.alias("ratio"), (ratio < 1).alias("under_resolved"))
+    return spacing.join(radii, "case_id").select("case_id", "finest", "coarsest", *shares, ratio.alias("ratio"), (ratio < 1).alias("under_resolved"))
 
 
 def finite_values(df: DataFrame, *columns: str) -> DataFrame:

@@ -98,12 +98,12 @@ def m16_local_surface(spark, d):
 @query()
 def k17_local_centerline(spark, d):
     points = view(spark, d, "v_line")
-    return G.local_centerline(points, _boxes(points), 12.0)
+    return G.local_centerline(points, _boxes(points))
 
 
 def _local(spark, d):
     points = view(spark, d, "v_line")
-    return G.unit_points(points, _boxes(points, 40.0), 80.0).withColumn("sample_id", F.concat_ws("_", "case_id", "box_id"))
+    return G.unit_points(points, _boxes(points, 40.0)).withColumn("sample_id", F.concat_ws("_", "case_id", "box_id"))
 
 
 @query()
@@ -119,7 +119,7 @@ def k9_deproject_trajectories(spark, d):
 @query(LINE + BOXES + "select v.point_id, box_id, b.case_id, round((x - lox) / 12, 6) as x, round((z - loz) / 12, 6) as z from v_line v join boxes b on v.case_id = b.case_id and x between lox and hix and y between loy and hiy and z between loz and hiz")
 def f12_project_plane(spark, d):
     points = view(spark, d, "v_line")
-    unit = G.unit_points(points, _boxes(points), 12.0).select("point_id", "box_id", "case_id", *[F.col(f"u{c}").alias(c) for c in "xyz"])
+    unit = G.unit_points(points, _boxes(points)).select("point_id", "box_id", "case_id", *[F.col(f"u{c}").alias(c) for c in "xyz"])
     return rounded(G.project_plane(unit, "y"), "x", "z")
 
 
@@ -262,14 +262,25 @@ NORMAL = " + ".join(f"(({a}1 - {a}0) * ({b}2 - {b}0) - ({b}1 - {b}0) * ({a}2 - {
     + f""", ed as (select mesh_id, vid, near from cs), lp as (select v.mesh_id, v.vid, {", ".join(f"any_value(v.{c}) + 0.5::double * (avg(u.{c}) - any_value(v.{c})) as {c}" for c in "xyz")} from ed join v_vertex v using (mesh_id, vid) join v_vertex u on u.mesh_id = ed.mesh_id and u.vid = near group by 1, 2),
  al as (select 'none' as config, * from p0 union all select 'laplacian_1', * from lp union all select 'taubin_1', * from p2),
  tri as (select a.config, f.mesh_id, {", ".join(f"{t}.{c} as {c}{n}" for n, t in enumerate(("a", "b", "c")) for c in "xyz")} from v_face f join al a on a.mesh_id = f.mesh_id and a.vid = v0
-  join al b on b.mesh_id = f.mesh_id and b.vid = v1 and b.config = a.config join al c on c.mesh_id = f.mesh_id and c.vid = v2 and c.config = a.config) select config, mesh_id, round(sum(sqrt({NORMAL})) / 2, 4) as area from tri group by 1, 2"""
+  join al b on b.mesh_id = f.mesh_id and b.vid = v1 and b.config = a.config join al c on c.mesh_id = f.mesh_id and c.vid = v2 and c.config = a.config) select config, mesh_id, round(sum(sqrt({NORMAL})) / 2, 4) as area, 'ok' as status from tri group by 1, 2"""
 )
 def n4_param_sweep(spark, d):
     configs = [{"name": "none", "method": "laplacian", "iterations": 0}, {"name": "laplacian_1", "method": "laplacian", "iterations": 1}, {"name": "taubin_1", "method": "taubin", "iterations": 1, "lam": 0.1, "mu": -0.1}]
     return rounded(G.param_sweep(*_mesh(spark, d), configs), "area", digits=4)
 
 
+@query(
+    TAUBIN
+    + f""", tri as (select f.mesh_id, {", ".join(f"{t}.{c} as {c}{n}" for n, t in enumerate(("a", "b", "c")) for c in "xyz")} from v_face f join p2 a on a.mesh_id = f.mesh_id and a.vid = v0 join p2 b on b.mesh_id = f.mesh_id and b.vid = v1 join p2 c on c.mesh_id = f.mesh_id and c.vid = v2),
+ ok as (select mesh_id, round(sum(sqrt({NORMAL})) / 2, 4) as area from tri group by 1)
+ select 'calm' as config, mesh_id, area, 'ok' as status from ok union all select 'wild', mesh_id, null, 'diverged' from ok"""
+)
+def n4_sweep_diverges(spark, d):
+    configs = [{"name": "calm", "method": "taubin", "iterations": 1, "lam": 0.1, "mu": -0.1}, {"name": "wild", "method": "laplacian", "iterations": 4, "lam": 90.0}]
+    return rounded(G.param_sweep(*_mesh(spark, d), configs), "area", digits=4)
+
+
 @query()
 def n7_pca_shapes(spark, d):
     rows = view(spark, d, "v_vox").select("case_id", F.expr("(i * 12 + j) * 4 + k").alias("feature"), F.col("gt").alias("label"))
-    return G.pca_shapes(rows, 576, 2).select("case_id", *[F.round(F.abs(F.col("scores")[n]), 6).alias(f"score_{n}") for n in range(2)])
+    return G.pca_shapes(rows, 2).select("case_id", *[F.round(F.abs(F.col("scores")[n]), 6).alias(f"score_{n}") for n in range(2)])

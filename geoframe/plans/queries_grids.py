@@ -481,13 +481,31 @@ def n3_smooth_taubin(spark, d):
     return rounded(mesh.smooth(*_mesh(spark, d), "taubin", 2, 0.1, -0.1), "x", "y", "z")
 
 
-@query()
+BOXES = """, vis as (select mesh_id, x, y, z, 1 + vid % 3 as radius, row_number() over (partition by mesh_id order by vid % 2, vid) - 1 as box_id from v_vertex where vid % 37 = 0),
+ ins as (select b.mesh_id, box_id, vid, v.x, v.y, v.z from vis b join v_vertex v on v.mesh_id = b.mesh_id and abs(v.x - b.x) <= 2 * radius and abs(v.y - b.y) <= 2 * radius and abs(v.z - b.z) <= 2 * radius),
+ bf as (select f.mesh_id, a.box_id, fid, v0, v1, v2 from v_face f join ins a on a.mesh_id = f.mesh_id and a.vid = v0 join ins b on b.mesh_id = f.mesh_id and b.vid = v1 and b.box_id = a.box_id
+  join ins c on c.mesh_id = f.mesh_id and c.vid = v2 and c.box_id = a.box_id),
+ us as (select distinct mesh_id, box_id, unnest([v0, v1, v2]) as vid from bf), sm as (select ins.* from ins join us using (mesh_id, box_id, vid)),
+ mv as (select mesh_id, vid, box_id, """ + ", ".join(f"({c} + avg({c}) over (partition by mesh_id, box_id)) / 2 as {c}" for c in "xyz") + " from sm), "
+
+
+@query(
+    ctes("v_vertex", "v_face").rstrip()
+    + BOXES
+    + "la as (select mesh_id, vid, "
+    + ", ".join(f"arg_max({c}, box_id) as n{c}" for c in "xyz")
+    + " from mv group by 1, 2) select mesh_id, vid, "
+    + ", ".join(f"round(coalesce(n{c}, {c}), 6) as {c}" for c in "xyz")
+    + " from v_vertex left join la using (mesh_id, vid)"
+)
 def x1_apply_submesh_model(spark, d):
-    return rounded(mesh.apply_submesh_model(*_mesh(spark, d), _half), "x", "y", "z")
+    faces, vertices = _mesh(spark, d)
+    visited = vertices.where("vid % 37 = 0").select("mesh_id", (F.col("vid") % 2).alias("line_rank"), F.col("vid").alias("seq"), "x", "y", "z", (1 + F.col("vid") % 3).alias("radius"))
+    return rounded(mesh.apply_submesh_model(faces, vertices, mesh.boxes_along_walk(visited), _half), "x", "y", "z")
 
 
 def _half(at, edges, tris):
-    """A model for the query above: each vertex half way to the mean of its mesh."""
+    """A model for the query above: each vertex half way to the mean of its submesh."""
     return (at + at.mean(0)) / 2
 
 

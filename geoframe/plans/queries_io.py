@@ -115,8 +115,9 @@ def r1_stream_catalog(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("version"))
     rows.repartition(4).write.parquet(f"{root}/in")
     files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    ingest.stream_catalog(files, f"{root}/table", f"{root}/checkpoint", ["case_id"], "version").awaitTermination()
-    return ingest.latest_version(spark, f"{root}/table")
+    table = ingest.BucketedTable(spark, f"{root}/table", ["case_id"], "version")
+    ingest.stream_catalog(files, table, f"{root}/checkpoint").awaitTermination()
+    return table.read(rows)
 
 
 @query("select distinct user_id as case_id, event_type as settings_hash from events")

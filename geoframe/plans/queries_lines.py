@@ -227,7 +227,7 @@ def _boxes(points, half=6.0):
 @query(LINE + BOXES + "select v.case_id, point_id, box_id from v_line v join boxes b on v.case_id = b.case_id and x between lox and hix and y between loy and hiy and z between loz and hiz")
 def p6_points_in_box(spark, d):
     points = view(spark, d, "v_line")
-    return spatial.points_in_boxes(points, _boxes(points), 12.0).select("case_id", "point_id", "box_id")
+    return spatial.points_in_boxes(points, _boxes(points)).select("case_id", "point_id", "box_id")
 
 
 @query(LINE + ", b as (select case_id, quantile_disc(x, 0.1) as lo, quantile_disc(x, 0.9) as hi from v_line group by 1), o as (select v.case_id, point_id from v_line v join b using (case_id) where not x between lo and hi) select case_id, count(*) as n_outside, list_sort(list(point_id))[1:100] as first_ids from o group by 1")
@@ -248,7 +248,7 @@ def j17_boxes_without_caps(spark, d):
     points = view(spark, d, "v_line")
     tops = points.groupBy("case_id", "line_id").agg(F.max("seq").alias("top"))
     caps = points.join(tops, ["case_id", "line_id"]).where("seq in (0, top)").select("case_id", "x", "y", "z")
-    return spatial.boxes_without_caps(_boxes(points), caps, 12.0).select("case_id", "box_id")
+    return spatial.boxes_without_caps(_boxes(points), caps).select("case_id", "box_id")
 
 
 NEAREST = LINE + ", l as (select case_id, point_id, x, y, z from v_line where point_id % 3 = 0), r as (select case_id, point_id as right_id, x, y, z from v_line where point_id % 3 <> 0), nn as (select l.case_id, l.point_id as left_id, arg_min(right_id, ((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2, right_id)) as right_id, min(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2)) as distance from l join r using (case_id) group by 1, 2) "

@@ -137,6 +137,25 @@ def j11_radius_bucket(spark, d):
     return radius_bucket(view(spark, d, "v_line"), "radius", EDGES).groupBy("lo", "hi").agg(F.count("*").alias("n"))
 
 
+@query(
+    """with e as (select o_orderpriority, quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1]) as q from orders group by 1),
+ i as (select o_orderpriority, b as bin, q[b + 1] as lo, case when b < 3 then q[b + 2] end as hi from e, range(4) t(b) where b <> 1)
+ select o_orderpriority, bin, round(any_value(lo), 6) as lo, round(any_value(hi), 6) as hi, count(*) as n, round(sum(o_totalprice), 2) as total
+ from orders join i using (o_orderpriority) where o_totalprice >= lo and (hi is null or o_totalprice < hi) group by 1, 2"""
+)
+def j11_own_edges(spark, d):
+    from geoframe.operators.spatial import interval_join
+
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderpriority", "o_totalprice")
+    edges = scores.distinct_radii_pool(rows, "o_totalprice", 4, ["o_orderpriority"])
+    after = edges.select("o_orderpriority", (F.col("bin") - 1).alias("bin"), F.col("edge").alias("hi"))
+    # One bin is a hole, and the last has no end.
+    intervals = edges.withColumnRenamed("edge", "lo").join(after, ["o_orderpriority", "bin"]).where("bin <> 1").withColumn("hi", F.when(F.col("bin") < 3, F.col("hi")))
+    found = interval_join(rows, intervals, "o_totalprice", ["o_orderpriority"])
+    sums = found.groupBy("o_orderpriority", "bin").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return rounded(rounded(sums.withColumn("bin", F.col("bin").cast("long")), "lo", "hi"), "total", digits=2)
+
+
 @query(SCORE + "select a.case_id, a.method as method_a, a.value as value_a, b.method as method_b, b.value as value_b, a.value - b.value as difference from v_score a join v_score b on a.case_id = b.case_id and a.method < b.method")
 def j14_pairwise_methods(spark, d):
     return scores.pairwise_methods(view(spark, d, "v_score"))
