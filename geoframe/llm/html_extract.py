@@ -8,8 +8,10 @@ however much more the best one has. All of it is kept but lists of links that st
 those that score well, are long paragraphs with few links or headings before it; outside of article and main elements all
 siblings with few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left
 out before any scoring, by their element's name or the words of its class, id and role. What only its words tell against
-stays if it holds half the page's text, few of it in links (a wrapper of the article); a word of NEVER doesn't count
-behind no-, has- and the like, a word of PERHAPS not inside an article or main element unless most of the text is links.
+stays if it holds half the page's text, few of it in links (a wrapper of the article), and so does a form; a word of NEVER
+doesn't count behind no-, has- and the like, and is no more than one against next to a class of article text (but for comments);
+a word of PERHAPS not inside an article or main element unless most of the text is links. Work and memory grow with the page,
+not with how deep its elements stand in each other.
 
 Edge cases: null or empty html, or html without text outside those parts, gives an empty text; unclosed elements end
 where their parent does or where the next block of their kind begins; a stray end tag is ignored; a "<" that starts no
@@ -19,6 +21,7 @@ tag is text; repeated rows are extracted each; other columns but page_id and url
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -32,13 +35,16 @@ WORD = re.compile(r"[a-z]+")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "canvas", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "math", "mi", "mn", "mo", "mrow", "mtext", "mfrac", "msub", "msup", "msubsup", "msqrt", "object"}
-LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "dialog", "menu", "head"} | RAW
+LEFT_OUT = {"nav", "footer", "aside", "button", "select", "option", "fieldset", "dialog", "menu", "head"} | RAW
 #: Elements that stand in a head; any other ends it.
 IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 #: Words of class, id and role of what goes whatever it holds; of what goes unless it holds half the text; of what may be part of an article.
 NEVER = {"ad", "ads", "advert", "advertisement", "adverts", "comment", "comments", "consent", "cookie", "cookies", "disqus", "newsletter", "notice", "promo", "promoted", "replies", "reply", "sponsor", "sponsored"}
-SELDOM = {"banner", "breadcrumb", "breadcrumbs", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "pager", "pagination", "popup", "share", "sharing", "sidebar", "signup", "social", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search"}
+COMMENTS = {"comment", "comments", "disqus", "replies", "reply"}
+SELDOM = {"form", "banner", "breadcrumb", "breadcrumbs", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "pager", "pagination", "popup", "share", "sharing", "sidebar", "signup", "social", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search"}
 PERHAPS = {"related", "warning"}
+#: Classes of an article's own text.
+TEXT = {"post", "article", "entry", "content", "story", "body", "page", "main"}
 #: Before or behind a word in one name, these make it say something about what is around.
 ABOUT = {"no", "non", "not", "has", "with", "without", "hide", "hidden", "enabled", "disabled", "free", "open", "closed"}
 #: An element of the key's kind ends an open one of the value's kinds.
@@ -50,12 +56,17 @@ LEAST = 1.5
 
 
 class Element:
-    __slots__ = ("name", "parent", "points", "own", "chars", "linked", "out", "words", "main", "first")
+    """An element of the page. Sums are first of its own blocks alone; summed() adds those of all in it."""
+
+    __slots__ = ("name", "parent", "points", "own", "chars", "linked", "out", "words", "main", "first", "holds", "inline_open", "never")
 
     def __init__(self, name: str, parent: Element | None, out: bool, words: set[str] = frozenset()):
         self.name, self.parent, self.out, self.words = name, parent, out, words
         self.main = name in ("article", "main") or bool(parent and parent.main)
-        self.points, self.own, self.chars, self.linked, self.first = 0.0, 0.0, 0, 0, -1
+        self.points, self.own, self.chars, self.linked, self.first, self.holds = 0.0, 0.0, 0, 0, -1, False
+        #: Names of the inline elements that are open in this block.
+        self.inline_open: Counter[str] = Counter()
+        self.never = bool(parent and parent.never) or bool(words & NEVER)
 
     def score(self) -> float:
         return (self.points + (5 if self.name in ("article", "main") else 0)) * (1 - self.linked / max(self.chars, 1))
@@ -77,21 +88,32 @@ class Element:
 
 
 def words_against(name: str, attributes: str) -> set[str]:
-    """Words of the element's class, id and role that tell against it."""
+    """Words of the element's class, id and role that tell against it; a form has its name as one.
+
+    Next to a word for an article's own text, those of adverts and notices only say what it may hold, so they count as seldom.
+    """
+    own = {"form"} if name == "form" else set()
     if name in ("html", "body", "article", "main") or "=" not in attributes:
-        return frozenset()
+        return own
     names = [WORD.findall(n) for m in NAMES.finditer(attributes) for n in m[1].lower().strip("\"'").split()]
-    return {w for ws in names if not ABOUT.intersection(ws) for w in ws} & (NEVER | SELDOM | PERHAPS)
+    found = own | {w for ws in names if not ABOUT.intersection(ws) for w in ws}
+    if any(len(ws) == 1 and ws[0] in TEXT for ws in names) and found & NEVER and not found & COMMENTS:
+        found = found - NEVER | {"form"}
+    return found & (NEVER | SELDOM | PERHAPS)
 
 
-def wanted_only(found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+def wanted_only(elements: list[Element], found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
     """The blocks, without those in elements that their words and their share of text and links tell against."""
-    chars: dict[Element, list[int]] = {}
+    chars: dict[Element, list[int]] = {e: [0, 0] for e in elements}
     for block, text, linked in found:
-        for e in block.lineage():
-            sums = chars.setdefault(e, [0, 0])
-            sums[0], sums[1] = sums[0] + len(text), sums[1] + linked
-    total = sum(len(text) for block, text, _ in found if not any(e.words & NEVER for e in block.lineage()))
+        sums = chars[block]
+        sums[0], sums[1] = sums[0] + len(text), sums[1] + linked
+    # Elements are in the order in which they begin: from the last to the first, all in an element come before it.
+    for e in reversed(elements):
+        if e.parent is not None:
+            sums, own = chars[e.parent], chars[e]
+            sums[0], sums[1] = sums[0] + own[0], sums[1] + own[1]
+    total = sum(len(text) for block, text, _ in found if not block.never)
 
     def goes(e: Element) -> bool:
         if not e.words:
@@ -101,14 +123,19 @@ def wanted_only(found: list[tuple[Element, str, int]]) -> list[tuple[Element, st
             return True
         return 2 * n < total if e.words & SELDOM or not (e.parent and e.parent.main) else False
 
-    gone = {e: goes(e) for e in chars}
-    return [b for b in found if not any(gone[e] for e in b[0].lineage())]
+    gone: dict[Element | None, bool] = {None: False}
+    for e in elements:
+        gone[e] = gone[e.parent] or goes(e)
+    return [b for b in found if not gone[b[0]]]
 
 
-def blocks_of(html: str) -> list[tuple[Element, str, int]]:
-    """The blocks of text that may be wanted, in page order: innermost block element, text, characters in links."""
+def blocks_of(html: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
+    """All elements in the order in which they begin, and the blocks of text that may be wanted, in page order: innermost block
+    element, text, characters in links. What is done for a tag doesn't grow with the number of open elements."""
     top = Element("", None, False)
-    stack, found, parts, linked, links = [top], [], [], [], 0
+    elements, stack, found, parts, linked = [top], [top], [], [], []
+    #: Places in the stack of the open blocks, and how many elements of each name are open.
+    places, open_ = [0], Counter()
     at, block = 0, top
 
     def flush() -> None:
@@ -121,9 +148,53 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
     def add(text: str) -> None:
         if text and not block.out and not stack[-1].out:
             parts.append(text)
-            if links:
+            if open_["a"]:
                 linked.append(" ".join(unescape(text).split()))
 
+    def push(e: Element) -> None:
+        elements.append(e)
+        open_[e.name] += 1
+        if e.name in INLINE:
+            stack[places[-1]].inline_open[e.name] += 1
+        else:
+            places.append(len(stack))
+        stack.append(e)
+
+    def cut(depth: int) -> None:
+        """Close all elements from that place in the stack on."""
+        while len(stack) > depth:
+            e = stack.pop()
+            open_[e.name] -= 1
+            if places[-1] == len(stack):
+                places.pop()
+            else:
+                stack[places[-1]].inline_open[e.name] -= 1
+
+    def close(name: str) -> None:
+        if name in INLINE:
+            # An inline element's end doesn't reach beyond the block it is in.
+            if not stack[places[-1]].inline_open[name]:
+                return
+        elif not open_[name]:
+            return
+        depth = len(stack) - 1
+        while stack[depth].name != name:
+            depth -= 1
+        cut(depth)
+
+    def close_before(name: str) -> None:
+        """Close what an opening block of the name ends."""
+        ends = CLOSES.get(name, set()) | {"p"}
+        if not any(open_[n] for n in ends):
+            return
+        for place in reversed(places[1:]) if name in CLOSES else places[-1:]:
+            other = stack[place].name
+            if other in ends:
+                cut(place)
+                return
+            if other not in PARAGRAPHS:
+                return
+
     while tag := TAG.search(html, at):
         add(html[at : tag.start()])
         at = tag.end()
@@ -132,8 +203,10 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
             continue
         closing, attributes = tag[1] or tag[4], tag[3] or tag[6] or ""
         if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            # Of these only svg can end itself; browsers take no notice of the slash in others.
+            if not (name == "svg" and attributes.rstrip().endswith("/")):
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                at = end.end() if end else len(html)
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -143,75 +216,75 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
         if not inline:
             flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            # An inline element's end doesn't reach beyond the block it is in.
-            if depth and not (inline and any(e.name not in INLINE for e in stack[depth + 1 :])):
-                del stack[depth:]
+            close(name)
         else:
             if name not in IN_HEAD and stack[-1].name == "head":
-                del stack[-1:]
+                cut(len(stack) - 1)
             if not inline:
-                ends = CLOSES.get(name, set()) | {"p"}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in ends:
-                        del stack[i:]
-                        break
-                    if stack[i].name not in INLINE and not (name in CLOSES and stack[i].name in PARAGRAPHS):
-                        break
+                close_before(name)
             out = stack[-1].out or name in LEFT_OUT or (name == "header" and not stack[-1].main)
-            stack.append(Element(name, stack[-1], out, words_against(name, attributes)))
-        block = next(e for e in reversed(stack) if e.name not in INLINE)
-        links = sum(e.name == "a" for e in stack)
+            push(Element(name, stack[-1], out, words_against(name, attributes)))
+        block = stack[places[-1]]
     add(html[at:])
     flush()
-    return found
+    return elements, found
+
+
+def summed(elements: list[Element], found: list[tuple[Element, str, int]]) -> list[Element]:
+    """Give all elements their points, characters and first block; return those that get points, inner ones before outer ones."""
+    for i, (block, text, linked) in enumerate(found):
+        around = block.around()
+        points = (1 + text.count(",") + len(text) / 100) * (0.2 if block.name in HEADINGS else 1)
+        around.own += points
+        around.points += points
+        around.holds = True
+        block.chars, block.linked = block.chars + len(text), block.linked + linked
+        block.first = i if block.first < 0 else block.first
+    for e in reversed(elements):
+        up = e.parent
+        if up is not None:
+            up.points, up.holds = up.points + e.points / 2, up.holds or e.holds
+            up.chars, up.linked = up.chars + e.chars, up.linked + e.linked
+            if e.first >= 0:
+                up.first = e.first if up.first < 0 else min(up.first, e.first)
+    return [e for e in reversed(elements) if e.holds]
 
 
 def main_text(html: str | None) -> str:
     """The wanted blocks, joined by a blank line."""
-    found = wanted_only(blocks_of(html or ""))
+    elements, found = blocks_of(html or "")
+    found = wanted_only(elements, found)
     if not found:
         return ""
-    holders: dict[int, Element] = {}
-    for i, (block, text, linked) in enumerate(found):
-        points = (1 + text.count(",") + len(text) / 100) * (0.2 if block.name in HEADINGS else 1)
-        block.around().own += points
-        for e in block.around().lineage():
-            e.points, points = e.points + points, points / 2
-            holders[id(e)] = e
-        for e in block.lineage():
-            e.chars, e.linked = e.chars + len(text), e.linked + linked
-            if e.first < 0:
-                e.first = i
-    best = max(holders.values(), key=lambda e: (e.score(), -e.first))
+    holders = summed(elements, found)
+    best = max(holders, key=lambda e: (e.score(), -e.first))
     while best.name in PARAGRAPHS and best.parent is not None:
         best = best.parent
     line = best.lineage()
-    place = {id(e): n for n, e in enumerate(line)}
+    meets: dict[Element, int] = {e: n for n, e in enumerate(line)}
+    for e in elements:
+        if e not in meets:
+            meets[e] = meets[e.parent]
     top = max((n for n, e in enumerate(line) if e.main), default=0)
-    for e in holders.values():
-        # Beside an article or main element, only text in another one counts.
-        if e.has_text() and (e.main or not best.main):
-            while id(e) not in place:
-                e = e.parent
-            top = max(top, place[id(e)])
+    # Beside an article or main element, only text in another one counts.
+    top = max([top, *(meets[e] for e in holders if e.has_text() and (e.main or not best.main))])
     main = line[top]
+    # For each element, the first of itself and those around it that is the best one, the main one or a sibling of that.
+    inside: dict[Element | None, Element | None] = {None: None}
+    for e in elements:
+        inside[e] = e if e is best or e is main or e.parent is main.parent else inside[e.parent]
     out = []
     for block, text, _ in found:
-        around, wanted, beside = block.around(), False, None
-        for e in block.lineage():
-            if e is best:
-                wanted = True
-                break
-            if e is main:
-                wanted = around.linked < 0.5 * around.chars or bool(around.parent and around.parent.has_text())
-                break
-            if e.parent is main.parent:
-                beside = e
-                break
-        if beside is not None:
-            few_links = beside.linked < 0.25 * beside.chars
-            wanted = (few_links and not main.main) or (id(beside) in holders and beside.score() >= 3) or (beside.name == "p" and few_links and beside.chars > 80) or (beside.name in HEADINGS and few_links and beside.first < main.first)
+        around, at = block.around(), inside[block]
+        if at is best:
+            wanted = True
+        elif at is main:
+            wanted = around.linked < 0.5 * around.chars or bool(around.parent and around.parent.has_text())
+        elif at is not None:
+            few_links = at.linked < 0.25 * at.chars
+            wanted = (few_links and not main.main) or (at.holds and at.score() >= 3) or (at.name == "p" and few_links and at.chars > 80) or (at.name in HEADINGS and few_links and at.first < main.first)
+        else:
+            wanted = False
         if wanted:
             out.append(text)
     return "\n\n".join(out)
