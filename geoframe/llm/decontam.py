@@ -14,6 +14,7 @@ to the tasks in blocks of bounded size, each searched against all texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from geoframe.llm.text import LOWER, small_batches, SPACES, SpanHash, text_batches
 
 RATE = 0.1
-#: Least lengths of the groups of pieces, and the length of pieces under which they are whole items.
-LENGTHS, WHOLE = np.array([1, 2, 3, 4, 5, 7, 9]), 5
+#: Least lengths of the groups of pieces.
+LENGTHS = np.array([1, 2, 3, 4, 5, 7, 9])
 #: Bytes of items sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 HITS = "doc_id long, item_id long, distance int, budget int, start long, end long"
@@ -40,7 +41,7 @@ class Pieces:
     """All pieces of the items, by the group of lengths that they are in, then by the hash of their first bytes.
 
     groups: for each, how many first bytes are hashed, and from where to where its pieces are. Pieces of about equal lengths
-    are a group, so short ones don't make the others' hashes short; those under WHOLE bytes are items that may have no error.
+    are a group, so short ones don't make the others' hashes short.
     """
 
     groups: list[tuple[int, int, int]]
@@ -109,12 +110,23 @@ def group_hits(pieces: Pieces, group: int, span: SpanHash, data: np.ndarray, off
     text = np.searchsorted(offsets, place, "right") - 1
     inside = place + pieces.size[piece] <= offsets[text + 1]
     piece, place, text = piece[inside], place[inside], text[inside]
-    if common < WHOLE:  # whole items, and hashes of so few bytes: equal ones are found again in the comparison below
-        _, first = np.unique(text * len(pieces.item) + piece, return_index=True)
-        piece, place, text = piece[first], place[first], text[first]
+    # An item that may have no error is one piece, and its first place is enough. Short ones are everywhere in a text, so where
+    # the hash is of the whole piece the others go before the comparison.
+    exact = np.array(pieces.budgets, np.int64)[pieces.item[piece]] == 0
+    piece, place, text = firsts(len(pieces.item), piece, place, text, exact & (pieces.size[piece] == common))
     raw = data.tobytes()
     same = np.fromiter((raw[p : p + s] == pieces.items[i][a : a + s] for p, s, i, a in zip(place.tolist(), pieces.size[piece].tolist(), pieces.item[piece].tolist(), pieces.at[piece].tolist())), bool, len(piece))
-    return piece[same], place[same], text[same]
+    piece, place, text = piece[same], place[same], text[same]
+    return firsts(len(pieces.item), piece, place, text, np.array(pieces.budgets, np.int64)[pieces.item[piece]] == 0)
+
+
+def firsts(n: int, piece: np.ndarray, place: np.ndarray, text: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hits without those marked once that are not the first of their piece (of n) in their text."""
+    some = np.flatnonzero(once)
+    _, first = np.unique(text[some] * n + piece[some], return_index=True)
+    kept = ~once
+    kept[some[first]] = True
+    return piece[kept], place[kept], text[kept]
 
 
 def near_hits(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, piece: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -193,18 +205,16 @@ def matches(pieces: Pieces, data: np.ndarray, offsets: np.ndarray) -> list[tuple
     return [(t, i, *x) for (t, i), x in found.items()]
 
 
-def item_blocks(items: DataFrame, rate: float) -> list[Pieces]:
-    """The items (item_id, text), cut, in as many blocks as their size asks for."""
+def item_blocks(items: DataFrame, rate: float) -> Iterator[Pieces]:
+    """The items (item_id, text), cut, in as many blocks as their size asks for, one after the other."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    found = []
     for b in range(n):
         rows = items.select(F.col("item_id").cast("long"), "text").where(block == b).where("text <> ''").toArrow()
         if rows.num_rows:
             rows = rows.sort_by([("item_id", "ascending"), ("text", "ascending")])
-            found.append(cut_items(rows["text"].to_pylist(), rows["item_id"].to_pylist(), rate))
-    return found
+            yield cut_items(rows["text"].to_pylist(), rows["item_id"].to_pylist(), rate)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
