@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from geoframe.llm.text import small_batches, text_batches
 from geoframe.llm.tokens import Ids, with_end
 
-#: Production limits of a sequence: pieces, loss-bearing tokens; and the shortest head that a cut leaves.
-SEGMENTS, LOSS, SHORTEST = 12, 2044, 16
+#: Production limits of a sequence: loss-bearing tokens; and the shortest head that a cut leaves.
+LOSS, SHORTEST = 2044, 16
 #: Tokens that a task holds before it packs them.
 WINDOW = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -100,14 +100,15 @@ def sequence_ids():
         at += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, segments: int = SEGMENTS, loss: int = LOSS, shortest: int = SHORTEST) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, segments: int | None = None, loss: int = LOSS, shortest: int = SHORTEST) -> DataFrame:
     """Pack the texts of docs (doc_id, text), cut where it helps, into sequences of at most length tokens.
 
     A document's first id has nothing before it to be predicted from, so it bears no loss; all others do. No cut leaves
-    less than shortest ids before it (unless a limit or the document is less). Returns one row per piece: doc_id, start,
+    less than shortest ids before it (unless a limit or the document is less). Without a number of segments a sequence takes
+    as many pieces as it has room for, so short documents fill it, too. Returns one row per piece: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
     """
-    limits = (length, segments, min(loss, length))
+    limits = (length, segments or length, min(loss, length))
 
     def vector(start: int, end: int) -> tuple[int, int]:
         return end - start, end - start - (start == 0)
