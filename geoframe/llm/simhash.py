@@ -364,11 +364,18 @@ def copy_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     return like_first.union(alike(left.join(sides[0], "src").join(sides[1], "dst")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns, of which one stays for each class of near copies: that with the smallest doc_id."""
-    t = "t"
-    while t in docs.columns:
-        t += "_"
+    # Names that no column has, whatever its case.
+    t, id_, t_, stays = (unused(docs, name) for name in ("__text", "__row_id", "__row_text", "__row_stays"))
     own = docs.withColumn(t, digest("text"))
     prints = stored(with_prints(own.select("doc_id", F.col(t).alias("t"), "text"), ["doc_id", "t"], near_copy_prints, [f"f{m}" for m in range(TABLES)]), "prints")
     # Null ids last.
@@ -378,11 +385,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rooted = texts.join(labels.withColumnRenamed("node", "t"), "t", "left").select("best", F.coalesce("component", "t").alias("root"))
     chosen = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.t"), "chosen")
     rows = prints.groupBy("doc_id", "t").count()
-    one = chosen.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
-    marked = rows.join(one, (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("__t").isNotNull().alias("__stays"), "count")
-    marked = stored(marked.where("not __stays or count > 1").select("__id", "__t", "__stays"), "rows-that-go-or-repeat")
-    repeating = stored(marked.where("__stays").drop("__stays"), "rows-that-repeat")
-    same = (own[t] == F.col("__t")) & own["doc_id"].eqNullSafe(F.col("__id"))
-    once = own.join(marked.drop("__stays").hint("merge"), same, "left_anti")
+    one = chosen.select(F.col("doc_id").alias(id_), F.col("t").alias(t_))
+    marked = rows.join(one, (F.col("t") == F.col(t_)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    marked = marked.select(F.col("doc_id").alias(id_), F.col("t").alias(t_), F.col(t_).isNotNull().alias(stays), "count")
+    marked = stored(marked.where(~F.col(stays) | (F.col("count") > 1)).select(id_, t_, stays), "rows-that-go-or-repeat")
+    repeating = stored(marked.where(stays).drop(stays), "rows-that-repeat")
+    same = (F.col(t) == F.col(t_)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    once = own.join(marked.drop(stays).hint("merge"), same, "left_anti")
     repeated = own.join(repeating, same, "left_semi").dropDuplicates(["doc_id", t])
     return once.unionByName(repeated).drop(t)
