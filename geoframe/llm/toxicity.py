@@ -131,11 +131,15 @@ def likelihood(p: np.ndarray, buckets: np.ndarray, first_words: np.ndarray, text
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 5000, max_chars: int = 50_000) -> Model | None:
-    """Train on a bounded sample: the first so many documents of each class by a hash of doc_id, of at most max_chars each."""
+    """Train on a bounded sample: the first so many documents of each class by a hash of doc_id, of at most max_chars each.
+
+    Of rows that share an id the least text is taken, so no more texts than ids go to the driver.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ordered = marked.select("doc_id", "toxic", F.xxhash64("doc_id").alias("place"))
     chosen = ordered.where("toxic = 1").orderBy("place", "doc_id").limit(toxic).unionByName(ordered.where("toxic = 0").orderBy("place", "doc_id").limit(clean))
-    got = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").toArrow()
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), "doc_id")
+    got = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = got["toxic"].to_numpy()
     if not 0 < (y == 1).sum() < len(y):
