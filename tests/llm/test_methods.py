@@ -198,8 +198,10 @@ def test_registered_queries_return_their_whole_tables(spark, name):
                 at += length
             assert at == n
         for pieces in by_sequence.values():
-            assert len(pieces) <= packing.SEGMENTS and sum(p[2] for p in pieces) <= packing.LOSS and sum(p[1] for p in pieces) <= 2048
-        # Both other limits bind somewhere, and little is padding all the same.
-        assert any(len(p) == packing.SEGMENTS or sum(x[2] for x in p) == packing.LOSS for p in by_sequence.values())
+            assert sum(p[2] for p in pieces) <= packing.LOSS and sum(p[1] for p in pieces) <= 2048
+        # The limit on loss-bearing tokens binds somewhere.
+        assert any(sum(x[2] for x in p) == packing.LOSS for p in by_sequence.values())
+    elif name.startswith("op13_"):
+        assert len({r.word for r in rows}) == len(rows) > 1000
     else:
         assert sorted(r.doc_id for r in rows) == sorted(docs)
