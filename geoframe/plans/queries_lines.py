@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoframe.functions import columns as C
+from geoframe.functions import tables
 from geoframe.operators import lines, metrics, nearest, spatial, splits
 from geoframe.plans.registry import query, rounded
 from geoframe.plans.views import ctes, view
@@ -135,6 +136,45 @@ def k5_place_samples(spark, d):
     return lines.place_samples(_visited(spark, d)).select("case_id", "line_id", "seq", "sub", "size_mult", "cx", "cy", "cz")
 
 
+def sample_of_row(row, state):
+    """place_samples() for one visited point, as a table function takes it; with the sample's number in its case."""
+    import hashlib
+    import math
+
+    def draw(sub: int, tag: str) -> float:
+        text = f"{row.case_id}_{row.line_id}_{row.seq}_{sub}_{tag}"
+        return max(int(hashlib.md5(text.encode()).hexdigest()[:16], 16) % 10000 / 10000, 1e-4)
+
+    def normal(sub: int, a: str, b: str) -> float:
+        return math.sqrt(-2 * math.log(draw(sub, a))) * math.cos(2 * math.pi * draw(sub, b))
+
+    def unit(v: tuple) -> tuple:
+        n = math.sqrt(sum(c * c for c in v))
+        return tuple(c / n for c in v) if n else (None,) * 3
+
+    def across(a: tuple, b: tuple) -> tuple:
+        return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+    t = row.tx, row.ty, row.tz
+    u = v = (None,) * 3
+    if None not in t:
+        u = unit(across(t, (1.0, 0.0, 0.0) if abs(t[2]) > 0.9 else (0.0, 0.0, 1.0)))
+        v = across(t, u) if None not in u else u
+    for sub in range(4 if row.bifurc == 2 else 2):
+        size = 2.0 if sub == 0 else max(1.0, 2.0 + 0.5 * normal(sub, "size", "size2"))
+        shift = (0.0 if sub == 0 else 0.3 * normal(sub, "shift", "shift2")) * row.radius
+        turn = 2 * math.pi * draw(sub, "turn")
+        centre = [None if p is None else c + shift * (math.cos(turn) * p + math.sin(turn) * q) for c, p, q in zip((row.x, row.y, row.z), u, v)]
+        yield row.case_id, row.line_id, row.seq, sub, size, *centre, state.setdefault("n", 0)
+        state["n"] += 1
+
+
+@query()
+def x2_sample_udtf(spark, d):
+    schema = "case_id long, line_id long, seq long, sub int, size_mult double, cx double, cy double, cz double, number long"
+    return rounded(tables.sampled(_visited(spark, d), sample_of_row, schema, ["case_id"], ["line_id", "seq"]), "size_mult", "cx", "cy", "cz")
+
+
 VOLUME = {"size": [128, 128, 64], "spacing": [1.0, 1.0, 1.0], "origin": [-4.0, -4.0, -4.0]}
 
 
