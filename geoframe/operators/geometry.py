@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from geoframe.functions.columns import angle_deg, cross, dot, from_unit_box, norm, rotation, sub, to_unit_box, vec
 from geoframe.operators import mesh, voxels
-from geoframe.operators.graph import connected_components
+from geoframe.operators.graph import connected_components, largest_components
 from geoframe.operators.lines import arc_length, segments, tangents
 from geoframe.operators.metrics import dice
 from geoframe.operators.nearest import as_boxes, nearest, nearest_point
@@ -308,6 +308,17 @@ def segment_volume_error(points: DataFrame, labels: DataFrame, scale: float = 3.
     return inside.groupBy("case_id", "box_id", "mean_radius").agg(F.try_divide((pred - gt).cast("double"), gt).alias("error_rel"))
 
 
+def cleaned_prediction(image: DataFrame, value: str, threshold: float, keep: int = 1) -> DataFrame:
+    """image (case_id, i, j, k, value, ..) with pred: 1 in the keep largest connected parts of each case's voxels of at least the
+    threshold (of equal parts that with the lowest id), 0 elsewhere."""
+    rows = stored(image.withColumn("id", F.concat_ws("_", "case_id", *[F.lpad(F.col(c).cast("string"), 9, "0") for c in "ijk"])), "voxels")
+    high = rows.where(F.col(value) >= threshold).select("case_id", "i", "j", "k", "id")
+    edges = voxels.neighbour_edges(high).select("src", "dst")
+    labels = connected_components(edges.union(high.select(F.col("id").alias("src"), F.col("id").alias("dst"))))
+    parts = largest_components(high.select("case_id", "id"), labels, keep).select("id", F.lit(1).alias("__in"))
+    return rows.join(parts, "id", "left").withColumn("pred", F.coalesce("__in", F.lit(0))).drop("__in", "id")
+
+
 def evaluate_case(voxel_pairs: DataFrame, distances: DataFrame, overlap: DataFrame) -> DataFrame:
     """Per case dice, greatest distance and overlap; 0, infinity and null where one could not be had."""
     far = distances.groupBy("case_id").agg(F.max("distance").alias("distance"))

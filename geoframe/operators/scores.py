@@ -209,6 +209,41 @@ def t_test_paired(scores: DataFrame) -> DataFrame:
     return with_p(out, "t", "t", "df")
 
 
+def t_test_two_samples(scores: DataFrame) -> DataFrame:
+    """Per pair of methods a < b Student's t of two samples of one variance, whatever their cases: n of each, t, df and p."""
+    v = finite("value")
+    per = scores.groupBy("method").agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("s")).where("n > 0")
+    side = lambda x: per.select(*[F.col(c).alias(f"{c}_{x}") for c in ("method", "n", "m", "s")])
+    # A row a method: the pairs are few.
+    both = side("a").join(side("b"), F.col("method_a") < F.col("method_b")).withColumn("df", F.col("n_a") + F.col("n_b") - 2)
+    squares = lambda x: (F.col(f"n_{x}") - 1) * F.coalesce(f"s_{x}", F.lit(0.0))
+    pooled = F.try_divide(squares("a") + squares("b"), F.col("df"))
+    t = F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(pooled * (1 / F.col("n_a") + 1 / F.col("n_b"))))
+    return with_p(both.withColumn("t", t).select("method_a", "method_b", "n_a", "n_b", "df", "t"), "t", "t", "df")
+
+
+def omnibus(scores: DataFrame) -> DataFrame:
+    """One test over all methods on the cases that have each: Friedman's, or Wilcoxon's for two methods: test, statistic, p; no row for one."""
+    methods = scores.select("method").distinct().limit(3).count()
+    if methods > 2:
+        return friedman(scores).select(F.lit("friedman").alias("test"), F.col("chi2").alias("statistic"), "p")
+    return wilcoxon(scores).select(F.lit("wilcoxon").alias("test"), F.col("z").alias("statistic"), "p")
+
+
+def volume_bucket_means(rows: DataFrame, by: list[str], least: int = 5, jump: float = 0.2, cap: float = 0.1, outlier: float = 0.35) -> DataFrame:
+    """Per bucket of segments (volume_gt, volume_pred, cap_area_gt, cap_area_pred, radius): n, both volumes summed, mean relative error.
+
+    Segments without volume are left out, and those whose error is over jump where a cap is large (over cap of the sphere's
+    surface): these were cut along the vessel. Errors from outlier on don't count in the mean. Under least segments all is null.
+    """
+    error = (F.col("volume_pred") - F.col("volume_gt")) / F.col("volume_gt")
+    sphere = 4 * math.pi * F.col("radius") * F.col("radius")
+    ratio = F.when(sphere > 1e-12, F.greatest("cap_area_gt", "cap_area_pred") / sphere).otherwise(0.0)
+    kept = rows.where((F.col("volume_gt") > 1e-12) & (F.col("volume_pred") > 1e-12)).withColumn("__e", error).where(~((F.abs("__e") > jump) & (ratio > cap)))
+    enough = lambda c: F.when(F.count("*") >= least, c)
+    return kept.groupBy(*by).agg(F.count("*").alias("n"), enough(F.sum("volume_gt")).alias("volume_gt"), enough(F.sum("volume_pred")).alias("volume_pred"), enough(F.avg(F.when(F.abs("__e") < outlier, F.col("__e")))).alias("error_rel"))
+
+
 def mcnemar(rows: DataFrame, a: str, b: str, threshold: float = 0.5) -> DataFrame:
     """Discordant counts of two outcomes at the threshold and the exact two-sided p."""
     x, y = F.col(a) > threshold, F.col(b) > threshold

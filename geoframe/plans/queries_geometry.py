@@ -103,7 +103,7 @@ def k17_local_centerline(spark, d):
 
 def _local(spark, d):
     points = view(spark, d, "v_line")
-    return G.unit_points(points, _boxes(points, 40.0)).withColumn("sample_id", F.concat_ws("_", "case_id", "box_id"))
+    return G.unit_points(points, _boxes(points, 0.0, 8.0)).withColumn("sample_id", F.concat_ws("_", "case_id", "box_id"))
 
 
 @query()

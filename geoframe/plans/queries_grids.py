@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoframe.functions import columns as C
-from geoframe.operators import graph, mesh, metrics, report, voxels
+from geoframe.operators import geometry, graph, mesh, metrics, report, voxels
 from geoframe.plans.registry import query, rounded
+from geoframe.plans.storage import stored
 from geoframe.plans.views import ctes, view
 
 VOX = ctes("v_vox")
@@ -267,6 +268,20 @@ def t5_largest_components(spark, d):
     return graph.largest_components(rows.select("case_id", "id"), labels, 2)
 
 
+PARTS = ", s as (select case_id, component, count(*) as n from n join label on node = id group by 1, 2), top as (select case_id, arg_min(component, (-n, component)) as component from s group by 1), one as (select n.* from n join label on node = n.id join top on top.component = label.component) "
+
+
+@query(
+    COMPONENTS.replace("gt = 1", "value >= 30")
+    + PARTS
+    + "select v.case_id, round(2.0::double * count_if(gt > 0 and one.id is not null) / (count_if(gt > 0) + count(one.id)), 6) as dice, count(one.id) as n_pred from v_vox v left join one on one.case_id = v.case_id and one.i = v.i and one.j = v.j and one.k = v.k group by 1"
+)
+def e21_cleaned_dice(spark, d):
+    cleaned = stored(geometry.cleaned_prediction(view(spark, d, "v_vox"), "value", 30), "cleaned")
+    sizes = cleaned.groupBy("case_id").agg(F.sum("pred").alias("n_pred"))
+    return rounded(metrics.dice(cleaned).join(sizes, "case_id"), "dice")
+
+
 @query(VOX + "select case_id, round(2.0::double * count_if(gt > 0 and pred > 0) / (count_if(gt > 0) + count_if(pred > 0)), 6) as dice from v_vox group by 1")
 def e1_dice(spark, d):
     rows = view(spark, d, "v_vox")

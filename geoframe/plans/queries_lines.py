@@ -259,8 +259,9 @@ def a27_contour_roundness(spark, d):
 BOXES = ", boxes as (select case_id, concat_ws('_', line_id, seq) as box_id, x - 6 as lox, x + 6 as hix, y - 6 as loy, y + 6 as hiy, z - 6 as loz, z + 6 as hiz from v_line) "
 
 
-def _boxes(points, half=6.0):
-    """A box around each point of each line; its id is line_id and seq."""
+def _boxes(points, half=6.0, radii=0.0):
+    """A box around each point of each line, by a half side and so many times the radius; its id is line_id and seq."""
+    half = half + radii * F.col("radius")
     return points.select("case_id", F.concat_ws("_", "line_id", "seq").alias("box_id"), *[(F.col(c) + s).alias(n + c) for c in "xyz" for n, s in (("lo", -half), ("hi", half))])
 
 

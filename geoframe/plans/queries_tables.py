@@ -105,9 +105,9 @@ def j6_missing_in_folder(spark, d):
     return catalog.missing_in_folder(listed, view(spark, d, "v_artifact"))
 
 
-@query(ART + "select case_id, list_sort(list(distinct folder)) as folders from v_artifact where case_id not in (select c_custkey from customer) group by 1")
+@query(ctes("v_artifact", "v_case") + "select case_id, list_sort(list(distinct folder)) as folders from v_artifact where case_id not in (select case_id from v_case where modality <> 'US') group by 1")
 def j7_missing_in_csv(spark, d):
-    return catalog.missing_in_csv(view(spark, d, "v_artifact"), view(spark, d, "v_case"))
+    return catalog.missing_in_csv(view(spark, d, "v_artifact"), view(spark, d, "v_case").where("modality <> 'US'"))
 
 
 @query(PRESENCE + ", t as (select count(*) as n_all, count_if(has_images and has_truths and has_centerlines and has_surfaces)::bigint as n_common, " + ", ".join(f"count_if(has_{f})::bigint as n_{f}" for f in catalog.FOLDERS) + " from p) " + " union all ".join(f"select '{f}' as folder, n_{f} as n, n_common, n_all - n_{f} as n_missing from t" for f in catalog.FOLDERS))
@@ -409,6 +409,47 @@ def e15_wilcoxon(spark, d):
     return rounded(scores.wilcoxon(view(spark, d, "v_score")), "z", "p")
 
 
+TWO = SCORE.rstrip() + ", v_two as (select * from v_score where method in ('1-URGENT', '5-LOW')) "
+
+
+@query((TWO + WILCOXON[len(SCORE) :].replace("v_score", "v_two")) + "select 'wilcoxon' as test, round(z, 6) as statistic, p from p")
+def e16_omnibus_of_two(spark, d):
+    return rounded(scores.omnibus(view(spark, d, "v_score").where("method in ('1-URGENT', '5-LOW')")), "statistic", "p")
+
+
+@query(
+    SCORE
+    + ", m as (select method, count(value) as n, avg(value) as m, var_samp(value) as s from v_score group by 1), q as (select a.method as method_a, b.method as method_b, a.n as n_a, b.n as n_b, a.n + b.n - 2 as df, (a.m - b.m) / sqrt(((a.n - 1) * a.s + (b.n - 1) * b.s) / (a.n + b.n - 2) * (1.0::double / a.n + 1.0::double / b.n)) as t from m a join m b on a.method < b.method)"
+    + f"select method_a, method_b, n_a, n_b, df, round(t, 6) as t, {_t_p('t', 'df')} as p from q"
+)
+def e17_two_samples(spark, d):
+    return rounded(scores.t_test_two_samples(view(spark, d, "v_score")), "t", "p")
+
+
+SEGMENTS = """with s as (select l_linenumber as bucket, l_quantity::double as volume_gt, l_quantity * (0.7::double + (l_orderkey % 9) * 0.1::double) as volume_pred,
+ (l_partkey % 7)::double as cap_area_gt, (l_suppkey % 5)::double as cap_area_pred, 1 + (l_partkey % 3) * 0.5::double as radius from lineitem) """
+
+
+@query(
+    SEGMENTS
+    + """, e as (select *, (volume_pred - volume_gt) / volume_gt as e from s where volume_gt > 1e-12 and volume_pred > 1e-12),
+ k as (select * from e where not (abs(e) > 0.2::double and greatest(cap_area_gt, cap_area_pred) / (4 * pi() * radius * radius) > 0.1::double))
+ select bucket::bigint as bucket, count(*) as n, round(sum(volume_gt), 4) as volume_gt, round(sum(volume_pred), 4) as volume_pred, round(avg(e) filter (abs(e) < 0.35::double), 6) as error_rel from k group by 1"""
+)
+def a16_volume_buckets(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    share = F.lit(0.7) + (F.col("l_orderkey") % 9) * F.lit(0.1)
+    segments = rows.select(
+        F.col("l_linenumber").cast("long").alias("bucket"),
+        F.col("l_quantity").cast("double").alias("volume_gt"),
+        (F.col("l_quantity") * share).alias("volume_pred"),
+        (F.col("l_partkey") % 7).cast("double").alias("cap_area_gt"),
+        (F.col("l_suppkey") % 5).cast("double").alias("cap_area_pred"),
+        (1 + (F.col("l_partkey") % 3) * 0.5).alias("radius"),
+    )
+    return rounded(rounded(scores.volume_bucket_means(segments, ["bucket"]), "volume_gt", "volume_pred", digits=4), "error_rel")
+
+
 @query(SCORE + ", r as (select method, count(*) over (partition by value) as t, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0 as rank from v_score where method in ('1-URGENT', '5-LOW')), s as (select count_if(method = '1-URGENT')::bigint as n_a, count_if(method = '5-LOW')::bigint as n_b, sum(case when method = '1-URGENT' then rank end)::double as r_a, sum(t * t - 1)::double as ties from r), u as (select *, r_a - n_a * (n_a + 1) / 2 as u, (n_a + n_b)::double as n from s), z as (select *, (u - n_a * n_b / 2) / sqrt(n_a::double * n_b / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u) select n_a, n_b, r_a, u, round(z, 6) as z, " + _normal_p("z") + " as p from z")
 def e16_mann_whitney(spark, d):
     return rounded(scores.mann_whitney(view(spark, d, "v_score"), "method", "value", "1-URGENT", "5-LOW"), "z", "p")

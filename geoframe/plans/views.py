@@ -1,4 +1,7 @@
-"""The tables of the data model, as views of the star-schema tables: for Spark and, as common table expressions, for SQL."""
+"""The tables of the data model, as views of the star-schema tables: for Spark and, as common table expressions, for SQL.
+
+Cases are suppliers, customers or ten users each, so their number grows with the tables and their size doesn't.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS: dict[str, tuple[str, str, str | None]] = {
     "v_line": (
         "events",
-        """select user_id % 10 as case_id, {idiv} as line_id, event_id as point_id,
+        """select {idiv} as case_id, user_id % 10 as line_id, event_id as point_id,
         cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as seq,
         cast(event_id * 7 % 101 as double) as x, cast(event_id * 13 % 89 as double) as y, cast(event_id * 29 % 53 as double) as z,
         1 + (event_id % 5) * cast(0.5 as double) as radius, case when event_type = 'error' then 2 else -1 end as bifurc from events""",
@@ -16,7 +19,7 @@ VIEWS: dict[str, tuple[str, str, str | None]] = {
     ),
     "v_vox": (
         "lineitem",
-        """select l_suppkey % 5 as case_id, l_partkey % 12 as i, l_orderkey % 12 as j, cast(l_linenumber % 4 as bigint) as k,
+        """select l_suppkey as case_id, l_partkey % 12 as i, l_orderkey % 12 as j, cast(l_linenumber % 4 as bigint) as k,
         cast(sum(cast(l_quantity as bigint)) as bigint) as value, max(case when l_returnflag = 'R' then 1 else 0 end) as gt,
         max(case when l_linestatus = 'F' and l_quantity > 10 then 1 else 0 end) as pred from lineitem group by 1, 2, 3, 4""",
         None,
@@ -43,12 +46,12 @@ VIEWS: dict[str, tuple[str, str, str | None]] = {
     ),
     "v_score": (
         "orders",
-        """select concat('c', o_custkey % 50) as case_id, o_orderpriority as method, cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) as value,
-        case when min(o_orderkey) % 7 = 0 then 'diverged' else 'ok' end as status, concat('g', (o_custkey % 50) % 6) as category
-        from orders group by o_custkey % 50, o_orderpriority""",
+        """select concat('c', o_custkey) as case_id, o_orderpriority as method, cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) as value,
+        case when min(o_orderkey) % 7 = 0 then 'diverged' else 'ok' end as status, concat('g', o_custkey % 6) as category
+        from orders group by o_custkey, o_orderpriority""",
         None,
     ),
-    "v_category": ("orders", "select distinct concat('c', o_custkey % 50) as case_id, concat('g', (o_custkey % 50) % 6) as category from orders where (o_custkey % 50) % 6 <> 5", None),
+    "v_category": ("orders", "select distinct concat('c', o_custkey) as case_id, concat('g', o_custkey % 6) as category from orders where o_custkey % 6 <> 5", None),
     "v_artifact": (
         "documents labels pages benchmark",
         """select 'images' as folder, doc_id as case_id from documents union all select 'truths', doc_id from labels
