@@ -79,7 +79,10 @@ def test_walk_is_the_plain_loop(spark):
     assert got == want
 
 
-def test_components_are_smallest_reachable(spark):
+@pytest.mark.parametrize("last_edges", [0, 40, 200_000])
+def test_components_are_smallest_reachable(spark, monkeypatch, last_edges):
+    """By rounds alone, by rounds and one task at the end, and by one task."""
+    monkeypatch.setattr(graph, "LAST_EDGES", last_edges)
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(260)] + [(1000, 1000 + i) for i in range(200)]
     parent = {v: v for e in edges for v in e}
