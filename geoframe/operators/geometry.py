@@ -105,7 +105,11 @@ def clip_outside_caps(faces: DataFrame, vertices: DataFrame, ends: DataFrame, sc
     v = cross(t, u)
     side = scale * F.col("radius")
     half = side / 2
-    hit = vertices.join(spots, "mesh_id").where(dot(d, t).between(0, side) & (F.abs(dot(d, u)) <= half * norm(u)) & (F.abs(dot(d, v)) <= half * norm(v))).select("mesh_id", "vid").distinct()
+    # The oriented box lies within a sphere around the end, and that in a box along the axes, which meets few vertices.
+    reach = 1.25 * side
+    boxes = spots.select("*", F.monotonically_increasing_id().alias("box_id"), *[(F.col(f"e{c}") + sign * reach).alias(f"{e}{c}") for e, sign in (("lo", -1), ("hi", 1)) for c in "xyz"])
+    near = points_in_boxes(vertices, stored(boxes, "cap-boxes"), key="mesh_id")
+    hit = near.where(dot(d, t).between(0, side) & (F.abs(dot(d, u)) <= half * norm(u)) & (F.abs(dot(d, v)) <= half * norm(v))).select("mesh_id", "vid").distinct()
     return largest_piece(mesh.faces_of_vertices(faces, vertices.join(hit, ["mesh_id", "vid"], "left_anti")))
 
 

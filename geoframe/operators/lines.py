@@ -222,17 +222,18 @@ def successors(points: DataFrame, distance: float, slower_large: float = 1.0, la
 
 
 def walk_steps(points: DataFrame, distance: float = 1.0, **slower) -> DataFrame:
-    """Points (case_id, line_id, seq) that the walk from seq 0 visits, by pointer doubling: log2 of the longest line rounds."""
+    """Points (case_id, line_id, seq) that the walk from seq 0 visits, by pointer doubling: log2 of the longest line rounds.
+
+    After a round the first 2, 4, 8 .. points of each walk are known and pointers lead as many steps on, all of them to
+    points that are new, as walks only go ahead. A round writes those and the pointers; what is known isn't written again.
+    """
     jump = stored(successors(points, distance, **slower), "walk-next")
-    visited = stored(points.where("seq = 0").select("case_id", "line_id", "seq"), "walk-visited")
-    size = visited.count()
+    visited = stored(points.where("seq = 0").select("case_id", "line_id", "seq").distinct(), "walk-visited")
     while True:
-        more = visited.join(jump, ["case_id", "line_id", "seq"]).select("case_id", "line_id", F.col("next_seq").alias("seq"))
-        visited = stored(visited.union(more).distinct(), "walk-visited")
-        grown = visited.count()
-        if grown == size:
+        more = stored(visited.join(jump, ["case_id", "line_id", "seq"]).select("case_id", "line_id", F.col("next_seq").alias("seq")), "walk-visited")
+        if more.isEmpty():
             return visited
-        size = grown
+        visited = visited.unionByName(more)
         further = jump.select("case_id", "line_id", F.col("seq").alias("next_seq"), F.col("next_seq").alias("far"))
         jump = stored(jump.join(further, ["case_id", "line_id", "next_seq"]).select("case_id", "line_id", "seq", F.col("far").alias("next_seq")), "walk-next")
 
