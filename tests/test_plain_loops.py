@@ -137,3 +137,83 @@ def test_k15_clusters_of_blobs(spark):
     got = geometry.cluster_points(spark.createDataFrame(rows, "point_id long, x double, y double, z double"), 3).collect()
     assert len({(r.point_id % 3, r.cluster) for r in got}) == 3 and len(got) == 150
     assert geometry.cluster_points(spark.createDataFrame(rows, "point_id long, x double, y double, z double").withColumn("extra", F.lit(1)), 3).columns[-1] == "cluster"
+
+
+def unit(*keys):
+    import hashlib
+
+    return int(hashlib.md5("_".join(map(str, keys)).encode()).hexdigest()[:16], 16) % 10000 / 10000
+
+
+def test_v14_augment_by_hashed_draws(spark):
+    cases = defaultdict(dict)
+    for r in view(spark, SF, "v_vox").collect():
+        cases[r.case_id][r.i, r.j, r.k] = r.value
+    want = {}
+    for c, cells in cases.items():
+        lo, hi, top = min(cells.values()), max(cells.values()), max(i for i, _, _ in cells)
+        flip, gamma, noise = (unit(c, f"42-{n}") < 0.5 for n in ("flip", "gamma", "noise"))
+        for (i, j, k), v in cells.items():
+            v, i = (v - lo) / (hi - lo), top - i if flip else i
+            v = v ** (0.7 + 0.6 * unit(c, "42-g")) if gamma else v
+            if noise:
+                a, b = (max(unit(c, i, j, k, f"42-{n}"), 1e-4) for n in "uv")
+                v += 0.05 * math.sqrt(-2 * math.log(a)) * math.cos(2 * math.pi * b)
+            want[c, i, j, k] = v
+    got = {(r.case_id, r.i, r.j, r.k): r.value for r in run(spark, "v14_augment")}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
+    assert len({unit(c, "42-flip") < 0.5 for c in cases}) == 2
+
+
+def test_v13_values_across_the_line(spark):
+    cells, places = {}, {}
+    for r in view(spark, SF, "v_vox").collect():
+        cells[r.case_id, r.i, r.j, r.k] = r.value
+    from geoframe.operators.lines import tangents
+
+    rows = view(spark, SF, "v_line").withColumns({"x": F.col("x") % 12, "y": F.col("y") % 12, "z": F.col("z") % 4})
+    for r in tangents(rows).collect():
+        t = r.tx, r.ty, r.tz
+        if None in t:
+            continue
+        u = np.cross(t, (1.0, 0.0, 0.0) if abs(t[2]) > 0.9 else (0.0, 0.0, 1.0))
+        u = u / np.linalg.norm(u)
+        v = np.cross(t, u)
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                places[r.case_id, r.line_id, r.seq, a, b] = [round(float(c), 9) for c in np.array([r.x, r.y, r.z]) + a * u + b * v]
+    want = {}
+    for key, p in places.items():
+        total = weight = 0.0
+        for up in np.ndindex(2, 2, 2):
+            cell = tuple(math.floor(c) + n for c, n in zip(p, up))
+            w = math.prod(c - math.floor(c) if n else 1 - c + math.floor(c) for c, n in zip(p, up))
+            if w > 0 and (key[0], *cell) in cells:
+                total, weight = total + w * cells[key[0], *cell], weight + w
+        if weight:
+            want[key] = total / weight
+    got = {(r.case_id, r.line_id, r.seq, r.a, r.b): r.value for r in run(spark, "v13_straighten")}
+    same = [k for k in want if k in got and math.isclose(got[k], want[k], abs_tol=2e-6)]
+    # Rounding to nine digits may differ at a half, which moves a place into the next cell.
+    assert len(same) >= 0.999 * max(len(want), len(got)) and len(want) > 1000
+
+
+def test_k7_rows_of_samples(spark):
+    from geoframe.plans import queries_lines as q
+
+    placed = sorted(q._boxed(spark, SF, q.lines.place_samples(q._visited(spark, SF))).collect(), key=lambda r: (r.case_id, r.line_id, r.seq, r.sub))
+    numbers, want = defaultdict(dict), {}
+    for r in placed:
+        n = numbers[r.case_id].setdefault((r.line_id, r.seq), len(numbers[r.case_id]))
+        voxels = None
+        if all(c is not None for c in (r.cx, r.cy, r.cz)):
+            voxels, side = 1, r.size_mult * r.radius
+            for c, o, extent in zip((r.cx, r.cy, r.cz), q.VOLUME["origin"], q.VOLUME["size"]):
+                size, start = max(math.ceil(side), 5), round(c - o - side / 2)
+                if voxels is None or start + size - extent >= size / 2 or -start >= size / 2:
+                    voxels = None
+                else:
+                    voxels *= min(size, extent - max(start, 0))
+        want[f"{r.case_id}_{n}_{r.sub}"] = (voxels, r.size_mult * r.radius, r.bifurc, r.radius)
+    got = {r.NAME: (r.NUM_VOX, r.SIZE, r.BIFURCATION, r.RADIUS) for r in q.lines.sample_rows(spark.createDataFrame(placed)).collect()}
+    assert got == want and len(got) == len(placed) > 1000
