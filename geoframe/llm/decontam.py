@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.text import LOWER, small_batches, SPACES, SpanHash, text_batches
+from geoframe.llm.text import LOWER, SPACES, SpanHash, fresh, small_batches, text_batches
 
 RATE = 0.1
 #: Least lengths of the groups of pieces.
@@ -243,7 +243,7 @@ def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE) -> Data
     for block in item_blocks(items, rate):
 
         def rows(batches, sent=docs.sparkSession.sparkContext.broadcast(block)):
-            for batch, data, offsets in text_batches(batches):
+            for batch, data, offsets in text_batches(fresh(batches)):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[m[0] for m in matches(sent.value, PLAIN[data], offsets)]] = False
                 yield batch.filter(pa.array(clean))

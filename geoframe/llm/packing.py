@@ -26,8 +26,8 @@ from geoframe.llm.tokens import Ids, with_end
 
 #: Production limits of a sequence: loss-bearing tokens; and the shortest head that a cut leaves.
 LOSS, SHORTEST = 2044, 16
-#: Tokens that a task holds before it packs them.
-WINDOW = 1 << 20
+#: Tokens that a task holds before it packs them, and bytes of text that it encodes at once.
+WINDOW, SLICE = 1 << 20, 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
             fields = [pa.field(x.split()[0], pa.int64()) for x in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * len(fields), schema=pa.schema(fields))
 
-        for batch, data, offsets in text_batches(batches, lower=encoder.lowers):
+        for batch, data, offsets in text_batches(batches, limit=SLICE, lower=encoder.lowers):
             ids, bounds = with_end(*encoder.encode(data, offsets), end_id)
             raw, bounds = ids.astype("<u4").tobytes(), bounds.tolist()
             for name, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:]):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,22 @@ def crc32_sql(text: str) -> str:
     return f"xor({folded}, 4294967295)"
 
 
+#: What a worker process remembers from task to task: calls that let it go.
+REMEMBERED: list[Callable[[], None]] = []
+
+
+def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, after what the same worker process remembers of other operators is let go: in a pipeline it serves stage after
+    stage, and what is remembered for one would take memory from the next."""
+    for forget in REMEMBERED:
+        forget()
+    if REMEMBERED:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give it back to the system, where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return batches
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20, lower: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about limit bytes of text (a longer text alone): rows, bytes (A-Z lowered if asked), offsets; null is empty."""
     for batch in batches:

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from geoframe.llm.text import BASES, SPACES, SpanHash, words_of
+from geoframe.llm.text import BASES, REMEMBERED, SPACES, SpanHash, words_of
 
 #: Digits, ASCII and Latin-1 letters; ASCII punctuation but for the apostrophe, which may join letters on either side.
 LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
@@ -22,6 +22,7 @@ CORE = re.compile(rf" ?[{LETTERS}]+").fullmatch
 MOST_CORES, MOST_PIECES = 800_000, 2_000_000
 
 _of_worker: dict[str, Ids] = {}
+REMEMBERED.append(_of_worker.clear)
 
 
 class Ids:

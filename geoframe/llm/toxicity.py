@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.text import LOWER, NO_LETTERS, small_batches, SpanHash, sums_between, text_batches, words_of
+from geoframe.llm.text import LOWER, NO_LETTERS, SpanHash, fresh, small_batches, sums_between, text_batches, words_of
 
 BUCKETS = 1 << 18
 #: Where the bias of a telling sentence starts from in training.
@@ -183,7 +183,7 @@ def without_toxic(docs: DataFrame, model: Model | None, limit: float = 0.3) -> D
 
     def rows(batches):
         model = sent.value
-        for batch, data, offsets in text_batches(batches):
+        for batch, data, offsets in text_batches(fresh(batches)):
             if model is not None:
                 buckets, first_words, first_sentences, _, _ = sentences_of(data, offsets)
                 total = sums_between(softplus(evidence(model, buckets, first_words)), first_sentences)
