@@ -317,3 +317,13 @@ def test_rows_that_repeat_an_id_are_one_training_text(spark):
     finally:
         toxicity.train = real
     assert len(seen) == 2
+
+
+def test_empty_tables_are_encoded_and_packed(spark, empty, tmp_path):
+    import public_tokenizers
+
+    from geoframe.llm import dac
+
+    dac.write_token_files(empty, str(tmp_path / "ids"), public_tokenizers.path("word_bpe_49k.json"))
+    assert dac.read_documents(spark, str(tmp_path / "ids")).count() == 0
+    assert packing.pack_documents(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
