@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from geoframe.functions.columns import cross, distance2, dot, norm, normalise, sub, unit_hash, vec
 from geoframe.operators.ranges import group_number, group_total
-from geoframe.plans.storage import stored
+from geoframe.plans.storage import stored_large
 
 
 
@@ -227,15 +227,15 @@ def walk_steps(points: DataFrame, distance: float = 1.0, **slower) -> DataFrame:
     After a round the first 2, 4, 8 .. points of each walk are known and pointers lead as many steps on, all of them to
     points that are new, as walks only go ahead. A round writes those and the pointers; what is known isn't written again.
     """
-    jump = stored(successors(points, distance, **slower), "walk-next")
-    visited = stored(points.where("seq = 0").select("case_id", "line_id", "seq").distinct(), "walk-visited")
+    jump = stored_large(successors(points, distance, **slower), "walk-next")
+    visited = stored_large(points.where("seq = 0").select("case_id", "line_id", "seq").distinct(), "walk-visited")
     while True:
-        more = stored(visited.join(jump, ["case_id", "line_id", "seq"]).select("case_id", "line_id", F.col("next_seq").alias("seq")), "walk-visited")
+        more = stored_large(visited.join(jump, ["case_id", "line_id", "seq"]).select("case_id", "line_id", F.col("next_seq").alias("seq")), "walk-visited")
         if more.isEmpty():
             return visited
         visited = visited.unionByName(more)
         further = jump.select("case_id", "line_id", F.col("seq").alias("next_seq"), F.col("next_seq").alias("far"))
-        jump = stored(jump.join(further, ["case_id", "line_id", "next_seq"]).select("case_id", "line_id", "seq", F.col("far").alias("next_seq")), "walk-next")
+        jump = stored_large(jump.join(further, ["case_id", "line_id", "next_seq"]).select("case_id", "line_id", "seq", F.col("far").alias("next_seq")), "walk-next")
 
 
 def perpendicular(t) -> tuple[tuple[Column, Column, Column], tuple[Column, Column, Column]]:
@@ -293,7 +293,7 @@ def sample_rows(samples: DataFrame) -> DataFrame:
     """One statistics row per sample: NAME case_N_sub, SIZE, VOL_CENT, TANGENT, BIFURCATION, NUM_VOX."""
     spots = group_number(samples.select("case_id", "line_id", "seq").distinct(), ["case_id"], ["line_id", "seq"], "__n")
     voxels = F.aggregate("box_size", F.lit(1).cast("long"), lambda acc, x: acc * x)
-    return samples.join(spots, ["case_id", "line_id", "seq"]).select(F.concat_ws("_", F.col("case_id").cast("string"), "__n", "sub").alias("NAME"), (F.col("size_mult") * F.col("radius")).alias("SIZE"), F.array("cx", "cy", "cz").alias("VOL_CENT"), F.array("tx", "ty", "tz").alias("TANGENT"), F.col("bifurc").alias("BIFURCATION"), voxels.alias("NUM_VOX"), F.col("radius").alias("RADIUS"))
+    return samples.join(spots.hint("merge"), ["case_id", "line_id", "seq"]).select(F.concat_ws("_", F.col("case_id").cast("string"), "__n", "sub").alias("NAME"), (F.col("size_mult") * F.col("radius")).alias("SIZE"), F.array("cx", "cy", "cz").alias("VOL_CENT"), F.array("tx", "ty", "tz").alias("TANGENT"), F.col("bifurc").alias("BIFURCATION"), voxels.alias("NUM_VOX"), F.col("radius").alias("RADIUS"))
 
 
 def centerline_stats(points: DataFrame) -> DataFrame:
@@ -322,10 +322,10 @@ def ordered_by_edges(edges: DataFrame) -> DataFrame:
     arcs = both.join(following, ["case_id", "b"], "left").where("c is null or c <> a")
     has_next = arcs.select("case_id", "a", "b", "c")
     heads = both.join(has_next, ["case_id", "a", "b"], "left").select("case_id", "a", "b", F.col("b").alias("na"), F.col("c").alias("nb"), F.lit(1).cast("long").alias("d"))
-    ranks = stored(heads, "arc-ranks")
+    ranks = stored_large(heads, "arc-ranks")
     while not ranks.where("nb is not null").isEmpty():
         ahead = ranks.select("case_id", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("ma"), F.col("nb").alias("mb"), F.col("d").alias("e"))
-        ranks = stored(ranks.join(ahead, ["case_id", "na", "nb"], "left").select("case_id", "a", "b", F.coalesce("ma", "na").alias("na"), F.when(F.col("nb").isNotNull(), F.col("mb")).alias("nb"), (F.col("d") + F.coalesce("e", F.lit(0))).alias("d")), "arc-ranks")
+        ranks = stored_large(ranks.join(ahead, ["case_id", "na", "nb"], "left").select("case_id", "a", "b", F.coalesce("ma", "na").alias("na"), F.when(F.col("nb").isNotNull(), F.col("mb")).alias("nb"), (F.col("d") + F.coalesce("e", F.lit(0))).alias("d")), "arc-ranks")
     # d counts arcs to the end that `na` now names; an arc towards the higher end gives its tail's place.
     ends = degree.where("n = 1").select("case_id", F.col("a").alias("end"))
     span = ranks.join(ends.withColumnRenamed("end", "a"), ["case_id", "a"]).where(F.col("a") < F.col("na")).select("case_id", F.col("a").alias("start"), F.col("na").alias("na"), F.col("d").alias("total"))
