@@ -11,6 +11,9 @@ from geoframe.operators.ranges import group_number, group_total
 from geoframe.plans.storage import stored_large
 
 
+#: Edges of a case whose chains one task follows by itself.
+SMALL_CHAINS = 100_000
+
 
 class _Lines:
     """A line's points in order, or all of them; windows need a session, so they are made when used."""
@@ -311,11 +314,47 @@ def centerline_stats(points: DataFrame) -> DataFrame:
     return base.join(segments(points).groupBy("case_id").agg(F.sum("length").alias("length")), "case_id", "left")
 
 
+def small_chains(edges) -> dict[str, list]:
+    """The chains of one case's edges (case_id, a, b; pandas), no node of which has more than two: followed from each lower end."""
+    near: dict = {}
+    for a, b in zip(edges["a"].tolist(), edges["b"].tolist()):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    found, case = {"case_id": [], "start": [], "node": [], "seq": []}, edges["case_id"].iat[0]
+    for start in [n for n, others in near.items() if len(others) == 1]:
+        chain, last = [start, near[start][0]], start
+        while len(near[chain[-1]]) == 2:
+            p, q = near[chain[-1]]
+            last, ahead = chain[-1], q if p == last else p
+            chain.append(ahead)
+        if start < chain[-1]:
+            for name, v in (("case_id", [case] * len(chain)), ("start", [start] * len(chain)), ("node", chain), ("seq", range(len(chain)))):
+                found[name].extend(v)
+    return found
+
+
 def ordered_by_edges(edges: DataFrame) -> DataFrame:
-    """Chains (case_id, node, seq) from edges (case_id, a, b): from the end with the lower id along shared edges.
+    """Chains (case_id, start, node, seq) from edges (case_id, a, b): from the end with the lower id along shared edges.
 
-    List ranking by pointer doubling over directed arcs (from, to); each arc's next one leaves its head by the other edge.
+    Cases of at most SMALL_CHAINS edges are dealt to tasks, which follow their chains; larger ones, and those in which a node
+    has more than two edges, go by chains_by_rounds().
     """
+    import pandas as pd
+
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema}
+    pairs = edges.select("case_id", "a", "b")
+    ends = pairs.select("case_id", F.explode(F.array("a", "b")).alias("a"))
+    sizes = stored_large(ends.groupBy("case_id", "a").agg(F.count("*").alias("n")).groupBy("case_id").agg(F.sum("n").alias("ends"), F.max("n").alias("most")), "chain-sizes")
+    simple = (F.col("ends") <= 2 * SMALL_CHAINS) & (F.col("most") <= 2)
+    schema = f"case_id {kind['case_id']}, start {kind['a']}, node {kind['a']}, seq long"
+    chains = pairs.join(sizes.where(simple), "case_id", "left_semi").groupBy("case_id").applyInPandas(lambda case: pd.DataFrame(small_chains(case)), schema)
+    many = sizes.where(~simple)
+    return chains if many.isEmpty() else chains.union(chains_by_rounds(pairs.join(many, "case_id", "left_semi")))
+
+
+def chains_by_rounds(edges: DataFrame) -> DataFrame:
+    """ordered_by_edges() by list ranking: pointer doubling over directed arcs (from, to); each arc's next one leaves its head by the
+    other edge."""
     both = edges.select("case_id", "a", "b").union(edges.select("case_id", "b", "a"))
     degree = both.groupBy("case_id", "a").agg(F.count("*").alias("n"))
     following = both.select("case_id", F.col("a").alias("b"), F.col("b").alias("c"))
@@ -327,9 +366,9 @@ def ordered_by_edges(edges: DataFrame) -> DataFrame:
         ahead = ranks.select("case_id", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("ma"), F.col("nb").alias("mb"), F.col("d").alias("e"))
         ranks = stored_large(ranks.join(ahead, ["case_id", "na", "nb"], "left").select("case_id", "a", "b", F.coalesce("ma", "na").alias("na"), F.when(F.col("nb").isNotNull(), F.col("mb")).alias("nb"), (F.col("d") + F.coalesce("e", F.lit(0))).alias("d")), "arc-ranks")
     # d counts arcs to the end that `na` now names; an arc towards the higher end gives its tail's place.
-    ends = degree.where("n = 1").select("case_id", F.col("a").alias("end"))
+    ends = degree.where("n = 1").select("case_id", F.col("a").alias("end")).hint("merge")
     span = ranks.join(ends.withColumnRenamed("end", "a"), ["case_id", "a"]).where(F.col("a") < F.col("na")).select("case_id", F.col("a").alias("start"), F.col("na").alias("na"), F.col("d").alias("total"))
-    placed = ranks.join(span, ["case_id", "na"]).select("case_id", "start", F.col("a").alias("node"), (F.col("total") - F.col("d")).alias("seq"))
+    placed = ranks.join(span.hint("merge"), ["case_id", "na"]).select("case_id", "start", F.col("a").alias("node"), (F.col("total") - F.col("d")).alias("seq"))
     return placed.union(span.select("case_id", "start", "na", "total")).distinct()
 
 
