@@ -6,6 +6,7 @@ Cases are suppliers, customers or ten users each, so their number grows with the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: name -> (base tables, Spark SQL, DuckDB SQL; None if it is the same)
 VIEWS: dict[str, tuple[str, str, str | None]] = {
@@ -85,8 +86,8 @@ DUCKDB = {
 }
 
 
-#: Meshes that one task makes from its rows of supplier.
-MESHES = 500
+#: Meshes that one task makes from its rows of supplier; rows of lineitem of which one task makes voxels.
+MESHES, LINES = 500, 500_000
 #: Views with more rows, or wider ones, than the files they come from suggest.
 LARGE = ("v_line", "v_vox", "v_vertex", "v_face")
 
@@ -94,13 +95,18 @@ LARGE = ("v_line", "v_vox", "v_vertex", "v_face")
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in sf_dir.
 
-    Meshes are dealt to tasks before their rows are made, as a small file is one task. Joins with large views shuffle both
+    Meshes are dealt to tasks before their rows are made, as a small file is one task; so are the rows of voxels, as a session's
+    number of partitions doesn't grow with them. Joins with large views shuffle both
     sides: Spark would judge them by their files, and send them whole through the driver.
     """
     tables, text, _ = VIEWS[name]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()}
     if tables == "supplier":
         frames[tables] = frames[tables].repartition(frames[tables].count() // MESHES + 1, "s_suppkey")
+    if name == "v_vox":
+        place = [F.col("l_suppkey"), F.col("l_partkey") % 12, F.col("l_orderkey") % 12, (F.col("l_linenumber") % 4).cast("long")]
+        used = frames[tables].select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+        frames[tables] = used.repartition(frames[tables].count() // LINES + 1, *place)
     for t in frames:
         text = _swap(text, t, "{" + t + "}")
     found = spark.sql(text.format(**SPARK, **{t: "{" + t + "}" for t in frames}), **frames)
