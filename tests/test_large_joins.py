@@ -37,7 +37,7 @@ def test_found_region_is_shuffled(spark, monkeypatch):
     test_joins_shuffle_both_sides(spark, monkeypatch, "n5_region_grow")
 
 
-@pytest.mark.parametrize("name", ["n5_region_grow"])
+@pytest.mark.parametrize("name", ["n5_region_grow", "n3_smooth_laplacian"])
 def test_tasks_grow_with_written_tables(spark, monkeypatch, name):
     import __spark_entry__
 
