@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions.columns import angle_deg, cross, dot, norm, normalise, sub, unit_hash, vec
-from geoframe.operators.graph import connected_components
+from geoframe.operators.graph import components_in_groups
 from geoframe.operators.ranges import group_number, group_total, quantiles
 from geoframe.operators.spatial import points_in_boxes
 from geoframe.plans.storage import stored_large, tasks_for
 
+#: Sides of open ends that one task joins with their corners.
+SIDES = 100_000
+
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """faces with the coordinates x0 .. z2 of their corners."""
@@ -61,19 +64,21 @@ def edges(faces: DataFrame) -> DataFrame:
 
 def mesh_components(faces: DataFrame) -> DataFrame:
     """Vertices of faces (mesh_id, vid) with component: the least vertex that edges lead to."""
-    key = lambda m, v: F.struct(F.col(m).alias("m"), F.col(v).alias("v"))
-    linked = edge_rows(faces).select(key("mesh_id", "a").alias("src"), key("mesh_id", "b").alias("dst"))
-    return connected_components(linked).select(F.col("node.m").alias("mesh_id"), F.col("node.v").alias("vid"), F.col("component.v").alias("component"))
+    linked = stored_large(edge_rows(faces).select("mesh_id", "a", "b").distinct(), "mesh-edges")
+    return components_in_groups(linked, "mesh_id").withColumnRenamed("node", "vid")
 
 
 def cap_loops(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Open ends: boundary loops with their centre and the area of the triangles from it to the loop's edges."""
     border = stored_large(edges(faces).where("degree = 1"), "border")
-    key = lambda v: F.struct(F.col("mesh_id").alias("m"), F.col(v).alias("v"))
-    label = connected_components(border.select(key("a").alias("src"), key("b").alias("dst"))).select(F.col("node.m").alias("mesh_id"), F.col("node.v").alias("vid"), F.col("component.v").alias("loop"))
-    placed = label.join(vertices, ["mesh_id", "vid"]).hint("merge")
+    label = components_in_groups(border, "mesh_id").select("mesh_id", F.col("node").alias("vid"), F.col("component").alias("loop"))
+    placed = stored_large(label.hint("merge").join(vertices, ["mesh_id", "vid"]).select("mesh_id", "vid", "loop", *"xyz"), "loop-points")
     centre = placed.groupBy("mesh_id", "loop").agg(*[F.avg(c).alias(f"{c}0") for c in "xyz"], F.count("*").alias("n_points"))
-    sides = border.join(placed.select("mesh_id", F.col("vid").alias("a"), "loop", *[F.col(c).alias(f"{c}1") for c in "xyz"]), ["mesh_id", "a"]).join(placed.select("mesh_id", F.col("vid").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"]), ["mesh_id", "b"])
+    n = tasks_for(border, SIDES)
+    sides = border
+    for v, end, more in (("a", 1, ["loop"]), ("b", 2, [])):
+        own = placed.select("mesh_id", F.col("vid").alias(v), *more, *[F.col(c).alias(f"{c}{end}") for c in "xyz"])
+        sides = sides.repartition(n, "mesh_id", v).join(own.repartition(n, "mesh_id", v).hint("merge"), ["mesh_id", v])
     area = sides.join(centre.hint("merge"), ["mesh_id", "loop"]).groupBy("mesh_id", "loop").agg(F.sum(norm(doubled_normal()) / 2).alias("area"))
     return centre.join(area.hint("merge"), ["mesh_id", "loop"]).select("mesh_id", "loop", "n_points", *[F.col(f"{c}0").alias(c) for c in "xyz"], "area")
 

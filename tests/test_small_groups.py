@@ -2,7 +2,7 @@
 
 import random
 
-from geoframe.operators import geometry, graph, lines
+from geoframe.operators import geometry, graph, lines, mesh
 from geoframe.plans import storage
 
 
@@ -55,3 +55,25 @@ def test_parts_of_cases(spark, monkeypatch):
             monkeypatch.setattr(geometry, "SMALL_CASE", limit)
             assert sorted(map(tuple, geometry.cleaned_prediction(image, "value", 30, keep).collect()), key=key) == small
         names.clear()
+
+
+def test_components_of_groups(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(key, *rnd.choices(range(30), k=2)) for key in (1, 2, 3) for _ in range(20)] + [(None, 1, 2), (1, None, 2), (4, 7, 7)]
+    edges = spark.createDataFrame(rows, "mesh_id long, a long, b long")
+    names = written(monkeypatch)
+    small = sorted(map(tuple, graph.components_in_groups(edges, "mesh_id").collect()))
+    assert names == ["group-sizes"] and (4, 7, 7) in small and len(small) == len({(k, v) for k, a, b in rows if None not in (k, a, b) for v in (a, b)})
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 10)
+    assert sorted(map(tuple, graph.components_in_groups(edges, "mesh_id").collect())) == small
+    text = edges.selectExpr("mesh_id", "cast(a + 100 as string) as a", "cast(b + 100 as string) as b")
+    assert sorted((k, int(v) - 100, int(c) - 100) for k, v, c in graph.components_in_groups(text, "mesh_id").collect()) == small
+    assert not graph.components_in_groups(edges.limit(0), "mesh_id").collect()
+
+
+def test_open_ends_need_no_rounds(spark, monkeypatch):
+    names = written(monkeypatch)
+    faces = spark.createDataFrame([(m, f, *v) for m in (1, 2) for f, v in enumerate([(0, 1, 2), (0, 2, 3), (5, 6, 7)])], "mesh_id long, fid long, v0 long, v1 long, v2 long")
+    vertices = spark.createDataFrame([(m, v, float(v % 2), float(v // 2), 0.0) for m in (1, 2) for v in range(8)], "mesh_id long, vid long, x double, y double, z double")
+    assert sorted((r.mesh_id, r.loop, r.n_points) for r in mesh.cap_loops(faces, vertices).collect()) == [(1, 0, 4), (1, 5, 3), (2, 0, 4), (2, 5, 3)]
+    assert names == ["border", "group-sizes", "loop-points"]
