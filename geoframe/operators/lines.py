@@ -8,11 +8,11 @@ from pyspark.sql.window import Window
 
 from geoframe.functions.columns import cross, distance2, dot, norm, normalise, sub, unit_hash, vec
 from geoframe.operators.ranges import group_number, group_total
-from geoframe.plans.storage import stored_large
+from geoframe.plans.storage import stored_large, tasks_for
 
 
-#: Edges of a case whose chains one task follows by itself.
-SMALL_CHAINS = 100_000
+#: Edges of a case whose chains one task follows by itself; visited points of which a task joins the samples.
+SMALL_CHAINS, SPOTS = 100_000, 100_000
 
 
 class _Lines:
@@ -216,7 +216,9 @@ def successors(points: DataFrame, distance: float, slower_large: float = 1.0, la
     step = distance * ahead_radius * F.when(ahead_radius >= large, slower_large).otherwise(1.0) * F.when(ahead_bif == 2, slower_bifurcation).otherwise(1.0)
     targets = along.withColumn("target", F.col("s") + F.when(step > 0, step).otherwise(step * 0))
     # Points and targets in one order along the line: a target takes the next point after it.
-    marks = targets.select("case_id", "line_id", F.col("s").alias("at"), F.lit(1).alias("kind"), "seq").unionByName(targets.where("target is not null").select("case_id", "line_id", F.col("target").alias("at"), F.lit(0).alias("kind"), "seq"))
+    # Exploded, not united, so lines that are dealt to tasks stay where they are.
+    ends = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("kind")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("at"), F.lit(0).alias("kind"))))
+    marks = targets.select("case_id", "line_id", "seq", F.explode(F.array_compact(ends)).alias("e")).select("case_id", "line_id", "e.at", "e.kind", "seq")
     order = Window.partitionBy("case_id", "line_id").orderBy(F.round("at", 9), "kind", "seq")
     reached = F.first(F.when(F.col("kind") == 1, F.col("seq")), ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     found = marks.withColumn("q", reached).where("kind = 0")
@@ -230,15 +232,17 @@ def walk_steps(points: DataFrame, distance: float = 1.0, **slower) -> DataFrame:
     After a round the first 2, 4, 8 .. points of each walk are known and pointers lead as many steps on, all of them to
     points that are new, as walks only go ahead. A round writes those and the pointers; what is known isn't written again.
     """
+    here, there = ["case_id", "line_id", "seq"], ["case_id", "line_id", "next_seq"]
     jump = stored_large(successors(points, distance, **slower), "walk-next")
-    visited = stored_large(points.where("seq = 0").select("case_id", "line_id", "seq").distinct(), "walk-visited")
+    n = tasks_for(jump)
+    visited = stored_large(points.where("seq = 0").select(*here).distinct(), "walk-visited")
     while True:
-        more = stored_large(visited.join(jump, ["case_id", "line_id", "seq"]).select("case_id", "line_id", F.col("next_seq").alias("seq")), "walk-visited")
+        more = stored_large(visited.repartition(n, *here).join(jump.repartition(n, *here).hint("merge"), here).select("case_id", "line_id", F.col("next_seq").alias("seq")), "walk-visited")
         if more.isEmpty():
             return visited
         visited = visited.unionByName(more)
-        further = jump.select("case_id", "line_id", F.col("seq").alias("next_seq"), F.col("next_seq").alias("far"))
-        jump = stored_large(jump.join(further, ["case_id", "line_id", "next_seq"]).select("case_id", "line_id", "seq", F.col("far").alias("next_seq")), "walk-next")
+        further = jump.select("case_id", "line_id", F.col("seq").alias("next_seq"), F.col("next_seq").alias("far")).repartition(n, *there)
+        jump = stored_large(jump.repartition(n, *there).join(further.hint("merge"), there).select("case_id", "line_id", "seq", F.col("far").alias("next_seq")), "walk-next")
 
 
 def perpendicular(t) -> tuple[tuple[Column, Column, Column], tuple[Column, Column, Column]]:
@@ -294,9 +298,12 @@ def box_for_sample(samples: DataFrame, min_dim: int = 5) -> DataFrame:
 
 def sample_rows(samples: DataFrame) -> DataFrame:
     """One statistics row per sample: NAME case_N_sub, SIZE, VOL_CENT, TANGENT, BIFURCATION, NUM_VOX."""
-    spots = group_number(samples.select("case_id", "line_id", "seq").distinct(), ["case_id"], ["line_id", "seq"], "__n")
+    keys = ["case_id", "line_id", "seq"]
+    visited = stored_large(samples.select(*keys).distinct(), "sample-spots")
+    n = tasks_for(visited, SPOTS)
+    spots = group_number(visited, ["case_id"], ["line_id", "seq"], "__n").repartition(n, *keys)
     voxels = F.aggregate("box_size", F.lit(1).cast("long"), lambda acc, x: acc * x)
-    return samples.join(spots.hint("merge"), ["case_id", "line_id", "seq"]).select(F.concat_ws("_", F.col("case_id").cast("string"), "__n", "sub").alias("NAME"), (F.col("size_mult") * F.col("radius")).alias("SIZE"), F.array("cx", "cy", "cz").alias("VOL_CENT"), F.array("tx", "ty", "tz").alias("TANGENT"), F.col("bifurc").alias("BIFURCATION"), voxels.alias("NUM_VOX"), F.col("radius").alias("RADIUS"))
+    return samples.repartition(n, *keys).join(spots.hint("merge"), keys).select(F.concat_ws("_", F.col("case_id").cast("string"), "__n", "sub").alias("NAME"), (F.col("size_mult") * F.col("radius")).alias("SIZE"), F.array("cx", "cy", "cz").alias("VOL_CENT"), F.array("tx", "ty", "tz").alias("TANGENT"), F.col("bifurc").alias("BIFURCATION"), voxels.alias("NUM_VOX"), F.col("radius").alias("RADIUS"))
 
 
 def centerline_stats(points: DataFrame) -> DataFrame:

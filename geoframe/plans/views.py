@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoframe.plans.storage import MOST
+
 #: name -> (base tables, Spark SQL, DuckDB SQL; None if it is the same)
 VIEWS: dict[str, tuple[str, str, str | None]] = {
     "v_line": (
         "events",
-        """select {idiv} as case_id, user_id % 10 as line_id, event_id as point_id,
-        cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as seq,
+        """select {case} as case_id, {line} as line_id, event_id as point_id,
+        cast(row_number() over (partition by {user} order by ts, event_id) - 1 as bigint) as seq,
         cast(event_id * 7 % 101 as double) as x, cast(event_id * 13 % 89 as double) as y, cast(event_id * 29 % 53 as double) as z,
         1 + (event_id % 5) * cast(0.5 as double) as radius, case when event_type = 'error' then 2 else -1 end as bifurc from events""",
         None,
@@ -69,7 +71,9 @@ VIEWS: dict[str, tuple[str, str, str | None]] = {
 }
 
 SPARK = {
-    "idiv": "user_id div 10",
+    "case": "case_id",
+    "line": "line_id",
+    "user": "case_id, line_id",
     "grid16": "lateral view explode(sequence(0, 15)) as a lateral view explode(sequence(0, 15)) as b",
     "grid15": "lateral view explode(sequence(0, 14)) as a lateral view explode(sequence(0, 14)) as b lateral view explode(sequence(0, 1)) as s",
     "e0": "embedding[0]",
@@ -77,7 +81,9 @@ SPARK = {
     "e2": "embedding[2]",
 }
 DUCKDB = {
-    "idiv": "user_id // 10",
+    "case": "user_id // 10",
+    "line": "user_id % 10",
+    "user": "user_id",
     "grid16": ", range(16) as ta(a), range(16) as tb(b)",
     "grid15": ", range(15) as ta(a), range(15) as tb(b), range(2) as ts(s)",
     "e0": "embedding[1]",
@@ -86,8 +92,8 @@ DUCKDB = {
 }
 
 
-#: Meshes that one task makes from its rows of supplier; rows of lineitem of which one task makes voxels.
-MESHES, LINES = 500, 500_000
+#: Meshes that one task makes from its rows of supplier; rows of lineitem of which one task makes voxels; of events, lines.
+MESHES, LINES, POINTS = 500, 500_000, 50_000
 #: Views with more rows, or wider ones, than the files they come from suggest.
 LARGE = ("v_line", "v_vox", "v_vertex", "v_face")
 
@@ -95,8 +101,8 @@ LARGE = ("v_line", "v_vox", "v_vertex", "v_face")
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in sf_dir.
 
-    Meshes are dealt to tasks before their rows are made, as a small file is one task; so are the rows of voxels, as a session's
-    number of partitions doesn't grow with them. Joins with large views shuffle both
+    Meshes are dealt to tasks before their rows are made, as a small file is one task; so are the rows of voxels and whole
+    lines, as a session's number of partitions doesn't grow with them. Joins with large views shuffle both
     sides: Spark would judge them by their files, and send them whole through the driver.
     """
     tables, text, _ = VIEWS[name]
@@ -107,6 +113,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         place = [F.col("l_suppkey"), F.col("l_partkey") % 12, F.col("l_orderkey") % 12, (F.col("l_linenumber") % 4).cast("long")]
         used = frames[tables].select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
         frames[tables] = used.repartition(frames[tables].count() // LINES + 1, *place)
+    if name == "v_line":
+        # Windows over lines find their rows where they are.
+        used = frames[tables].selectExpr("user_id div 10 as case_id", "user_id % 10 as line_id", "event_id", "ts", "event_type")
+        frames[tables] = used.repartition(min(frames[tables].count() // POINTS + 1, MOST), "case_id", "line_id")
     for t in frames:
         text = _swap(text, t, "{" + t + "}")
     found = spark.sql(text.format(**SPARK, **{t: "{" + t + "}" for t in frames}), **frames)

@@ -48,3 +48,24 @@ def test_tasks_grow_with_written_tables(spark, monkeypatch, name):
     text = "\n".join(p._jdf.queryExecution().executedPlan().toString() for p in plans)
     edges = spark.read.parquet(f"{SMALL}/supplier.parquet").count() * 2 * 705
     assert f", {edges // 1_000 + 1}), REPARTITION_BY_NUM" in text
+
+
+def test_lines_are_dealt_once(spark, monkeypatch):
+    from geoframe.operators import lines
+
+    monkeypatch.setattr(views, "POINTS", 100, raising=False)
+    rows = views.view(spark, SMALL, "v_line")
+    tasks = spark.read.parquet(f"{SMALL}/events.parquet").count() // 100 + 1
+    assert rows.rdd.getNumPartitions() == tasks > 1
+    plan = lines.successors(rows, 30.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count(f", {tasks}), REPARTITION_BY_NUM") == 1
+
+
+def test_samples_meet_their_spots_in_tasks_that_grow(spark, monkeypatch):
+    import __spark_entry__
+    from geoframe.operators import lines
+
+    monkeypatch.setattr(lines, "SPOTS", 100, raising=False)
+    plan = __spark_entry__.queries()["k7_sample_rows"](spark, SMALL)
+    spots = __spark_entry__.queries()["k4_walk_steps"](spark, SMALL).count()
+    assert f", {spots // 100 + 1}), REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
