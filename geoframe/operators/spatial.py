@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions.columns import distance2, vec
 from geoframe.operators.ranges import in_ranges, joined
-from geoframe.plans.storage import stored_large
+from geoframe.plans.storage import stored_large, tasks_for
+
+#: Points that one task compares with those of the cells around.
+THINNED = 30_000
 
 
 def cell(c: str, size: float) -> Column:
@@ -105,14 +109,18 @@ def thin_points(points: DataFrame, t: float, key: str = "case_id") -> DataFrame:
 
     Rounds: a point with no lower undecided neighbour within t is kept and its neighbours are dropped. Equals the greedy order.
     """
-    around = points.select(key, F.col("point_id").alias("a"), "x", "y", "z")
-    for c in "xyz":
-        around = around.withColumn(f"__c{c}", F.explode(F.sequence(cell(c, t) - 1, cell(c, t) + 1)))
-    placed = points.select(key, F.col("point_id").alias("b"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
-    for c in "xyz":
-        placed = placed.withColumn(f"__c{c}", cell(f"r{c}", t))
+    points = stored_large(points.select(key, "point_id", *"xyz"), "thin-points")
+    n, place = tasks_for(points, THINNED), [f"__c{c}" for c in "xyz"]
+    celled = points.withColumns({f"__c{c}": cell(c, t) for c in "xyz"})
+    # Of two neighbouring cells the lower looks into the higher, so each pair is met once.
+    ahead = [d for d in product((-1, 0, 1), repeat=3) if d >= (0, 0, 0)]
+    seen = F.explode(F.array(*[F.struct(*[(F.col(c) + s).alias(c) for c, s in zip(place, d)], F.lit(not any(d)).alias("own")) for d in ahead]))
+    around = celled.select(key, F.col("point_id").alias("p"), *"xyz", seen.alias("__s")).select(key, "p", *"xyz", "__s.*")
+    placed = celled.select(key, F.col("point_id").alias("q"), *[F.col(c).alias(f"r{c}") for c in "xyz"], *place)
     close = distance2(vec("x", "y", "z"), vec("rx", "ry", "rz")) < t * t
-    conflicts = stored_large(around.join(placed, [key, "__cx", "__cy", "__cz"]).where(close & (F.col("a") < F.col("b"))).select(key, "a", "b"), "conflicts")
+    met = around.repartition(n, key, *place).join(placed.repartition(n, key, *place).hint("merge"), [key, *place])
+    pairs = met.where(close & F.when(F.col("own"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q")))
+    conflicts = stored_large(pairs.select(key, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), "conflicts")
     left, kept = stored_large(points.select(key, "point_id"), "thin-left"), None
     while True:
         blocked = conflicts.select(key, F.col("b").alias("point_id")).distinct().hint("merge")

@@ -69,3 +69,21 @@ def test_samples_meet_their_spots_in_tasks_that_grow(spark, monkeypatch):
     plan = __spark_entry__.queries()["k7_sample_rows"](spark, SMALL)
     spots = __spark_entry__.queries()["k4_walk_steps"](spark, SMALL).count()
     assert f", {spots // 100 + 1}), REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_near_points_are_dealt(spark, monkeypatch):
+    from geoframe.operators import spatial
+
+    plans, write = {}, storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, folder: (plans.setdefault(folder, df), write(df, folder))[1])
+    monkeypatch.setattr(spatial, "THINNED", 10, raising=False)
+    points = [(0, i, float(i % 7), float(i * 3 % 11), float(i * 5 % 4)) for i in range(60)]
+    kept = {r.point_id for r in spatial.thin_points(spark.createDataFrame(points, "case_id long, point_id long, x double, y double, z double"), 2.5).collect()}
+    far = lambda p, q: sum((a - b) ** 2 for a, b in zip(p[2:], q[2:])) >= 2.5**2
+    alone = []
+    for p in points:
+        if all(far(p, q) for q in alone):
+            alone.append(p)
+    assert kept == {p[1] for p in alone}
+    text = plans["conflicts"]._jdf.queryExecution().executedPlan().toString()
+    assert text.count(", 7), REPARTITION_BY_NUM") == 2
