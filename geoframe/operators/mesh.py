@@ -11,8 +11,8 @@ from geoframe.operators.ranges import group_number, group_total, quantiles
 from geoframe.operators.spatial import points_in_boxes
 from geoframe.plans.storage import stored_large, tasks_for
 
-#: Sides of open ends that one task joins with their corners.
-SIDES = 100_000
+#: Sides of open ends that one task joins with their corners; faces whose edges one task brings together.
+SIDES, FACES = 100_000, 100_000
 
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -32,13 +32,13 @@ def doubled_normal():
     return cross(sub(point(1), point(0)), sub(point(2), point(0)))
 
 
-def face_geometry(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Per face its unit normal nx, ny, nz (null if it has no area) and area."""
+def face_geometry(faces: DataFrame, vertices: DataFrame, **more: Column) -> DataFrame:
+    """Per face its unit normal nx, ny, nz (null if it has no area) and area; more columns by its corners."""
     cornered = corners(faces, vertices)
     n = doubled_normal()
-    staged = cornered.select("mesh_id", "fid", "v0", "v1", "v2", *[c.alias(f"__{a}") for a, c in zip("xyz", n)])
+    staged = cornered.select("mesh_id", "fid", "v0", "v1", "v2", *[c.alias(f"__{a}") for a, c in zip("xyz", n)], *[c.alias(name) for name, c in more.items()])
     length = norm(vec("__x", "__y", "__z"))
-    return staged.select("mesh_id", "fid", "v0", "v1", "v2", *[c.alias(f"n{a}") for a, c in zip("xyz", normalise(vec("__x", "__y", "__z")))], (length / 2).alias("area"))
+    return staged.select("mesh_id", "fid", "v0", "v1", "v2", *[c.alias(f"n{a}") for a, c in zip("xyz", normalise(vec("__x", "__y", "__z")))], (length / 2).alias("area"), *more)
 
 
 def mesh_area(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -83,11 +83,27 @@ def cap_loops(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return centre.join(area.hint("merge"), ["mesh_id", "loop"]).select("mesh_id", "loop", "n_points", *[F.col(f"{c}0").alias(c) for c in "xyz"], "area")
 
 
+def sided_faces(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, int]:
+    """face_geometry() with the lengths d0, d1, d2 of the sides from v0, v1, v2 on, written and dealt by meshes; and to how many tasks."""
+    sides = {f"d{p}": norm(sub(point(p), point(q))) for p, q in ((0, 1), (1, 2), (2, 0))}
+    rows = stored_large(face_geometry(faces, vertices, **sides), "sided-faces")
+    n = tasks_for(rows, FACES)
+    return rows.repartition(n, "mesh_id"), n
+
+
+def bends_of(sided: DataFrame) -> DataFrame:
+    """Per edge with two faces (of some area) the angle between their normals, and its length; of dealt faces where they are."""
+    pairs = F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), F.col(d).alias("d")) for p, q, d in (("v0", "v1", "d0"), ("v1", "v2", "d1"), ("v2", "v0", "d2"))])
+    rows = sided.where("area > 0").select("mesh_id", "fid", "nx", "ny", "nz", F.explode(pairs).alias("e")).select("mesh_id", "fid", "nx", "ny", "nz", "e.*")
+    # Numbers, not structs, are picked, as those are aggregated without a sort.
+    picked = [f(f"n{c}", "fid").alias(f"{name}{c}") for name, f in (("p", F.min_by), ("q", F.max_by)) for c in "xyz"]
+    both = rows.groupBy("mesh_id", "a", "b").agg(F.count("*").alias("n"), F.max("d").alias("d"), *picked).where("n = 2")
+    return both.select("mesh_id", "a", "b", angle_deg(vec("px", "py", "pz"), vec("qx", "qy", "qz")).alias("angle"), "d")
+
+
 def dihedrals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Per edge with two faces (of some area) the angle between their normals."""
-    normals = face_geometry(faces, vertices).where("area > 0").select("mesh_id", "fid", "nx", "ny", "nz")
-    sided = edge_rows(faces).join(normals.hint("merge"), ["mesh_id", "fid"]).groupBy("mesh_id", "a", "b").agg(F.count("*").alias("n"), F.min_by(F.struct("nx", "ny", "nz"), "fid").alias("p"), F.max_by(F.struct("nx", "ny", "nz"), "fid").alias("q")).where("n = 2")
-    return sided.select("mesh_id", "a", "b", angle_deg(vec("p.nx", "p.ny", "p.nz"), vec("q.nx", "q.ny", "q.nz")).alias("angle"))
+    return bends_of(sided_faces(faces, vertices)[0]).drop("d")
 
 
 def dihedral_p95(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -96,12 +112,11 @@ def dihedral_p95(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def vertex_curvature(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Per vertex mean curvature by half of edge length times dihedral angle over a third of the area around it, and that area."""
-    bends = dihedrals(faces, vertices)
-    for v, n in (("a", 1), ("b", 2)):
-        bends = bends.join(vertices.select("mesh_id", F.col("vid").alias(v), *[F.col(c).alias(f"{c}{n}") for c in "xyz"]), ["mesh_id", v])
-    weight = F.radians("angle") * norm(sub(point(1), point(2))) / 4
-    ends = bends.select("mesh_id", F.explode(F.array("a", "b")).alias("vid"), weight.alias("w")).groupBy("mesh_id", "vid").agg(F.sum("w").alias("w"))
-    area = face_geometry(faces, vertices).select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid"), (F.col("area") / 3).alias("area")).groupBy("mesh_id", "vid").agg(F.sum("area").alias("area"))
+    sided, n = sided_faces(faces, vertices)
+    weight = F.radians("angle") * F.col("d") / 4
+    ends = bends_of(sided).select("mesh_id", F.explode(F.array("a", "b")).alias("vid"), weight.alias("w")).groupBy("mesh_id", "vid").agg(F.sum("w").alias("w"))
+    area = sided.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid"), (F.col("area") / 3).alias("area")).groupBy("mesh_id", "vid").agg(F.sum("area").alias("area"))
+    area, ends = (rows.repartition(n, "mesh_id", "vid") for rows in (area, ends))
     return area.join(ends.hint("merge"), ["mesh_id", "vid"], "left").select("mesh_id", "vid", F.coalesce(F.try_divide("w", "area"), F.lit(0.0)).alias("curvature"), "area")
 
 

@@ -87,3 +87,17 @@ def test_pairs_of_near_points_are_dealt(spark, monkeypatch):
     assert kept == {p[1] for p in alone}
     text = plans["conflicts"]._jdf.queryExecution().executedPlan().toString()
     assert text.count(", 7), REPARTITION_BY_NUM") == 2
+
+
+@pytest.mark.parametrize("name", ["m6_dihedral_p95", "m7_curvature_rms"])
+def test_edges_of_faces_are_dealt_by_meshes(spark, monkeypatch, name):
+    import __spark_entry__
+    from geoframe.operators import mesh
+
+    plans, write = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, folder: (plans.append(df), write(df, folder))[1])
+    monkeypatch.setattr(mesh, "FACES", 1_000, raising=False)
+    plans.append(__spark_entry__.queries()[name](spark, SMALL))
+    tasks = spark.read.parquet(f"{SMALL}/supplier.parquet").count() * 450 // 1_000 + 1
+    text = "\n".join(p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert f", {tasks}), REPARTITION_BY_NUM" in text and "SortAggregate" not in text
