@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.llm.text import crc32_sql, runs_of, small_batches, text_batches
-from geoframe.plans.storage import stored
+from geoframe.plans.storage import stored_large
 
 #: A slip is made in one of so many runs of a document.
 SLIPS = 97
@@ -134,8 +134,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     a = chunks(words).withColumnsRenamed({"word": "a", "n": "na", "lost": "in_a"})
     b = grams(words).withColumnsRenamed({"word": "b", "n": "nb", "lost": "in_b"})
     ordered = (F.length("b") > F.col("of")) | (F.col("a") < F.col("b"))
-    # What is kept is the same in both, so the words are as far apart as what is not.
-    found = a.join(b, ["of", "quarter", "kept"]).where(ordered & (F.levenshtein("in_a", "in_b", 1) == 1))
+    # What is kept is the same in both, so the words are as far apart as what is not. Rows are four and eight times the words,
+    # which Spark doesn't see in their file.
+    found = a.join(b.hint("merge"), ["of", "quarter", "kept"]).where(ordered & (F.levenshtein("in_a", "in_b", 1) == 1))
     # An insertion between two quarters is found in both.
     return found.select("a", "na", "b", "nb").distinct()
 
@@ -143,10 +144,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
 def with_forms(words: DataFrame, times: int = TIMES) -> DataFrame:
     """words (word, n) with n_near, the number of near words, and form, form_n: the most frequent of them (of equals the least in
     code-point order), if it occurs at least times as often."""
-    pairs = stored(near_pairs(words), "near-pairs")
+    pairs = stored_large(near_pairs(words), "near-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("nb").alias("m")).unionAll(pairs.select("b", "a", "na"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = words.join(best.hint("merge"), "word", "left")
     keep = -F.col("best.m") >= times * F.col("n")
     return joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(keep, F.col("best.near")).alias("form"), F.when(keep, -F.col("best.m")).alias("form_n"))
 
@@ -160,16 +161,16 @@ def with_roots(formed: DataFrame, times: int = TIMES) -> DataFrame:
     most, least = formed.agg(F.max("n"), F.min("n")).first()
     steps = math.log(most / least, times) + 1 if most else 1
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
-        links = stored(links, "form-links")
+        links = stored_large(links, "form-links")
         further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
         links = links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
-    return formed.join(links, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return formed.join(links.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """Per word of docs word, form, root, n, n_near, form_n."""
-    words = stored(counted(docs), "words")
-    return with_roots(stored(with_forms(words), "forms")).select("word", "form", "root", "n", "n_near", "form_n")
+    words = stored_large(counted(docs), "words")
+    return with_roots(stored_large(with_forms(words), "forms")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def oracle() -> str:
