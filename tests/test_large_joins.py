@@ -101,3 +101,11 @@ def test_edges_of_faces_are_dealt_by_meshes(spark, monkeypatch, name):
     tasks = spark.read.parquet(f"{SMALL}/supplier.parquet").count() * 450 // 1_000 + 1
     text = "\n".join(p._jdf.queryExecution().executedPlan().toString() for p in plans)
     assert f", {tasks}), REPARTITION_BY_NUM" in text and "SortAggregate" not in text
+
+
+def test_corners_are_joined_where_meshes_are_dealt(spark, monkeypatch):
+    from geoframe.operators import mesh
+
+    monkeypatch.setattr(views, "MESHES", 3)
+    plan = mesh.corners(views.view(spark, SMALL, "v_face"), views.view(spark, SMALL, "v_vertex"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") == 4
