@@ -11,8 +11,9 @@ from geoframe.operators.ranges import group_number, group_total, quantiles
 from geoframe.operators.spatial import points_in_boxes
 from geoframe.plans.storage import stored_large, tasks_for
 
-#: Sides of open ends that one task joins with their corners; faces whose edges one task brings together.
-SIDES, FACES = 100_000, 100_000
+#: Sides of open ends that one task joins with their corners; faces whose edges one task brings together; faces that one task
+#: compares with those in the same cells.
+SIDES, FACES, CROSSED = 100_000, 100_000, 100_000
 
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -143,24 +144,38 @@ def aspect_ratio(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def self_intersections(faces: DataFrame, vertices: DataFrame, cell_size: float) -> DataFrame:
-    """Per mesh the faces that cross another one with which they share no vertex: an edge of one passes through the other."""
-    tri = stored_large(corners(faces, vertices), "triangles")
-    celled = tri
+    """Per mesh the faces that cross another one with which they share no vertex: an edge of one passes through the other.
+
+    Faces meet in cells. Two that lie in several common cells are compared in the first of them alone, so pairs are neither
+    written nor told apart, and only if their boxes meet. Meshes are dealt to tasks once; corners and cells are joined there.
+    """
+    n = faces.count() // CROSSED + 1
+    celled = corners(*(rows.repartition(n, "mesh_id") for rows in (faces, vertices)))
+    place = lambda v: F.floor(v / cell_size).cast("long")
     for c in "xyz":
         lo, hi = (f(*[F.col(f"{c}{n}") for n in range(3)]) for f in (F.least, F.greatest))
-        celled = celled.withColumn(f"__{c}", F.explode(F.sequence(F.floor(lo / cell_size).cast("long"), F.floor(hi / cell_size).cast("long"))))
-    names = ["fid", "v0", "v1", "v2", *[f"{c}{n}" for n in range(3) for c in "xyz"]]
-    other = celled.select("mesh_id", "__x", "__y", "__z", *[F.col(n).alias(f"o_{n}") for n in names])
-    pairs = celled.join(other, ["mesh_id", "__x", "__y", "__z"]).where(~F.arrays_overlap(F.array("v0", "v1", "v2"), F.array("o_v0", "o_v1", "o_v2"))).drop("__x", "__y", "__z").dropDuplicates(["mesh_id", "fid", "o_fid"])
-
-    def passes(p, q) -> Column:
-        a, b, c = (vec(f"o_x{n}", f"o_y{n}", f"o_z{n}") for n in range(3))
-        side = lambda u, v, w, x: dot(sub(x, u), cross(sub(v, u), sub(w, u)))
+        celled = celled.withColumns({f"__lo{c}": lo, f"__hi{c}": hi}).withColumn(f"__{c}", F.explode(F.sequence(place(lo), place(hi))))
+    cells = [f"__{c}" for c in "xyz"]
+    other = celled.select("mesh_id", *cells, *[F.col(n).alias(f"o_{n}") for n in celled.columns if n not in ("mesh_id", *cells)])
+    met = celled.join(other.hint("merge"), ["mesh_id", *cells]).where("fid < o_fid")
+    for c in "xyz":
+        first = F.col(f"__{c}") == place(F.greatest(f"__lo{c}", f"o___lo{c}"))
+        met = met.where(first & (F.col(f"__lo{c}") <= F.col(f"o___hi{c}")) & (F.col(f"o___lo{c}") <= F.col(f"__hi{c}")))
+    pairs = met.where(" and ".join(f"v{i} <> o_v{j}" for i in range(3) for j in range(3)))
+    own, their = ([vec(*[f"{o}{c}{n}" for c in "xyz"]) for n in range(3)] for o in ("", "o_"))
+    side = lambda u, v, w, x: dot(sub(x, u), cross(sub(v, u), sub(w, u)))
+
+    def passes(p, q, a, b, c) -> Column:
         s = [side(p, q, a, b), side(p, q, b, c), side(p, q, c, a)]
         return (side(a, b, c, p) * side(a, b, c, q) < 0) & (((s[0] > 0) & (s[1] > 0) & (s[2] > 0)) | ((s[0] < 0) & (s[1] < 0) & (s[2] < 0)))
 
-    crossing = pairs.where(passes(point(0), point(1)) | passes(point(1), point(2)) | passes(point(2), point(0)))
-    return crossing.select("mesh_id", F.explode(F.array("fid", "o_fid")).alias("fid")).distinct().groupBy("mesh_id").agg(F.count("*").alias("n_crossing"))
+    crossing = F.lit(False)
+    for edges_of, through in ((own, their), (their, own)):
+        for p, q in ((0, 1), (1, 2), (2, 0)):
+            crossing = crossing | passes(edges_of[p], edges_of[q], *through)
+    # A column and not a filter, which would become part of the join and too long a loop for Java to compile.
+    found = pairs.select("mesh_id", F.explode(F.when(crossing, F.array("fid", "o_fid"))).alias("fid"))
+    return found.distinct().groupBy("mesh_id").agg(F.count("*").alias("n_crossing"))
 
 
 def mesh_stats(faces: DataFrame, vertices: DataFrame) -> DataFrame:

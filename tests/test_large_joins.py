@@ -109,3 +109,14 @@ def test_corners_are_joined_where_meshes_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(views, "MESHES", 3)
     plan = mesh.corners(views.view(spark, SMALL, "v_face"), views.view(spark, SMALL, "v_vertex"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") == 4
+
+
+def test_crossing_faces_are_paired_in_one_cell(spark, monkeypatch):
+    import __spark_entry__
+    from geoframe.operators import mesh
+
+    monkeypatch.setattr(views, "MESHES", 3)
+    monkeypatch.setattr(mesh, "CROSSED", 1_000, raising=False)
+    plan = __spark_entry__.queries()["m10_self_intersections"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    # Faces and vertices are dealt once a side; pairs and celled faces are not shuffled.
+    assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") and "o_fid" in plan
