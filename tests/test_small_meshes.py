@@ -50,3 +50,24 @@ def test_sweeps_write_no_vertices(spark, monkeypatch, name):
     monkeypatch.setattr(storage, "stored", lambda df, folder: (names.append(folder), write(df, folder))[1])
     __spark_entry__.queries()[name](spark, SMALL)
     assert set(names) == {"mesh-sizes", "large-meshes"}
+
+
+def test_nearest_in_tasks_and_by_blocks(spark, monkeypatch):
+    """Meshes of the views, and a cube with a flat face, points on it, off it and not finite, points of no mesh, faces without points."""
+    import random
+
+    rnd = random.Random(3)
+    faces, vertices = (view(spark, SMALL, name).where("mesh_id <= 3") for name in ("v_face", "v_vertex"))
+    flat = spark.createDataFrame([(4, 0, 0, 1, 2), (4, 1, 0, 1, 3), (5, 0, 0, 1, 2)], faces.schema)
+    places = [(4, 0, 0.0, 0.0, 0.0), (4, 1, 2.0, 0.0, 0.0), (4, 2, 0.0, 2.0, 0.0), (4, 3, 1.0, 0.0, 0.0), (5, 0, 0.0, 0.0, 0.0), (5, 1, math.nan, 0.0, 0.0), (5, 2, 0.0, 1.0, 0.0)]
+    faces, vertices = faces.unionByName(flat), vertices.unionByName(spark.createDataFrame(places, vertices.schema))
+    asked = [(m, n, rnd.uniform(-2, 17), rnd.uniform(-2, 17), rnd.uniform(-1, 6)) for m in (1, 2, 4, 5, 9) for n in range(40)]
+    asked += [(m, 40 + n, float(n), float(n % 3), float(n % 5)) for m in (1, 4) for n in range(15)] + [(1, 90, math.nan, 0.0, 0.0), (2, 7, 3.0, 3.0, 2.0), (None, 91, 0.0, 0.0, 0.0), (2, 92, None, 0.0, 0.0)]
+    points = spark.createDataFrame(asked, "mesh_id long, point_id long, x double, y double, z double")
+    names, write = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, folder: (names.append(folder), write(df, folder))[1])
+    small = sorted(map(tuple, geometry.nearest_on_surface(points, faces, vertices).collect()))
+    assert len(small) == 2 * 40 + 40 + 30 and names == ["pairs-of-meshes", "nearest-faces"]
+    for limit in (0, 1400 * 1050):
+        monkeypatch.setattr(small_meshes, "MOST_PAIRS", limit)
+        assert sorted(map(tuple, geometry.nearest_on_surface(points, faces, vertices).collect())) == small
