@@ -105,19 +105,25 @@ def k17_local_centerline(spark, d):
     return G.local_centerline(points, _boxes(points))
 
 
+#: Points whose boxes one task fills; a point is in some sixty samples.
+SAMPLED = 10_000
+
+
 def _local(spark, d):
+    # Points and boxes of a case meet in a task, and their samples stay there.
     points = view(spark, d, "v_line")
+    points = points.repartition(points.count() // SAMPLED + 1, "case_id")
     return G.unit_points(points, _boxes(points, 0.0, 8.0)).withColumn("sample_id", F.concat_ws("_", "case_id", "box_id"))
 
 
 @query()
 def k8_plane_trajectories(spark, d):
-    return rounded(G.plane_trajectories(_local(spark, d)), "angle", "u", "v")
+    return rounded(G.plane_trajectories(_local(spark, d), within=["case_id"]), "angle", "u", "v")
 
 
 @query()
 def k9_deproject_trajectories(spark, d):
-    return rounded(G.deproject_trajectories(G.plane_trajectories(_local(spark, d))), "angle", "u", "v", "ux", "uy", "uz")
+    return rounded(G.deproject_trajectories(G.plane_trajectories(_local(spark, d), within=["case_id"])), "angle", "u", "v", "ux", "uy", "uz")
 
 
 @query(LINE + BOXES + "select v.point_id, box_id, b.case_id, round((x - lox) / 12, 6) as x, round((z - loz) / 12, 6) as z from v_line v join boxes b on v.case_id = b.case_id and x between lox and hix and y between loy and hiy and z between loz and hiz")

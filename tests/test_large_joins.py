@@ -120,3 +120,14 @@ def test_crossing_faces_are_paired_in_one_cell(spark, monkeypatch):
     plan = __spark_entry__.queries()["m10_self_intersections"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     # Faces and vertices are dealt once a side; pairs and celled faces are not shuffled.
     assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") and "o_fid" in plan
+
+
+@pytest.mark.parametrize("name", ["k8_plane_trajectories", "k9_deproject_trajectories"])
+def test_samples_stay_where_their_case_is(spark, monkeypatch, name):
+    import __spark_entry__
+    from geoframe.plans import queries_geometry
+
+    monkeypatch.setattr(views, "POINTS", 100)
+    monkeypatch.setattr(queries_geometry, "SAMPLED", 50, raising=False)
+    plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") and "Window" in plan
