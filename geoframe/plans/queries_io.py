@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from geoframe.operators.catalog import fields_of_record
 from geoframe.plans.registry import query
-from geoframe.plans.storage import shared_folder
-from geoframe.plans.views import ctes, view
+from geoframe.plans.storage import shared_folder, tasks_of
+from geoframe.plans.views import POINTS, ctes, view
 from geoframe.sources import tables as S
 from geoframe.streaming import ingest
 
@@ -24,9 +24,12 @@ def s1_scan_artifacts(spark, d):
 @query(ctes("v_line") + "select case_id, count(*) as n_points from v_line where case_id in (1, 3) group by 1")
 def s2_scan_geometry(spark, d):
     root = shared_folder(spark, "geometry")
-    view(spark, d, "v_line").write.partitionBy("case_id").parquet(f"{root}/centerline_points")
-    for name, keep in (("v_vertex", "vertices"), ("v_face", "faces")):
-        view(spark, d, name).withColumnRenamed("mesh_id", "case_id").write.partitionBy("case_id").parquet(f"{root}/{keep}")
+    for name, keep in (("v_line", "centerline_points"), ("v_vertex", "vertices"), ("v_face", "faces")):
+        rows = view(spark, d, name).withColumnsRenamed({"mesh_id": "case_id"})
+        # A case is one file: its lines are brought together, as meshes are. Tasks put files into place, not the driver.
+        if name == "v_line":
+            rows = rows.repartition(tasks_of(spark.read.parquet(f"{d}/events.parquet").count(), POINTS), "case_id")
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("case_id").parquet(f"{root}/{keep}")
     points = S.scan_geometry(spark, root, ["1", "3"])["centerline_points"]
     return points.groupBy(F.col("case_id").cast("long").alias("case_id")).agg(F.count("*").alias("n_points"))
 

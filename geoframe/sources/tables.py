@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,9 +39,20 @@ def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_geometry(spark: SparkSession, root: str, cases: list[str] | None = None) -> dict[str, DataFrame]:
-    """The point, line and mesh tables under root, each partitioned by case_id; only the given cases' partitions."""
-    tables = {t: spark.read.parquet(f"{root}/{t}") for t in ("centerline_points", "vertices", "faces")}
-    return tables if cases is None else {t: df.where(F.col("case_id").isin(cases)) for t, df in tables.items()}
+    """The point, line and mesh tables under root, each partitioned by case_id; only the given cases' partitions, without a look
+    into the folders of others where their names are plain."""
+    names = ("centerline_points", "vertices", "faces")
+    if cases is None:
+        return {t: spark.read.parquet(f"{root}/{t}") for t in names}
+    return {t: _partitions(spark, f"{root}/{t}", cases).where(F.col("case_id").isin(cases)) for t in names}
+
+
+def _partitions(spark: SparkSession, path: str, cases: list[str]) -> DataFrame:
+    """The table at path, of the given cases at least."""
+    if cases and all(re.fullmatch(r"[A-Za-z0-9_.-]+", c) for c in cases):
+        with contextlib.suppress(AnalysisException):  # no such case
+            return spark.read.option("basePath", path).parquet(f"{path}/case_id={{{','.join(cases)}}}")
+    return spark.read.parquet(path)
 
 
 def read_scores(spark: SparkSession, glob: str, schema: StructType | str, stem: str) -> DataFrame:
