@@ -131,3 +131,15 @@ def test_samples_stay_where_their_case_is(spark, monkeypatch, name):
     monkeypatch.setattr(queries_geometry, "SAMPLED", 50, raising=False)
     plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") and "Window" in plan
+
+
+def test_cells_of_wide_cases_are_dealt(spark, monkeypatch):
+    """Ten cases hold all points, so a task a case would not do."""
+    import __spark_entry__
+    from geoframe.plans import queries_lines
+
+    monkeypatch.setattr(queries_lines, "PAIRED", 50, raising=False)
+    tasks = spark.read.parquet(f"{SMALL}/events.parquet").count() // 50 + 1
+    plan = __spark_entry__.queries()["p6_points_in_box"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if f", {tasks}), REPARTITION_BY_NUM" in line]
+    assert tasks > 4 and len(dealt) == 2 and all("__cx" in line for line in dealt)
